@@ -7,16 +7,31 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .order_minhash import near_duplicates
+from .packing import pack
 from .quality_rules import compression_bands
+from .suffix_dedup import repeated_passages
+from .template_decontamination import leaks
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_bands(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_quality_rules, op10_order_minhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_packing, op5_quality_rules, op6_suffix_dedup, op7_decontamination, op10_order_minhash)}
 SQL: dict[str, str] = {}
