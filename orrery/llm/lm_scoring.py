@@ -1,0 +1,208 @@
+"""Interpolated modified Kneser-Ney language model over bytes: counted in Spark, stored as sorted arrays, memory-mapped for perplexity.
+
+The model predicts each byte of a text from the ORDER - 1 before it; a text begins after that many bytes BEGIN, and other bytes under 32
+count as spaces. An n-gram's key is its bytes packed into 64 bits, so no two n-grams share one. Bytes, not words: tables of word
+trigrams are nearly as large as the text itself, those of byte n-grams level off, and no n-gram need be pruned to store them.
+
+Counting covers all texts: every partition sums its own n-grams, and Spark sums those. Lower orders count distinct left
+neighbours. Discounts come from the counts of counts of each order:
+
+    p_k(b | h) = max(c(hb) - D(c(hb)), 0) / c(h) + gamma(h) p_{k-1}(b | h'),  p_0 = 1/256
+    gamma(h) = (D1 N1(h) + D2 N2(h) + D3 N3+(h)) / c(h),  p_k(b | h) = p_{k-1}(b | h') where h is unknown
+
+Arrays are written by range of key to the shared folder, one file a segment, and mapped by the workers; only their list goes
+through the driver. A segment that a lost executor wrote stays there; a repeated task writes another, and only those reported count.
+
+Defined results: null and empty texts count nothing and have a null perplexity; rows without an id are counted and scored like others; rows that repeat
+count as often as they occur; a corpus without text gives every text p = 1/256; an empty table gives an empty table; long texts are read whole.
+"""
+
+from __future__ import annotations
+
+import uuid
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyarrow import fs
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import Scratch, U, texts
+
+ORDER, BEGIN = 5, 2
+SEGMENT_ROWS = 4_000_000
+#: Bytes counted or scored at a time.
+PIECE = 4 << 20
+_PLAIN = np.arange(256, dtype=np.uint8)
+_PLAIN[:32] = 32
+_cache: dict = {}
+
+
+def grams(buf: np.ndarray, off: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The key of the n-gram that ends at each byte, the last byte lowest; and where each text's begin."""
+    n, lead = len(off) - 1, order - 1
+    size = np.diff(off)
+    padded = np.full(len(buf) + n * lead, BEGIN, np.uint8)
+    at = np.arange(len(buf)) + np.repeat(lead * np.arange(1, n + 1), size)
+    padded[at] = _PLAIN[buf]
+    wide = padded.astype(U)
+    keys = wide[at]
+    for j in range(1, order):
+        keys |= wide[at - j] << U(8 * j)
+    return keys, off
+
+
+def _counted(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordBatch]:
+    """Each n-gram of the partition once, with its count."""
+    keys, counts, fresh = [], [], 0
+
+    def merge() -> None:
+        k, c = np.concatenate(keys), np.concatenate(counts)
+        by = np.argsort(k, kind="stable")
+        k, c = k[by], c[by]
+        first = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+        keys[:], counts[:] = [k[first]], [np.add.reduceat(c, first)]
+
+    for _, buf, off in texts(batches, size=PIECE):
+        if not len(buf):
+            continue
+        k, c = np.unique(grams(buf, off, order)[0], return_counts=True)
+        keys.append(k)
+        counts.append(c)
+        fresh += len(k)
+        if fresh > 4 * PIECE:
+            merge()
+            fresh = 0
+    if keys:
+        merge()
+        for i in range(0, len(keys[0]), 1 << 18):
+            yield pa.RecordBatch.from_arrays([pa.array(keys[0][i : i + (1 << 18)].view(np.int64)), pa.array(counts[0][i : i + (1 << 18)])], names=["key", "c"])
+
+
+def _written(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by kind, k and key become one file for each kind and k; reports them."""
+    parts: dict[tuple, list] = {}
+    for b in batches:
+        kind, k = np.asarray(b.column("kind")), np.asarray(b.column("k"))
+        run = np.flatnonzero(np.append(True, (kind[1:] != kind[:-1]) | (k[1:] != k[:-1])))
+        for i, j in zip(run, [*run[1:], len(kind)]):
+            parts.setdefault((int(kind[i]), int(k[i])), []).append(np.stack([np.asarray(b.column(c))[i:j] for c in ("key", "c", "n1", "n2", "n3")]))
+    system, at = fs.FileSystem.from_uri(path)
+    out = []
+    for (kind, k), pieces in parts.items():
+        rows = np.concatenate(pieces, axis=1).astype(np.int64)
+        name = f"{at}/{kind}-{k}-{uuid.uuid4().hex}"
+        system.create_dir(at, recursive=True)
+        used = rows[: 2 if kind == 0 else 5]
+        with system.open_output_stream(name) as f:
+            f.write(np.ascontiguousarray(used).tobytes())
+        out.append((kind, k, int(rows[0, 0]), rows.shape[1], name))
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 5, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string()))], names=["kind", "k", "first", "n", "file"])
+
+
+class Model:
+    """The arrays of a model, mapped when they are first needed."""
+
+    def __init__(self, order: int, path: str, segments: list[tuple], discounts: dict[int, tuple]) -> None:
+        self.order, self.path, self.discounts, self.segments = order, path, discounts, {}
+        for kind, k, first, n, file in sorted(segments):
+            self.segments.setdefault((kind, k), []).append((first, n, file))
+
+    def mapped(self, file: str, rows: int, n: int) -> np.ndarray:
+        if file not in _cache:
+            system, _ = fs.FileSystem.from_uri(self.path)
+            if isinstance(system, fs.LocalFileSystem):  # a mounted folder: pages are shared by all workers of a machine
+                _cache[file] = np.memmap(file, np.int64, "r", shape=(rows, n))
+            else:
+                with system.open_input_file(file) as f:
+                    _cache[file] = np.frombuffer(f.read(), np.int64).reshape(rows, n)
+        return _cache[file]
+
+    def find(self, kind: int, k: int, keys: np.ndarray) -> np.ndarray:
+        """The values of each of the rising keys; zero where there are none."""
+        rows = 1 if kind == 0 else 4
+        out = np.zeros((rows, len(keys)), np.int64)
+        segments = self.segments.get((kind, k), [])
+        begin = np.searchsorted(keys, np.array([s[0] for s in segments], np.int64)) if segments else []
+        for (first, n, file), i, j in zip(segments, begin, [*begin[1:], len(keys)]):
+            if i < j:
+                a = self.mapped(file, rows + 1, n)
+                at = np.minimum(np.searchsorted(a[0], keys[i:j]), n - 1)
+                hit = a[0][at] == keys[i:j]
+                out[:, i:j][:, hit] = a[1:, at[hit]]
+        return out
+
+    def probabilities(self, keys: np.ndarray) -> np.ndarray:
+        """Of the last byte of each of the rising, distinct n-grams given those before it."""
+        levels = [(keys, None)]
+        for k in range(self.order - 1, 0, -1):
+            levels.append(np.unique(levels[-1][0] & ((1 << (8 * k)) - 1), return_inverse=True))
+        p = np.full(len(levels[-1][0]), 1 / 256)
+        for k in range(1, self.order + 1):
+            x, back = levels[self.order - k]
+            c = self.find(0, k, x)[0]
+            contexts, of = np.unique(x >> 8, return_inverse=True)
+            total, n1, n2, n3 = self.find(1, k, contexts)
+            d = np.array([0.0, *self.discounts.get(k, (0.0, 0.0, 0.0))])
+            gamma = np.where(total > 0, (d[1] * n1 + d[2] * n2 + d[3] * n3) / np.maximum(total, 1), 1.0)
+            p = np.where(total[of] > 0, np.maximum(c - d[np.minimum(c, 3)], 0) / np.maximum(total[of], 1), 0.0) + gamma[of] * p
+            if back is not None:
+                p = p[back]
+            elif k < self.order:
+                raise AssertionError
+        return p
+
+    def score(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """The sum of each text's log2 probabilities."""
+        keys, at = grams(buf, off, self.order)
+        known, back = np.unique(keys.view(np.int64), return_inverse=True)
+        sums = np.zeros(len(buf) + 1)
+        np.cumsum(np.log2(self.probabilities(known))[back], out=sums[1:])
+        return sums[at[1:]] - sums[at[:-1]]
+
+
+def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
+    """D1, D2 and D3+; the usual middle values where a count of counts is missing."""
+    if not (n1 and n2 and n3 and n4):
+        return 0.5, 1.0, 1.5
+    y = n1 / (n1 + 2 * n2)
+    return tuple(min(max(i - (i + 1) * y * b / a, 0.0), float(i)) for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))
+
+
+def build(docs: DataFrame, text_col: str = "text", order: int = ORDER) -> Model:
+    """The model of all texts of docs."""
+    scratch = Scratch(docs.sparkSession)
+    rows = docs.select(F.col(text_col).cast("string").alias("text"))
+    tables = {order: scratch.save(rows.mapInArrow(lambda it: _counted(it, order), "key long, c long").groupBy("key").agg(F.sum("c").alias("c")))}
+    for k in range(order - 1, 0, -1):
+        tables[k] = scratch.save(tables[k + 1].groupBy(F.col("key").bitwiseAND(F.lit((1 << (8 * k)) - 1)).alias("key")).agg(F.count("*").alias("c")))
+    entries, found, n = None, {}, 0
+    one = lambda i: F.count(F.when(F.col("c") == i, 1))
+    for k, t in tables.items():
+        n1, n2, n3, n4, size = t.agg(*(one(i) for i in (1, 2, 3, 4)), F.count("*")).first()
+        found[k], n = discounts(n1, n2, n3, n4), n + size
+        zero = F.lit(0).cast("long")
+        own = t.select(F.lit(0).alias("kind"), F.lit(k).alias("k"), "key", "c", zero.alias("n1"), zero.alias("n2"), zero.alias("n3"))
+        context = t.groupBy(F.shiftright("key", 8).alias("key")).agg(F.sum("c").alias("c"), one(1).alias("n1"), one(2).alias("n2"), F.count(F.when(F.col("c") > 2, 1)).alias("n3"))
+        both = own.unionByName(context.select(F.lit(1).alias("kind"), F.lit(k).alias("k"), "key", "c", "n1", "n2", "n3"))
+        entries = both if entries is None else entries.unionByName(both)
+    path = scratch.path()
+    ranged = entries.repartitionByRange(1 + 2 * n // SEGMENT_ROWS, "kind", "k", "key").sortWithinPartitions("kind", "k", "key")
+    segments = [tuple(r) for r in ranged.mapInArrow(lambda it: _written(it, path), "kind int, k int, first long, n long, file string").collect()]
+    scratch.drop(*tables.values())
+    return Model(order, path, segments, found)
+
+
+def perplexity(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None, order: int = ORDER) -> DataFrame:
+    """doc_id, n_bytes, log2_probability, perplexity (a byte) for each row of docs, by the model of docs themselves unless another is given."""
+    model = model or build(docs, text_col, order)
+
+    def scored(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, buf, off in texts(it, size=PIECE):
+            n = np.diff(off)
+            s = model.score(buf, off)
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(n), pa.array(s, mask=n == 0), pa.array(2 ** (-s / np.maximum(n, 1)), mask=n == 0)], names=["doc_id", "n_bytes", "log2_probability", "perplexity"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(scored, "doc_id long, n_bytes long, log2_probability double, perplexity double")

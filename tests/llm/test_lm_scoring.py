@@ -1,0 +1,74 @@
+"""The model against a plain reading of the formula, and held-out text."""
+
+import math
+import random
+from collections import Counter, defaultdict
+
+import pytest
+
+from orrery.llm.lm_scoring import build, discounts, perplexity
+
+
+def brute(corpus, order):
+    """A function from text to log2 probability."""
+    counts = {order: Counter()}
+    pad = "\x02" * (order - 1)
+    for t in corpus:
+        t = pad + t
+        counts[order].update(t[i : i + order] for i in range(len(t) - order + 1))
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    d = {k: (0.0, *discounts(*(sum(v == i for v in c.values()) for i in (1, 2, 3, 4)))) for k, c in counts.items()}
+    after = {k: defaultdict(list) for k in counts}
+    for k, c in counts.items():
+        for g, n in c.items():
+            after[k][g[:-1]].append(n)
+
+    def p(g):
+        k = len(g)
+        if not k:
+            return 1 / 256
+        seen = after[k].get(g[:-1])
+        if not seen:
+            return p(g[1:])
+        c = counts[k][g]
+        gamma = sum(d[k][min(n, 3)] for n in seen) / sum(seen)
+        return max(c - d[k][min(c, 3)], 0) / sum(seen) + gamma * p(g[1:])
+
+    return lambda t: sum(math.log2(p((pad + t)[i : i + order])) for i in range(len(t)))
+
+
+def test_formula(spark):
+    rnd = random.Random(3)
+    corpus = ["".join(rnd.choice("aab b.c") for _ in range(rnd.randrange(0, 80))) for _ in range(60)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(corpus)], "doc_id long, text string")
+    other = ["abcabc", "zzz", "b", " a a a"]
+    model = build(df, order=4)
+    score = brute([t for t in corpus if t], 4)
+    got = perplexity(spark.createDataFrame([(i, t) for i, t in enumerate(corpus + other)], "doc_id long, text string"), model=model, order=4).collect()
+    assert len(got) == 64
+    for r in got:
+        t = (corpus + other)[r.doc_id]
+        assert r.n_bytes == len(t)
+        if t:
+            assert r.log2_probability == pytest.approx(score(t)) and r.perplexity == pytest.approx(2 ** (-score(t) / len(t)))
+        else:
+            assert r.perplexity is None
+
+
+def test_defined_results(spark):
+    rows = [(None, "ab"), (1, None), (2, ""), (3, "ab"), (3, "ab"), (4, "x" * 100_000)]
+    df = spark.createDataFrame([(d, t, "k") for d, t in rows], "doc_id long, text string, c string")
+    got = {r.doc_id: r.perplexity for r in perplexity(df).collect()}
+    assert got[1] is None and got[2] is None and got[None] == got[3] and got[4] < 1.1
+    assert perplexity(df.limit(0)).count() == 0
+    none = perplexity(df, model=build(df.where("doc_id = 2"))).where("doc_id = 3").first()
+    assert none.perplexity == pytest.approx(256)
+
+
+def test_tells_text_from_noise(spark):
+    rnd = random.Random(5)
+    line = lambda: " ".join(rnd.choice(["the", "cat", "sat", "there", "again", "with", "others"]) for _ in range(40))
+    model = build(spark.createDataFrame([(i, line()) for i in range(50)], "doc_id long, text string"))
+    a, b = (r.perplexity for r in perplexity(spark.createDataFrame([(1, line()), (2, "".join(rnd.sample(line(), 100)))], "doc_id long, text string"), model=model).orderBy("doc_id").collect())
+    assert a * 3 < b
