@@ -17,8 +17,6 @@ id of a group is kept; an empty table gives no groups; long texts are sketched a
 
 from __future__ import annotations
 
-from bisect import bisect_left
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -104,41 +102,58 @@ def _sketched(batches: Iterator[pa.RecordBatch], k: int, order: int, sketches: i
 
 
 def distance_within(x: list, y: list, most: int) -> int | None:
-    """Edit distance of two sequences if at most `most`: furthest-reaching alignment in a band of so many diagonals."""
+    """Edit distance of two sequences if at most `most`: alignment in the band of so many diagonals to either side.
+
+    A column of the band is one integer for each of the rises, falls and matches (Hyyrö's bit-parallel form), so that a word of y costs
+    a dozen operations on integers of 2 * most + 2 bits."""
     n, m = len(x), len(y)
     a = 0
     while a < n and a < m and x[a] == y[a]:
         a += 1
     while n > a and m > a and x[n - 1] == y[m - 1]:
         n, m = n - 1, m - 1
-    x, y, n, m = np.asarray(x[a:n]), np.asarray(y[a:m]), n - a, m - a
+    x, y, n, m = x[a:n], y[a:m], n - a, m - a
     if abs(n - m) > most:
         return None
     if not n or not m:
         return max(n, m)
-    breaks: dict[int, list] = {}
-
-    def slide(i: int, d: int) -> int:
-        """From (i, i + d) on, the first i at which the sequences differ."""
-        if (b := breaks.get(d)) is None:
-            lo, hi = max(0, -d), min(n, m - d)
-            b = breaks[d] = [*(np.flatnonzero(x[lo:hi] != y[lo + d : hi + d]) + lo).tolist(), hi] if hi > lo else [max(0, hi)]
-        return b[bisect_left(b, i)] if i <= b[-1] else i
-
-    goal, reach = m - n, {0: slide(0, 0)}
-    for e in range(most + 1):
-        if reach.get(goal, -1) >= n:
-            return e
-        if e == most:
+    if most >= max(n, m):
+        most = max(n, m)
+    at: dict = {}
+    for i, c in enumerate(x):
+        at.setdefault(c, []).append(i)
+    masks = {c: sum(1 << i for i in p) for c, p in at.items()}
+    if most >= min(n, m):  # the band is the whole table
+        full, top = (1 << n) - 1, 1 << (n - 1)
+        vp, vn, d = full, 0, n
+        for c in y:
+            z = masks.get(c, 0)
+            d0 = (((z & vp) + vp) ^ vp) | z | vn
+            hp, hn = vn | (full & ~(d0 | vp)), d0 & vp
+            d += bool(hp & top) - bool(hn & top)
+            hp, hn = (hp << 1) | 1, hn << 1
+            vp, vn = (hn | ~(d0 | hp)) & full, hp & d0 & full
+        return d if d <= most else None
+    width = 2 * most + 2
+    full, corner = (1 << width) - 1, 1 << (width - 1)
+    vp, vn, d = full & ~((1 << (width - most - 1)) - 1), 0, most
+    row, shift, give_up = corner >> 1, most + 1 - width, most + m - n + most
+    for i, c in enumerate(y):  # the top bit is x[i + most]
+        z = masks.get(c, 0)
+        z = (z << -shift if shift < 0 else z >> shift) & full
+        shift += 1
+        d0 = ((((z & vp) + vp) ^ vp) | z | vn) & full
+        hp, hn = vn | (full & ~(d0 | vp)), d0 & vp
+        if i < n - most:
+            d += not d0 & corner
+        else:
+            d += bool(hp & row) - bool(hn & row)
+            row >>= 1
+        if d > give_up:
             return None
-        spare, new = most - e - 1, {}
-        for d in range(max(-n, -e - 1, goal - spare), min(m, e + 1, goal + spare) + 1):
-            i = max(reach.get(d, -2) + 1, reach.get(d - 1, -2), reach.get(d + 1, -2) + 1)
-            i = min(i, n, m - d)
-            if i >= max(0, -d):
-                new[d] = slide(i, d)
-        reach = new
-    return None
+        half = d0 >> 1
+        vp, vn = hn | (full & ~(half | hp)), half & hp
+    return d if d <= most else None
 
 
 def similar(x: np.ndarray, y: np.ndarray, similarity: float) -> float | None:
@@ -147,8 +162,9 @@ def similar(x: np.ndarray, y: np.ndarray, similarity: float) -> float | None:
     most = int((1 - similarity) * longer + 1e-9)
     if abs(len(x) - len(y)) > most:
         return None
-    cx, cy = Counter(x.tolist()), Counter(y.tolist())
-    if longer - (cx & cy).total() > most:  # words that lack a partner need an edit each
+    sx, sy = np.sort(x), np.sort(y)
+    at = np.searchsorted(sx, sy)
+    if longer - np.count_nonzero(sx[np.minimum(at, len(sx) - 1)] == sy) > most:  # words that lack a partner need an edit each
         return None
     d = distance_within(x.tolist(), y.tolist(), most)
     return None if d is None else 1 - d / longer
