@@ -5,7 +5,8 @@ union of its repeated windows. Words are compared exactly, white space between t
 
 Method. Of every window the run of PREFIX words with the least hash is an anchor, so windows that are equal have equal
 anchors at equal offsets. Anchors that occur once can't lie in a repeat. Of the others, an anchor that every occurrence reaches
-from the same anchor before it only continues a repeat; where occurrences come from different text, suffixes begin. These
+from the same anchor before it only continues a repeat; where occurrences come from different text, suffixes begin. (Windows that repeat an earlier one of their own text are found within it, and
+have no anchors.) These
 suffixes, each cut where the next one takes over and led by the few words that may precede the anchor in a window, go to groups by prefix:
 the anchor's words, or, where more than HOT suffixes would share those, the whole first window at each possible begin, so that no
 group outgrows memory. In a group, for each begin at which left contexts part, the suffixes are sorted and their common prefixes
@@ -26,38 +27,47 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, U, keyed, prefix_hashes, small, span_hashes, texts, word_hashes, words
+from .common import Scratch, U, keyed, mix, prefix_hashes, small, span_hashes, texts, word_hashes, words
 
 LEAST, PREFIX, HOT = 50, 16, 20_000
 _NONE = U(0xFFFFFFFFFFFFFFFF)
 
 
-def anchors(w: np.ndarray, at: np.ndarray, least: int, prefix: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions of the anchors in w (texts begin at `at`), the hash sums of w, and each anchor's text."""
+def anchors(w: np.ndarray, at: np.ndarray, least: int, prefix: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of the anchors in w (texts begin at `at`), the hash sums of w, each anchor's text, and the windows that stand earlier in their own text.
+
+    The latter need no anchor: whatever else they equal, their first copy in the text equals too."""
     sums = prefix_hashes(w)
     n, reach = len(w), least - prefix + 1
     none = np.zeros(0, np.int64)
     if n < least:
-        return none, sums, none
+        return none, sums, none, none
     text = np.repeat(np.arange(len(at) - 1), np.diff(at))
     end = at[1:][text]
     i = np.arange(n - prefix + 1)
     h = span_hashes(sums, i, i + prefix)
     h[i + prefix > end[: len(i)]] = _NONE
     begin = np.flatnonzero(np.arange(n - least + 1) + least <= end[: n - least + 1])
+    own = span_hashes(sums, begin, begin + least) ^ mix(text[begin].astype(U) + U(1))
+    by = np.argsort(own, kind="stable")
+    again = np.zeros(len(begin), bool)
+    again[by[1:]] = own[by[1:]] == own[by[:-1]]
+    again, begin = begin[again], begin[~again]
     best = np.lib.stride_tricks.sliding_window_view(h, reach)[: n - least + 1].argmin(axis=1)
     pos = np.unique(begin + best[begin])
-    return pos, sums, text[pos]
+    return pos, sums, text[pos], again
 
 
 def _anchored(batches: Iterator[pa.RecordBatch], least: int, prefix: int) -> Iterator[pa.RecordBatch]:
+    """Anchors, and with `upto` what a text repeats of itself."""
+    names = ["fp", "link", "r", "l", "doc_id", "th", "pos", "upto"]
     for rows, buf, off in texts(batches):
         starts, ends, at = words(buf, off)
-        pos, sums, text = anchors(word_hashes(buf, starts, ends), at, least, prefix)
+        pos, sums, text, again = anchors(word_hashes(buf, starts, ends), at, least, prefix)
         if not len(pos):
             continue
         first = np.ones(len(pos), bool)
-        first[1:] = text[1:] != text[:-1]
+        first[1:] = (text[1:] != text[:-1]) | (pos[1:] - pos[:-1] > least - prefix + 1)
         before = np.where(first, pos, np.roll(pos, 1))
         link = span_hashes(sums, before, pos + prefix).view(np.int64)
         half = (least - prefix + 1) // 2
@@ -66,9 +76,18 @@ def _anchored(batches: Iterator[pa.RecordBatch], least: int, prefix: int) -> Ite
         left = span_hashes(sums, np.where(late, pos, pos - half), pos + prefix).view(np.int64)
         take = pa.array(text)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(span_hashes(sums, pos, pos + prefix).view(np.int64)), pa.array(link, mask=first), pa.array(right, mask=short), pa.array(left, mask=late), rows.column("doc_id").take(take), rows.column("th").take(take), pa.array((pos - at[text]).astype(np.int32))],
-            names=["fp", "link", "r", "l", "doc_id", "th", "pos"],
+            [pa.array(span_hashes(sums, pos, pos + prefix).view(np.int64)), pa.array(link, mask=first), pa.array(right, mask=short), pa.array(left, mask=late), rows.column("doc_id").take(take), rows.column("th").take(take), pa.array((pos - at[text]).astype(np.int32)), pa.nulls(len(pos), pa.int32())],
+            names=names,
         )
+        if len(again):
+            of = np.searchsorted(at, again, "right") - 1
+            new = np.ones(len(again), bool)
+            new[1:] = (of[1:] != of[:-1]) | (again[1:] > again[:-1] + least)
+            a = np.flatnonzero(new)
+            z = np.append(a[1:], len(again)) - 1
+            none, take = pa.nulls(len(a), pa.int64()), pa.array(of[a])
+            doc, th = rows.column("doc_id").take(take), rows.column("th").take(take)
+            yield pa.RecordBatch.from_arrays([th, none, none, none, doc, th, pa.array((again[a] - at[of[a]]).astype(np.int32)), pa.array((again[z] + least - at[of[a]]).astype(np.int32))], names=names)
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch], least: int, prefix: int) -> Iterator[pa.RecordBatch]:
@@ -85,7 +104,8 @@ def _suffixes(batches: Iterator[pa.RecordBatch], least: int, prefix: int) -> Ite
         out: list[tuple] = []
         for r, (doc, th, marks) in enumerate(zip(rows.column("doc_id").to_pylist(), rows.column("th").to_pylist(), rows.column("marks").to_pylist())):
             lo, hi = int(at[r]), int(at[r + 1])
-            marks = sorted({(m["pos"], m["begins"], m["hot"]) for m in marks})
+            out += [(doc ^ th, doc, th, m["pos"], None, None, None, None, m["upto"]) for m in marks if m["upto"]]
+            marks = sorted({(m["pos"], m["begins"], m["hot"]) for m in marks if not m["upto"]})
             stop, alike = 0, {}
             for j in range(len(marks) - 1, -1, -1):
                 p, begins, hot = marks[j]
@@ -106,21 +126,21 @@ def _suffixes(batches: Iterator[pa.RecordBatch], least: int, prefix: int) -> Ite
                 for s in range(b, lo + p + 1):
                     if s + least <= e:
                         k = int(span_hashes(sums, np.array([s]), np.array([s + least])).view(np.int64)[0])
-                        out.append((k, doc, th, s - lo, plain[where[s] : where[e]], None, p, None))
-            out += [(None, doc, th, ps[-1], right, left, ps[-1], ps[:-1]) for (right, left), ps in alike.items()]  # ps fall
+                        out.append((k, doc, th, s - lo, plain[where[s] : where[e]], None, p, None, None))
+            out += [(None, doc, th, ps[-1], right, left, ps[-1], ps[:-1], None) for (right, left), ps in alike.items()]  # ps fall
         if out:
-            key, doc, th, pos, right, left, anchor, more = zip(*out)
+            key, doc, th, pos, right, left, anchor, more, upto = zip(*out)
             # the anchor's hash as the key of those that aren't hot
             if any(k is None for k in key):
                 if sums is None:
                     sums = prefix_hashes(word_hashes(buf, starts, ends))
                 base = {(d, t): int(a) for d, t, a in zip(rows.column("doc_id").to_pylist(), rows.column("th").to_pylist(), at)}
-                s = np.array([base[d, t] + p for d, t, p in zip(doc, th, anchor)])
-                fp = span_hashes(sums, s, s + prefix).view(np.int64)
+                s = np.array([base[d, t] + (p or 0) for d, t, p in zip(doc, th, anchor)])
+                fp = span_hashes(sums, s, np.minimum(s + prefix, len(starts))).view(np.int64)
                 key = [int(f) if k is None else k for k, f in zip(key, fp)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key, pa.int64()), pa.array(doc, pa.int64()), pa.array(th, pa.int64()), pa.array(pos, pa.int32()), pa.array(right, pa.binary()), pa.array(left, pa.binary()), pa.array(more, pa.list_(pa.int32()))],
-                names=["key", "doc_id", "th", "pos", "right", "left", "more"],
+                [pa.array(key, pa.int64()), pa.array(doc, pa.int64()), pa.array(th, pa.int64()), pa.array(pos, pa.int32()), pa.array(right, pa.binary()), pa.array(left, pa.binary()), pa.array(more, pa.list_(pa.int32())), pa.array(upto, pa.int32())],
+                names=["key", "doc_id", "th", "pos", "right", "left", "more", "upto"],
             )
 
 
@@ -195,7 +215,10 @@ def _repeats(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Recor
 
     for b in batches:
         right, left = hashes(b.column("right")), hashes(b.column("left"))
-        for i, (k, doc, th, pos, more, long) in enumerate(zip(*(b.column(c).to_pylist() for c in ("key", "doc_id", "th", "pos", "more")), b.column("left").is_null().to_pylist())):
+        for i, (k, doc, th, pos, more, upto, long) in enumerate(zip(*(b.column(c).to_pylist() for c in ("key", "doc_id", "th", "pos", "more", "upto")), b.column("left").is_null().to_pylist())):
+            if upto is not None:
+                found.append(((doc, th, pos), pos, upto - pos, (doc, th, -1), -1))
+                continue
             if (k, long) != key:
                 finish()
                 key, ids, rights, lefts, depths, last, hot = (k, long), [], [], [], [], None, long
@@ -225,16 +248,16 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def repeats(docs: DataFrame, id_col: str, text_col: str, least: int, prefix: int, hot: int) -> tuple[DataFrame, Scratch]:
     """doc_id, th (the text's hash), begin, end, first_doc, first_begin in words: repeats as the trees give them, overlapping."""
     docs, scratch = _keyed(docs, id_col, text_col), Scratch(docs.sparkSession)
-    rows = docs.mapInArrow(lambda it: _anchored(it, least, prefix), "fp long, link long, r long, l long, doc_id long, th long, pos int")
+    rows = docs.mapInArrow(lambda it: _anchored(it, least, prefix), "fp long, link long, r long, l long, doc_id long, th long, pos int, upto int")
     same = Window.partitionBy("fp")
-    marked = rows.repartition("fp").select("*", F.count("*").over(same).alias("n"), F.count("link").over(same).alias("linked"), F.min("link").over(same).alias("lo"), F.max("link").over(same).alias("hi")).where("n > 1")
+    marked = rows.repartition("fp").select("*", F.count("*").over(same).alias("n"), F.count("link").over(same).alias("linked"), F.min("link").over(same).alias("lo"), F.max("link").over(same).alias("hi")).where("n > 1 or upto is not null")
     # a repeat that holds an anchor also holds as many words on its one side or the other as halve the rest of a window
-    marked = marked.select("*", F.count("r").over(Window.partitionBy("fp", "r")).alias("rs"), F.count("l").over(Window.partitionBy("fp", "l")).alias("ls")).where("rs > 1 or ls > 1")
-    marked = marked.select("doc_id", "th", F.struct("pos", F.expr("linked < n or lo <> hi").alias("begins"), (F.col("n") > hot).alias("hot")).alias("mark"))
+    marked = marked.select("*", F.count("r").over(Window.partitionBy("fp", "r")).alias("rs"), F.count("l").over(Window.partitionBy("fp", "l")).alias("ls")).where("rs > 1 or ls > 1 or upto is not null")
+    marked = marked.select("doc_id", "th", F.struct("pos", F.expr("linked < n or lo <> hi").alias("begins"), (F.col("n") > hot).alias("hot"), "upto").alias("mark"))
     marks = scratch.save(marked.groupBy("doc_id", "th").agg(F.collect_list("mark").alias("marks")))
     known = marks.agg(F.count("*"), F.sum(F.size("marks"))).first()
     with_marks = docs.join(small(marks, (known[0] or 0) + (known[1] or 0), 48), ["doc_id", "th"])
-    suffixes = with_marks.mapInArrow(lambda it: _suffixes(it, least, prefix), "key long, doc_id long, th long, pos int, right binary, left binary, more array<int>")
+    suffixes = with_marks.mapInArrow(lambda it: _suffixes(it, least, prefix), "key long, doc_id long, th long, pos int, right binary, left binary, more array<int>, upto int")
     found = suffixes.repartition("key").sortWithinPartitions("key", F.col("left").isNull(), "right").mapInArrow(lambda it: _repeats(it, least), "doc_id long, th long, begin int, end int, first_doc long, first_begin int")
     out = scratch.save(found)
     scratch.drop(marks)
