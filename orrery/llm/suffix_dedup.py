@@ -255,8 +255,7 @@ def repeats(docs: DataFrame, id_col: str, text_col: str, least: int, prefix: int
     marked = marked.select("*", F.count("r").over(Window.partitionBy("fp", "r")).alias("rs"), F.count("l").over(Window.partitionBy("fp", "l")).alias("ls")).where("rs > 1 or ls > 1 or upto is not null")
     marked = marked.select("doc_id", "th", F.struct("pos", F.expr("linked < n or lo <> hi").alias("begins"), (F.col("n") > hot).alias("hot"), "upto").alias("mark"))
     marks = scratch.save(marked.groupBy("doc_id", "th").agg(F.collect_list("mark").alias("marks")))
-    known = marks.agg(F.count("*"), F.sum(F.size("marks"))).first()
-    with_marks = docs.join(small(marks, (known[0] or 0) + (known[1] or 0), 48), ["doc_id", "th"])
+    with_marks = docs.join(marks.hint("shuffle_merge"), ["doc_id", "th"])  # marks grow with the corpus: never broadcast
     suffixes = with_marks.mapInArrow(lambda it: _suffixes(it, least, prefix), "key long, doc_id long, th long, pos int, right binary, left binary, more array<int>, upto int")
     found = suffixes.repartition("key").sortWithinPartitions("key", F.col("left").isNull(), "right").mapInArrow(lambda it: _repeats(it, least), "doc_id long, th long, begin int, end int, first_doc long, first_begin int")
     out = scratch.save(found)
