@@ -145,7 +145,7 @@ SUPERSEDED = dict(p.split(">") for p in "4dgo>6qs5 4otw>6op9 4v1c>6iso 5v8h>6nfg
 BACKBONE = tuple("CA C HA HN N O".split())
 PARTIAL_CHARGE = {k: float(v) for k, v in (p.split(":") for p in "H:.09 C:-.18 N:-.47 O:-.51 F:-.22 P:1.5 S:-.09 NA:1 K:1 MG:2 ZN:2 CA:2 CL:-.04 BR:-.1 B:.13".split())}
 #: Typical bond lengths (Å) by elements and order (- single, = double, ~ aromatic, ≡ triple), either way round.
-_BONDS = {"C-C": 1.51, "C~C": 1.39, "C~N": 1.35, "C-N": 1.47, "C-O": 1.43, "C-S": 1.82, "N-H": 1.01, "C-H": 1.09, "O-H": 0.96, "C=C": 1.34, "C=O": 1.23, "C=N": 1.28, "C≡N": 1.16, "S-S": 2.05}
+_BONDS = {k: float(v) for k, v in (p.split() for p in "C-C 1.51; C~C 1.39; C~N 1.35; C-N 1.47; C-O 1.43; C-S 1.82; N-H 1.01; C-H 1.09; O-H 0.96; C=C 1.34; C=O 1.23; C=N 1.28; C≡N 1.16; S-S 2.05".split(";"))}
 BOND_LENGTH = _BONDS | {k[::-1]: v for k, v in _BONDS.items() if "~" not in k}
 OTHER_BOND = 1.5
 
