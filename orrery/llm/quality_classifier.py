@@ -2,7 +2,7 @@
 
 A document's features are its words and, of each word between the marks < and >, all runs of NGRAMS bytes, without ASCII case, hashed into
 2**BITS buckets of DIM learned numbers. Classes are the pairs of the labels quality and toxic. Training is stochastic gradient descent
-in numpy, one document a step, with a step size for each bucket that falls with its past gradients.
+in numpy, one document a step, with a step size for each bucket that falls with its past gradients. Buckets of fewer than LEAST_DOCS training documents stay zero.
 
 The training rows are at most SAMPLE labelled documents, those with the least hash of their id: the one documented bound. All
 documents are scored, each over its whole text, without a shuffle: embeddings times output weights are one table, which has a fixed size.
@@ -23,9 +23,11 @@ from pyspark.sql import functions as F
 
 from .common import FOLD, U, small, texts, word_hashes, words
 
-NGRAMS, BITS, DIM, SAMPLE, EPOCHS, RATE = (3, 4, 5), 18, 16, 6000, 10, 1.0
+NGRAMS, BITS, DIM, SAMPLE, EPOCHS, RATE = (3, 4, 5), 18, 16, 6000, 10, 2.0
+#: A bucket learns if it stands in at least so many training documents; rarer ones would only be learned by heart.
+LEAST_DOCS = 6
 #: Least quality and greatest toxicity of what is kept.
-QUALITY, TOXIC = 0.5, 0.4
+QUALITY, TOXIC = 0.5, 0.3
 CLASSES = 4  # quality + 2 * toxic
 _SPREAD = U(0x9E3779B97F4A7C15)
 
@@ -59,7 +61,7 @@ def features(buf: np.ndarray, off: np.ndarray, bits: int = BITS, ngrams=NGRAMS)
     return out, begin
 
 
-def train(raw: list[bytes], labels: np.ndarray, bits: int = BITS, dim: int = DIM, epochs: int = EPOCHS, rate: float = RATE, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
+def train(raw: list[bytes], labels: np.ndarray, bits: int = BITS, dim: int = DIM, epochs: int = EPOCHS, rate: float = RATE, least_docs: int = LEAST_DOCS, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """Score table (2**bits, CLASSES) and bias."""
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / dim, 1 / dim, (1 << bits, dim)).astype(np.float32)
@@ -72,6 +74,12 @@ def train(raw: list[bytes], labels: np.ndarray, bits: int = BITS, dim: int = DIM
         parts, _ = features(buf, np.array([0, len(buf)]), bits)
         u, c = np.unique(np.concatenate(parts), return_counts=True)
         docs.append((u, (c / max(1, c.sum())).astype(np.float32)))
+    known = np.zeros(1 << bits, np.int32)
+    for u, _ in docs:
+        known[u] += 1
+    known = known >= least_docs
+    docs = [(u[known[u]], f[known[u]]) for u, f in docs]
+    vectors[~known] = 0
     if len(labels):
         share = np.bincount(labels, minlength=CLASSES) + 1
         bias[:] = np.log(share / share.sum())
