@@ -268,13 +268,14 @@ def _merged(found: DataFrame) -> DataFrame:
     by = Window.partitionBy("doc_id", "th").orderBy("begin", "end")
     reach = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
     island = found.withColumn("new", F.when(F.col("begin") <= reach, 0).otherwise(1)).withColumn("island", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    return island.groupBy("doc_id", "th", "island").agg(F.min("begin").alias("start_word"), F.max("end").alias("end_word"), F.min("first_doc").alias("first_doc"))
+    return island.groupBy("doc_id", "th", "island").agg(F.min("begin").alias("start_word"), F.max("end").alias("end_word"), F.min("first_doc").alias("first_doc"), F.array_sort(F.collect_set("first_doc")).alias("first_docs"))
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, prefix: int = PREFIX, hot: int = HOT) -> DataFrame:
-    """doc_id, first_doc, start_word, end_word: each passage that stands earlier, in words of its document, and the least document it repeats."""
+    """doc_id, start_word, end_word, first_doc, first_docs: each passage that stands earlier, in words of its document, and the least, and all, of the
+    documents where parts of it stand first."""
     found, _ = repeats(docs, id_col, text_col, least, prefix, hot)
-    return _merged(found).select("doc_id", "first_doc", "start_word", "end_word")
+    return _merged(found).select("doc_id", "start_word", "end_word", "first_doc", "first_docs")
 
 
 def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars", least: int = LEAST, prefix: int = PREFIX, hot: int = HOT) -> DataFrame:
