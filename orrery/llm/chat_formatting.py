@@ -23,6 +23,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
 LEAST = 12
 _QUOTE = re.compile(r"^[ \t]*((?:>[ \t]?)+)")
 _ANNOUNCE = re.compile(r"^\s*(?:on\b.{0,200}\bwrote|.{0,200}\b(?:schrieb|a écrit|escribió)|-{2,}\s*original message\s*-{2,}|from:.{0,200})\s*:?\s*$", re.I)
@@ -114,7 +116,8 @@ def conversations(messages: DataFrame, conv_col: str = "conv_id", turn_col: str
     rows = messages.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.coalesce(F.col(role_col).cast("string"), F.lit("unknown")).alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.where("conv_id is not null and turn is not null")
     unit = "array<struct<level:int,hash:long,letters:int>>"
-    parsed_ = rows.distinct().mapInArrow(lambda it: _parse(it, least), f"conv_id long, turn long, role string, text string, own {unit}, quotes {unit}")
+    # parsed once: three branches of the plan read it
+    parsed_ = Scratch(messages.sparkSession).save(rows.distinct().mapInArrow(lambda it: _parse(it, least), f"conv_id long, turn long, role string, text string, own {unit}, quotes {unit}"))
     quoted = parsed_.select("conv_id", "turn", F.explode("quotes").alias("q")).select("conv_id", "turn", F.col("q.hash").alias("hash"), "q.level", "q.letters")
     said = parsed_.select("conv_id", F.col("turn").alias("of"), F.explode("own.hash").alias("hash")).distinct()
     met = quoted.distinct().join(said, ["conv_id", "hash"]).where("of < turn")
