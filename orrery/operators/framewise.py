@@ -6,56 +6,67 @@ and never frames times cells.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 AGGREGATES = ("mean", "std", "median", "var", "max", "min", "entropy", "drift")
 BINS = 16
 
 
-def _padded(n: Column, empty: float) -> Column:
-    values = F.collect_list("__v")
-    return F.concat(values, F.array_repeat(F.lit(float(empty)), (n - F.size(values)).cast("int")))
+def _entropy(rows: DataFrame, keys: list[str], empty: float) -> DataFrame:
+    """Bits of the histogram over BINS equal bins from least to greatest; 0 where these are equal.
 
-
-def _variance(values: Column, n: Column) -> Column:
-    mean = F.aggregate(values, F.lit(0.0), lambda s, v: s + v) / n
-    return F.aggregate(F.transform(values, lambda v: (v - mean) * (v - mean)), F.lit(0.0), lambda s, v: s + v) / n
-
-
-def _entropy(values: Column, n: Column) -> Column:
-    """Bits of the histogram over BINS equal bins from least to greatest; 0 where these are equal."""
-    lo, hi = F.array_min(values), F.array_max(values)
-    bins = F.transform(values, lambda v: F.least(F.floor((v - lo) / (hi - lo) * BINS).cast("int"), F.lit(BINS - 1)))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda b: F.size(F.filter(bins, lambda x: x == b)) / n)
-    bits = F.aggregate(counts, F.lit(0.0), lambda s, p: s - F.when(p > 0, p * F.log2(p)).otherwise(0.0))
-    return F.when((n <= 1) | (hi == lo), 0.0).otherwise(bits)
+    Ends come from a window over the keys, whose partitioning also serves both groupings after it: one exchange."""
+    over, e = Window.partitionBy(*keys), F.lit(float(empty))
+    have = F.count("*").over(over)
+    ends = rows.withColumns({"__k": F.col("__n") - have, "__lo": F.min("__v").over(over), "__hi": F.max("__v").over(over)})
+    some = F.col("__k") > 0
+    ends = ends.withColumns({"__lo": F.when(some, F.least("__lo", e)).otherwise(F.col("__lo")), "__hi": F.when(some, F.greatest("__hi", e)).otherwise(F.col("__hi"))})
+    width = F.nullif(F.col("__hi") - F.col("__lo"), F.lit(0.0))
+    place = lambda v: F.coalesce(F.least(F.floor((v - F.col("__lo")) / width * BINS), F.lit(BINS - 1)), F.lit(0)).cast("int")
+    counts = ends.withColumns({"__b": place(F.col("__v")), "__e": place(e)}).groupBy(*keys, "__b").agg(F.count("*").alias("__c"), *(F.first(c).alias(c) for c in ("__n", "__k", "__e")))
+    bits = lambda c: -(c / F.col("__n")) * F.log2(c / F.col("__n"))
+    with_empty = counts.withColumn("__bits", bits(F.col("__c") + F.when(F.col("__b") == F.col("__e"), F.col("__k")).otherwise(0.0)))
+    # the empty frames' bin, where no other value lies in it
+    alone = F.when((F.max((F.col("__b") == F.col("__e")).cast("int")) == 0) & (F.first("__k") > 0), -(F.first("__k") / F.first("__n")) * F.log2(F.first("__k") / F.first("__n"))).otherwise(0.0)
+    return with_empty.groupBy(*keys).agg((F.sum("__bits") + alone).alias("v"))
 
 
 def aggregate_frames(df: DataFrame, kind: str, keys: list[str], n_frames: int | Column, frame: str = "frame", value: str = "v", empty: float = 0.0) -> DataFrame:
-    """keys and v. frame runs from 0 to n_frames - 1 within a group; n_frames may be a column that is constant in it."""
-    constant = isinstance(n_frames, int)
-    rows = df.select(*keys, F.col(frame).cast("double").alias("__f"), F.col(value).cast("double").alias("__v"), (F.lit(n_frames) if constant else n_frames).cast("double").alias("__n"))
-    by, n, have = rows.groupBy(*keys), F.first("__n"), F.count("*")
+    """keys and v. frame runs from 0 to n_frames - 1 within a group; n_frames may be a column that is constant in it.
+
+    All but the median are plain aggregates with a partial step; the median sorts a group's own values."""
+    n_col = F.lit(n_frames) if isinstance(n_frames, int) else n_frames
+    rows = df.select(*keys, F.col(frame).cast("double").alias("__f"), F.col(value).cast("double").alias("__v"), n_col.cast("double").alias("__n"))
+    by, n, have, e = rows.groupBy(*keys), F.first("__n"), F.count("*"), F.lit(float(empty))
     missing = n - have
     if kind == "mean":
-        v = (F.sum("__v") + missing * F.lit(empty)) / n
+        v = (F.sum("__v") + missing * e) / n
+    elif kind in ("var", "std"):
+        # two sets of values, one of them constant: their squares about the common mean, without cancellation
+        gap = F.avg("__v") - e
+        v = (F.var_pop("__v") * have + gap * gap * have * missing / n) / n
+        v = F.sqrt(v) if kind == "std" else v
     elif kind in ("max", "min"):
         best, pick = (F.max, F.greatest) if kind == "max" else (F.min, F.least)
-        v = F.when(missing > 0, pick(best("__v"), F.lit(float(empty)))).otherwise(best("__v"))
+        v = F.when(missing > 0, pick(best("__v"), e)).otherwise(best("__v"))
     elif kind == "drift":
         # slope of least squares on frames 0 to n - 1; missing frames add nothing once values are taken from `empty`
-        f = F.sum(F.col("__f") * (F.col("__v") - F.lit(empty)))
-        s = F.sum(F.col("__v") - F.lit(empty))
+        f = F.sum(F.col("__f") * (F.col("__v") - e))
+        s = F.sum(F.col("__v") - e)
         v = F.when(n <= 1, 0.0).otherwise((n * f - n * (n - 1) / 2 * s) / (n * (n - 1) * n * (2 * n - 1) / 6 - n * (n - 1) / 2 * (n * (n - 1) / 2)))
-    elif kind in ("std", "var", "median", "entropy"):
-        held = by.agg(_padded(n, empty).alias("__a"), n.alias("__n"))
-        a, m = F.col("__a"), F.col("__n")
-        if kind == "median":
-            s = F.sort_array(a)
-            low, high = F.element_at(s, F.floor((m + 1) / 2).cast("int")), F.element_at(s, F.floor(m / 2).cast("int") + 1)
-            return held.select(*keys, ((low + high) / 2).alias("v"))
-        return held.select(*keys, (_entropy(a, m) if kind == "entropy" else _variance(a, m) if kind == "var" else F.sqrt(_variance(a, m))).alias("v"))
+    elif kind == "median":
+        held = by.agg(F.sort_array(F.collect_list("__v")).alias("__a"), n.alias("__n"), F.count(F.when(F.col("__v") < e, 1)).alias("__less"))
+        gone = F.col("__n") - F.size("__a")
+
+        def ranked(i: Column) -> Column:
+            """The i-th value (from 1) with the empty frames in their place among the sorted ones."""
+            at = lambda j: F.try_element_at("__a", j.cast("int"))
+            return F.when(i <= F.col("__less"), at(i)).when(i <= F.col("__less") + gone, e).otherwise(at(F.greatest(i - gone, F.lit(1.0))))
+
+        return held.select(*keys, ((ranked(F.floor((F.col("__n") + 1) / 2)) + ranked(F.floor(F.col("__n") / 2) + 1)) / 2).alias("v"))
+    elif kind == "entropy":
+        return _entropy(rows, keys, empty)
     else:
         raise ValueError(f"no aggregate {kind!r}; there are {', '.join(AGGREGATES)}")
     return by.agg(v.alias("v"))

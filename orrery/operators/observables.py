@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import pi
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..spec import GridSpec
 from .grid import AXES, CELL, near_cells
@@ -18,22 +22,25 @@ def empty_value(kind: str, cutoff: float) -> float:
     return float(cutoff) if kind == "eccentricity" else 0.0
 
 
-def _pairs(points: Column) -> Column:
-    """Sum over pairs of w w' d over sum of w w'; both orders of a pair and the pairs with itself (d = 0) cancel or are taken off."""
-    zero = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("d"))
-
-    def with_(p: Column) -> Column:
-        def add(s: Column, q: Column) -> Column:
-            d = F.sqrt(sum((((p[a] - q[a]) * (p[a] - q[a])) for a in ("dy", "dz")), (p["dx"] - q["dx"]) * (p["dx"] - q["dx"])))
-            return F.struct((s["n"] + p["w"] * q["w"] * d).alias("n"), (s["d"] + p["w"] * q["w"]).alias("d"))
-
-        return F.aggregate(points, zero, add)
-
-    def total(s: Column, p: Column) -> Column:
-        t = with_(p)
-        return F.struct((s["n"] + t["n"]).alias("n"), (s["d"] + t["d"] - p["w"] * p["w"]).alias("d"))
-
-    return F.aggregate(points, zero, total, lambda s: F.when(s["d"] == 0, 0.0).otherwise(s["n"] / s["d"]))
+def _dispersion(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each row's points to the mean of their pairs' distances, weighted by both weights; 0 without weight. Rows of as many points go together."""
+    for b in batches:
+        lists = b.column(b.num_columns - 1)
+        start = np.asarray(lists.offsets)[:-1] - np.asarray(lists.offsets)[0]
+        size, flat = np.diff(np.asarray(lists.offsets)), lists.flatten()
+        w, *axes = (np.asarray(c) for c in flat.flatten())
+        out = np.zeros(len(start))
+        for n in np.unique(size[size > 1]).tolist():
+            rows, step = np.flatnonzero(size == n), max(1, (1 << 19) // (n * n))
+            for i in range(0, len(rows), step):
+                r = rows[i : i + step]
+                at = start[r][:, None] + np.arange(n)
+                d2 = sum((x[at][:, :, None] - x[at][:, None, :]) ** 2 for x in axes)
+                ww = w[at][:, :, None] * w[at][:, None, :]
+                ww[:, np.arange(n), np.arange(n)] = 0
+                total = ww.sum(axis=(1, 2))
+                out[r] = np.divide((ww * np.sqrt(d2)).sum(axis=(1, 2)), total, out=np.zeros(len(r)), where=total != 0)
+        yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out)], names=[*b.schema.names[:-1], "v"])
 
 
 def observed(near: DataFrame, kind: str, cutoff: float, spacing: float, keys: list[str], weight: str = "w") -> DataFrame:
@@ -63,7 +70,8 @@ def observed(near: DataFrame, kind: str, cutoff: float, spacing: float, keys: li
         out = out.withColumn("v", F.when((F.col("n") <= 1) | (F.col("s") == 0), 0.0).otherwise(F.sqrt(F.greatest(F.lit(0.0), F.col("s2") / F.col("s") - length2))))
     elif kind == "dispersion":
         points = F.collect_list(F.struct(w.alias("w"), *(r.alias(f"d{a}") for a, r in rel.items())))
-        out = by.agg(points.alias("p")).withColumn("v", _pairs(F.col("p")))
+        held = by.agg(points.alias("p"))
+        out = held.mapInArrow(_dispersion, T.StructType([*held.schema.fields[:-1], T.StructField("v", T.DoubleType())]))
     else:
         raise ValueError(f"no observable {kind!r}; there are {', '.join(OBSERVABLES)}")
     return out.select(*keys, *CELL, "v")

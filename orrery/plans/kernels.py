@@ -158,8 +158,8 @@ def grid_coords_linspace(v):
     return g.grid_linspace(v.spark, (1.0, 2.0, 3.0), (7.0, 7.0, 3.5), (SIDE,) * 3)
 
 
-# a series of which only purchases and clicks have a row; the other places count as 0 (sevenths never end on a half, so places round alike)
-_SERIES = "dense AS (SELECT traj_id, frame, CASE WHEN event_type IN ('purchase', 'click') THEN v / 7 ELSE 0 END AS v, count(*) OVER (PARTITION BY traj_id) AS n FROM v_series)"
+# a series of which only purchases and clicks have a row; the other places count as 0 (the factor's digits keep values off the halves between two roundings)
+_SERIES = "dense AS (SELECT traj_id, frame, CASE WHEN event_type IN ('purchase', 'click') THEN v * 0.6180339 ELSE 0 END AS v, count(*) OVER (PARTITION BY traj_id) AS n FROM v_series)"
 _SOME = ", chosen AS (SELECT dense.* FROM dense WHERE traj_id IN (SELECT traj_id FROM v_series WHERE event_type IN ('purchase', 'click')))"
 
 
@@ -167,7 +167,7 @@ def _series(v):
     from pyspark.sql import Window
 
     rows = v.series.withColumn("n", F.count("*").over(Window.partitionBy("traj_id")))
-    return rows.where(F.col("event_type").isin("purchase", "click")).withColumn("v", F.col("v") / 7)
+    return rows.where(F.col("event_type").isin("purchase", "click")).withColumn("v", F.col("v") * 0.6180339)
 
 
 for _agg in AGGREGATES:
