@@ -7,7 +7,7 @@ from math import pi
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,38 +43,49 @@ def _dispersion(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out)], names=[*b.schema.names[:-1], "v"])
 
 
-def observed(near: DataFrame, kind: str, cutoff: float, spacing: float, keys: list[str], weight: str = "w") -> DataFrame:
-    """keys, gx, gy, gz and v, from rows of near_cells()."""
-    w, d = F.col(weight).cast("double"), F.sqrt("d2")
-    by = near.groupBy(*keys, *CELL)
+def _measure(kind: str, cutoff: float, spacing: float, weight: str, tag: str) -> tuple[list[Column], Column]:
+    """The aggregates that a kind needs, named by tag, and its value from them."""
+    w, d, c = F.col(weight).cast("double"), F.sqrt("d2"), lambda name: F.col(tag + name)
+    total, number = F.sum(w).alias(tag + "s"), F.count("*").alias(tag + "n")
     # relative to the cell, coordinates are at most the cutoff: sums of squares keep their digits
     rel = {a: F.col(a) - F.col(g) * F.lit(float(spacing)) for a, g in zip(AXES, CELL)}
-    moments = [F.sum(w).alias("s"), F.count("*").alias("n"), *(F.sum(w * r).alias(f"s{a}") for a, r in rel.items())]
-    length2 = (F.col("sx") * F.col("sx") + F.col("sy") * F.col("sy") + F.col("sz") * F.col("sz")) / (F.col("s") * F.col("s"))
+    moments = [total, number, *(F.sum(w * r).alias(tag + "s" + a) for a, r in rel.items())]
+    length2 = (c("sx") * c("sx") + c("sy") * c("sy") + c("sz") * c("sz")) / (c("s") * c("s"))
     if kind == "existence":
-        return by.agg(F.lit(1.0).alias("v"))
+        return [number], F.lit(1.0)
     if kind == "direct_count":
-        return by.agg(F.count("*").cast("double").alias("v"))
+        return [number], c("n").cast("double")
     if kind == "distinct_count":
-        return by.agg(F.count_distinct(w).cast("double").alias("v"))
+        return [F.count_distinct(w).alias(tag + "u")], c("u").cast("double")
     if kind == "mean_distance":
-        return by.agg((F.sum(d * w) / F.nullif(F.sum(w), F.lit(0.0))).alias("v"))
+        return [total, F.sum(d * w).alias(tag + "d")], c("d") / F.nullif(c("s"), F.lit(0.0))
     if kind == "cumulative_weight":
-        return by.agg(F.sum(w).alias("v"))
+        return [total], c("s")
     if kind == "density":
-        return by.agg((F.sum(w) / F.lit(4 / 3 * pi * cutoff**3)).alias("v"))
+        return [total], c("s") / F.lit(4 / 3 * pi * cutoff**3)
     if kind == "eccentricity":
-        out = by.agg(*moments).withColumn("v", F.when(F.col("s") == 0, float(cutoff)).otherwise(F.sqrt(length2)))
-    elif kind == "radius_of_gyration":
-        out = by.agg(*moments, F.sum(w * F.col("d2")).alias("s2"))
-        out = out.withColumn("v", F.when((F.col("n") <= 1) | (F.col("s") == 0), 0.0).otherwise(F.sqrt(F.greatest(F.lit(0.0), F.col("s2") / F.col("s") - length2))))
-    elif kind == "dispersion":
-        points = F.collect_list(F.struct(w.alias("w"), *(r.alias(f"d{a}") for a, r in rel.items())))
-        held = by.agg(points.alias("p"))
-        out = held.mapInArrow(_dispersion, T.StructType([*held.schema.fields[:-1], T.StructField("v", T.DoubleType())]))
-    else:
-        raise ValueError(f"no observable {kind!r}; there are {', '.join(OBSERVABLES)}")
-    return out.select(*keys, *CELL, "v")
+        return moments, F.when(c("s") == 0, float(cutoff)).otherwise(F.sqrt(length2))
+    if kind == "radius_of_gyration":
+        square = F.sum(w * F.col("d2")).alias(tag + "s2")
+        return [*moments, square], F.when((c("n") <= 1) | (c("s") == 0), 0.0).otherwise(F.sqrt(F.greatest(F.lit(0.0), c("s2") / c("s") - length2)))
+    raise ValueError(f"no observable {kind!r}; there are {', '.join(OBSERVABLES)}")
+
+
+def observed_together(near: DataFrame, wanted: list[tuple[str, str, str]], cutoff: float, spacing: float, keys: list[str]) -> DataFrame:
+    """keys, gx, gy, gz and a column for each of wanted (name, kind, weight column), from one grouping of near_cells(). No dispersion."""
+    parts = [(name, *_measure(kind, cutoff, spacing, weight, f"__{i}_")) for i, (name, kind, weight) in enumerate(wanted)]
+    by = near.groupBy(*keys, *CELL).agg(*(a for _, aggregates, _ in parts for a in aggregates))
+    return by.select(*keys, *CELL, *(value.alias(name) for name, _, value in parts))
+
+
+def observed(near: DataFrame, kind: str, cutoff: float, spacing: float, keys: list[str], weight: str = "w") -> DataFrame:
+    """keys, gx, gy, gz and v, from rows of near_cells()."""
+    if kind != "dispersion":
+        return observed_together(near, [("v", kind, weight)], cutoff, spacing, keys)
+    w = F.col(weight).cast("double")
+    points = F.collect_list(F.struct(w.alias("w"), *((F.col(a) - F.col(g) * F.lit(float(spacing))).alias(f"d{a}") for a, g in zip(AXES, CELL))))
+    held = near.groupBy(*keys, *CELL).agg(points.alias("p"))
+    return held.mapInArrow(_dispersion, T.StructType([*held.schema.fields[:-1], T.StructField("v", T.DoubleType())]))
 
 
 def observe(points: DataFrame, grid: GridSpec, kind: str, cutoff: float, keys: list[str], weight: str = "w", on_lattice: bool = False) -> DataFrame:

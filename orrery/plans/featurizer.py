@@ -1,7 +1,7 @@
 """From trajectories to features: one lazy plan for all trajectories, slices, foci and features.
 
 Features that need the same crop share it: the planner groups them by (grid, padding, by_residue, selection), so coordinates are sliced, moved to
-the focus and cropped once a group. All later exchanges are on the sample and cell.
+the focus and cropped once a group, and its observables of one cutoff come from one stencil and one grouping. All later exchanges are on the sample and cell.
 """
 
 from __future__ import annotations
@@ -17,11 +17,12 @@ from ..functions.masks import condition, has_distance, parse, select_atoms
 from ..functions.scalar import element_property
 from ..operators import grid as g
 from ..operators.framewise import aggregate_frames
-from ..operators.observables import empty_value, observe
+from ..operators.observables import OBSERVABLES, empty_value, observe, observed_together
 from ..operators.windows import slices
 from ..spec import SLICE_KEYS, FeatureSpec
 
-Z = F.col
+#: Observables that several features of one crop compute in one grouping.
+TOGETHER = frozenset(OBSERVABLES) - {"dispersion"}
 
 
 def _flag(c: Column, reverse: bool = False) -> Column:
@@ -102,9 +103,30 @@ class Featurizer:
             keep = [*SLICE_KEYS, "slice_frame", "atom_id", *g.AXES]
             own = atoms_.select("traj_id", "atom_id", *(self.weights[s.weight](**dict(s.options)).alias(f"w_{s.outkey}") for s in specs))
             points = cropped.select(*keep).join(own, ["traj_id", "atom_id"])
+            together: dict[float, list[FeatureSpec]] = {}
             for s in specs:
+                if s.kernel in TOGETHER:
+                    together.setdefault(s.cutoff, []).append(s)
+                    continue
                 rows = self._feature(points.withColumn("w", F.col(f"w_{s.outkey}")), s).select(F.lit(s.outkey).alias("outkey"), *SLICE_KEYS, *g.CELL, "v")
                 out = rows if out is None else out.unionByName(rows)
+            for cutoff, own_specs in together.items():
+                rows = self._observables(points, grid, cutoff, own_specs)
+                out = rows if out is None else out.unionByName(rows)
+        return out
+
+    def _observables(self, points: DataFrame, grid, cutoff: float, specs: list[FeatureSpec]) -> DataFrame:
+        """Observables of one crop and cutoff: one stencil and one grouping by frame and cell for all of them. The values then part by
+        how their frames are aggregated; these branches start from the same exchange, which Spark runs once."""
+        by_frame = [*SLICE_KEYS, "slice_frame"]
+        near = g.near_cells(points.select(*by_frame, *g.AXES, *(f"w_{s.outkey}" for s in specs)), grid, cutoff)
+        wide = observed_together(near, [(f"v_{i}", s.kernel, f"w_{s.outkey}") for i, s in enumerate(specs)], cutoff, grid.spacing, by_frame)
+        out = None
+        for how in sorted({(s.frame_agg, empty_value(s.kernel, cutoff)) for s in specs}):
+            named = [F.struct(F.lit(s.outkey).alias("outkey"), F.col(f"v_{i}").alias("v")) for i, s in enumerate(specs) if (s.frame_agg, empty_value(s.kernel, cutoff)) == how]
+            long = wide.select(*by_frame, *g.CELL, F.inline(F.array(*named)))
+            rows = aggregate_frames(long, how[0], ["outkey", *SLICE_KEYS, *g.CELL], self.frame_width, "slice_frame", "v", how[1]).select("outkey", *SLICE_KEYS, *g.CELL, "v")
+            out = rows if out is None else out.unionByName(rows)
         return out
 
     def _selected(self, atoms: DataFrame, coords: DataFrame, selection) -> DataFrame:
