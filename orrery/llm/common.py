@@ -109,7 +109,7 @@ def hashed_words(text: bytes | str, fold: bool = False) -> np.ndarray:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or a temporary one where that is unset, as in tests."""
     sc = spark.sparkContext
-    at = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not at:
         at = tempfile.mkdtemp(prefix="orrery-")
         sc.setCheckpointDir(at)

@@ -130,26 +130,27 @@ def extract(page: str, least: int = LEAST) -> tuple[str, str | None, float]:
     for i in range(1, n):
         dead[i] = dead[parents[i]] or tags[i] in BOILERPLATE
         link[i] = link[parents[i]] or tags[i] == "a"
-    letters, links, own = [0] * n, [0] * n, [0] * n
+    letters, links, commas, own, own_commas = [0] * n, [0] * n, [0] * n, [0] * n, [0] * n
     for node, text in tree.pieces:
         if node >= 0 and not dead[node] and (k := len(text) if " " not in text[:1] + text[-1:] else len(text.strip())):
             letters[node] += k
             links[node] += k * link[node]
+            commas[node] += (c := text.count(","))
             b = node
             while b > 0 and tags[b] not in BLOCKS:
                 b = parents[b]
             own[b] += k
+            own_commas[b] += c
     for i in range(n - 1, 0, -1):
         letters[parents[i]] += letters[i]
         links[parents[i]] += links[i]
+        commas[parents[i]] += commas[i]
     scores: dict[int, float] = {}
     for i in range(1, n):
         if dead[i] or own[i] < least or tags[i] not in BLOCKS or tags[i] in ("h1", "h2", "h3", "h4", "h5", "h6"):
             continue
-        size = letters[i] if tags[i] in PARAGRAPHS else own[i]
-        inside = tree.pieces[tree.first[i] : tree.last[i]]
-        commas = sum(t.count(",") for x, t in inside if x >= 0 and (x == i or tags[i] in PARAGRAPHS or tags[x] not in BLOCKS and not dead[x]))
-        points = 1 + commas + min(size // 100, 3)
+        size, marks = (letters[i], commas[i]) if tags[i] in PARAGRAPHS else (own[i], own_commas[i])
+        points = 1 + marks + min(size // 100, 3)
         points *= 1 - links[i] / letters[i]
         up, level = parents[i], 0
         while up > 0:

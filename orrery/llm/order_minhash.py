@@ -11,7 +11,7 @@ document from the start. Then, in two rounds:
 No bucket or partner is capped; the second round makes up for members that differ from their bucket's least.
 
 Defined results: a null, empty or blank text has no words and belongs to no group; rows without an id are left out (and kept
-by the filter); rows of one id are one document, which is represented by all its rows' texts; the document with the least
+by the filter); rows of one id are one document, which equals another if one of its texts does, and is aligned by its least text; the document with the least
 id of a group is kept; an empty table gives no groups; long texts are sketched and aligned whole.
 """
 

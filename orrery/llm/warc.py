@@ -98,17 +98,15 @@ def records(f: BinaryIO) -> Iterator[dict]:
             return
         data, at = data[i:], at + i
         begin, z, parts = at, zlib.decompressobj(31), []
-        held = data  # should the member prove corrupt, the search goes on behind its first byte
         try:
             while True:
                 parts.append(z.decompress(data))
                 if z.eof or ended:
                     break
                 data = more()
-                held += data if len(held) < BLOCK else b""
         except zlib.error:
             yield _parsed(b"", True) | {"offset": begin}
-            # on from the next member mark behind the bytes that were read well
+            # the search for the next member goes on behind this one's mark
             f.seek(begin + len(MAGIC))
             data, at, ended = more(), begin + len(MAGIC), False
             continue
