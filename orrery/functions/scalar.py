@@ -93,3 +93,14 @@ def histogram(df: DataFrame, keys: list[str], value: str, lo: float, hi: float,
     """keys, bin from 0, n; the last bin takes hi, values outside are left out."""
     b = F.least(F.floor((F.col(value) - lo) / F.lit((hi - lo) / bins)).cast("int"), F.lit(bins - 1))
     return df.where(F.col(value).between(lo, hi)).groupBy(*keys, b.alias("bin")).agg(F.count("*").alias("n"))
+
+
+def stamp(at: Column | None = None) -> Column:
+    """A run's mark: date, time and four digits of the nanoseconds."""
+    t = F.current_timestamp() if at is None else at
+    return F.concat(F.date_format(t, "yyMMdd_HHmmss_"), F.lpad((F.unix_micros(t) % 10_000).cast("string"), 4, "0"))
+
+
+def sample_rows(df: DataFrame, n: int, seed: int) -> DataFrame:
+    """n rows by chance, without replacement; a top-n of random numbers, so nothing is sorted as a whole."""
+    return df.withColumn("__r", F.rand(seed)).orderBy("__r").limit(n).drop("__r")

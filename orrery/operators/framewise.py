@@ -6,6 +6,8 @@ and never frames times cells.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,14 +34,18 @@ def _entropy(rows: DataFrame, keys: list[str], empty: float) -> DataFrame:
     return with_empty.groupBy(*keys).agg((F.sum("__bits") + alone).alias("v"))
 
 
-def aggregate_frames(df: DataFrame, kind: str, keys: list[str], n_frames: int | Column, frame: str = "frame", value: str = "v", empty: float = 0.0) -> DataFrame:
+def aggregate_frames(df: DataFrame, kind: str | Callable[[Column, Column], Column], keys: list[str], n_frames: int | Column, frame: str = "frame", value: str = "v", empty: float = 0.0) -> DataFrame:
     """keys and v. frame runs from 0 to n_frames - 1 within a group; n_frames may be a column that is constant in it.
 
-    All but the median are plain aggregates with a partial step; the median sorts a group's own values."""
+    All but the median are plain aggregates with a partial step; the median sorts a group's own values. kind may be a function of one's own:
+    it gets a group's values as an array (in no order, empty frames included) and their number."""
     n_col = F.lit(n_frames) if isinstance(n_frames, int) else n_frames
     rows = df.select(*keys, F.col(frame).cast("double").alias("__f"), F.col(value).cast("double").alias("__v"), n_col.cast("double").alias("__n"))
     by, n, have, e = rows.groupBy(*keys), F.first("__n"), F.count("*"), F.lit(float(empty))
     missing = n - have
+    if callable(kind):
+        held = by.agg(F.concat(F.collect_list("__v"), F.array_repeat(e, missing.cast("int"))).alias("__a"), n.alias("__n"))
+        return held.select(*keys, kind(F.col("__a"), F.col("__n")).alias("v"))
     if kind == "mean":
         v = (F.sum("__v") + missing * e) / n
     elif kind in ("var", "std"):

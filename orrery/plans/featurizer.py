@@ -122,7 +122,7 @@ class Featurizer:
         near = g.near_cells(points.select(*by_frame, *g.AXES, *(f"w_{s.outkey}" for s in specs)), grid, cutoff)
         wide = observed_together(near, [(f"v_{i}", s.kernel, f"w_{s.outkey}") for i, s in enumerate(specs)], cutoff, grid.spacing, by_frame)
         out = None
-        for how in sorted({(s.frame_agg, empty_value(s.kernel, cutoff)) for s in specs}):
+        for how in dict.fromkeys((s.frame_agg, empty_value(s.kernel, cutoff)) for s in specs):
             named = [F.struct(F.lit(s.outkey).alias("outkey"), F.col(f"v_{i}").alias("v")) for i, s in enumerate(specs) if (s.frame_agg, empty_value(s.kernel, cutoff)) == how]
             long = wide.select(*by_frame, *g.CELL, F.inline(F.array(*named)))
             rows = aggregate_frames(long, how[0], ["outkey", *SLICE_KEYS, *g.CELL], self.frame_width, "slice_frame", "v", how[1]).select("outkey", *SLICE_KEYS, *g.CELL, "v")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SOLVENT = ("WAT", "Cl-", "Na+")
+F_TRIM = "trim(substring(s, {}, 8))"
 
 
 def parse(texts: DataFrame, id_col: str = "traj_id", text_col: str = "text") -> DataFrame:
@@ -26,9 +27,6 @@ def parse(texts: DataFrame, id_col: str = "traj_id", text_col: str = "text") ->
     return numbered.select("traj_id", F.col("frame").cast("int").alias("frame"), "atom_id", "atom_name", "resname", F.col("resid").cast("int").alias("resid"), "element", "x", "y", "z")
 
 
-F_TRIM = "trim(substring(s, {}, 8))"
-
-
 def read(spark: SparkSession, path: str) -> DataFrame:
     """All structure files under path; traj_id is the file's name without its ending."""
     texts = spark.read.text(path, wholetext=True).withColumn("traj_id", F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[^./]+)?$", 1))
@@ -63,6 +61,11 @@ def block(atoms: DataFrame, keys: list[str], order: str = "atom_id", mark: str =
     return rows.select(*keys, F.concat(F.array_join("l.line", "\n"), F.lit("\nTER\n")).alias("text"))
 
 
+def write(texts: DataFrame, path: str, id_col: str = "traj_id", text_col: str = "text") -> None:
+    """A folder of text for each structure; read() with the folder's name as the id is up to the caller."""
+    texts.select(id_col, text_col).repartition(id_col).write.mode("overwrite").partitionBy(id_col).text(path)
+
+
 def combine(ligands: DataFrame, proteins: DataFrame, key: str = "traj_id") -> DataFrame:
     """key and text: the atom records of both texts, the protein's first, with UNL renamed to LIG."""
     records = lambda c: F.filter(F.split(c, "\r?\n"), lambda s: s.rlike("^(ATOM|HETATM)"))

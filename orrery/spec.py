@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, fields, replace
 from math import ceil, floor
 
@@ -56,7 +57,7 @@ class FeatureSpec:
     outkey: str
     weight: str = "uniform"
     kernel: str = "static"
-    frame_agg: str = "mean"
+    frame_agg: str | Callable = "mean"
     selection: str | tuple[int, ...] | None = None
     cutoff: float | None = None
     sigma: float | None = None

@@ -119,6 +119,8 @@ def test_structure_text(spark, atoms, coords, tmp_path):
     back = {(r.traj_id, r.atom_id): (r.atom_name, r.resname, r.resid, r.x) for r in pdb.read(spark, str(tmp_path)).collect()}
     want = {(f"t{r.traj_id}", r.atom_id): (r.atom_name, r.resname, r.resid, pytest.approx(r.x, abs=6e-4)) for r in rows.where("frame = 0").collect()}
     assert back == want
+    pdb.write(text, str(tmp_path / "out"))
+    assert sorted(r.traj_id for r in spark.read.text(str(tmp_path / "out")).select("traj_id").distinct().collect()) == [0, 1]
     models = spark.createDataFrame([("m", "MODEL 1\n" + line[0] + "\nENDMDL\nMODEL 2\n" + line[0] + "\n" + line[4] + "\n")], "traj_id string, text string")
     assert sorted((r.frame, r.atom_id, r.resid) for r in pdb.parse(models).collect()) == [(0, 0, 0), (1, 0, 0), (1, 1, 1)]
     many = spark.createDataFrame([("f", "@<TRIPOS>MOLECULE\na\n@<TRIPOS>MOLECULE\nb\n"), ("g", "x\n$$$$\ny\n$$$$\n")], "file string, text string")
@@ -207,6 +209,8 @@ def test_metrics(spark):
 
 
 def test_scalars(spark):
+    assert scalar.sample_rows(spark.range(50), 7, 1).count() == 7
+    assert spark.range(1).select(scalar.stamp(F.timestamp_micros(F.lit(1_700_000_000_123_456)))).first()[0] == "231114_221320_3456"
     r = spark.sql("select array(0D, 0D) z, array(3D, 4D) a, array(1, 2, 2) s, array(2, 3) t").select(scalar.cosine(F.col("z"), F.col("a")), scalar.jaccard(F.col("s"), F.col("t")), scalar.euclidean(F.col("z"), F.col("a")), scalar.hash_text(F.lit("a"), "sha512")).first()
     assert tuple(r)[:3] == (0.0, pytest.approx(1 / 3), 5.0) and len(r[3]) == 128
     assert len(PAIR_CODE) == 400 and PAIR_CODE["VALALA"] == 380 and len(ELEMENTS) == 118 and BOND_LENGTH["O=C"] == BOND_LENGTH["C=O"]

@@ -136,6 +136,12 @@ def test_frame_aggregates(spark, kind, empty):
             assert got[i] == pytest.approx(AGG[kind](np.where(k, s, empty)), abs=1e-9)
 
 
+def test_own_aggregate(spark):
+    df = spark.createDataFrame([(0, 0, 3.0), (0, 2, 5.0), (1, 1, 2.0)], "i int, frame int, v double")
+    got = {r.i: r.v for r in aggregate_frames(df, lambda a, n: F.array_max(a) * n + F.array_min(a), ["i"], 4, empty=-1.0).collect()}
+    assert got == {0: 19.0, 1: 7.0}
+
+
 def test_grids(spark):
     a = {(r.gx, r.gy, r.gz): (r.x, r.y, r.z) for r in g.grid_coords(spark, GridSpec((2, 3, 4), 0.5), (0.0, 0.0, 0.0)).collect()}
     assert len(a) == 24 and a[0, 0, 0] == (-0.5, -0.75, -1.0) and a[1, 2, 3] == (0.0, 0.25, 0.5)
