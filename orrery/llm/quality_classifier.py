@@ -4,7 +4,8 @@ A document's features are its words and, of each word between the marks < and >,
 2**BITS buckets of DIM learned numbers. Classes are the pairs of the labels quality and toxic. Training is stochastic gradient descent
 in numpy, one document a step, with a step size for each bucket that falls with its past gradients. Buckets of fewer than LEAST_DOCS training documents stay zero.
 
-The training rows are at most SAMPLE labelled documents, those with the least hash of their id: the one documented bound. All
+The training rows are at most SAMPLE labelled documents, of each class at most a quarter of that, those with the least hash of their id: the
+one documented bound. The bias is then set to the classes' shares among all labels. All
 documents are scored, each over its whole text, without a shuffle: embeddings times output weights are one table, which has a fixed size.
 
 Defined results: a null, empty or blank text has no features and gets the scores of the bias alone; rows without an id are scored too;
@@ -15,6 +16,7 @@ everything is kept; rows that repeat are scored alike; an empty table gives an e
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,7 @@ from .common import FOLD, U, small, texts, word_hashes, words
 
 NGRAMS, BITS, DIM, SAMPLE, EPOCHS, RATE = (3, 4, 5), 18, 16, 6000, 10, 2.0
 #: A bucket learns if it stands in at least so many training documents; rarer ones would only be learned by heart.
-LEAST_DOCS = 6
+LEAST_DOCS = 4
 #: Least quality and greatest toxicity of what is kept.
 QUALITY, TOXIC = 0.5, 0.3
 CLASSES = 4  # quality + 2 * toxic
@@ -64,22 +66,21 @@ def features(buf: np.ndarray, off: np.ndarray, bits: int = BITS, ngrams=NGRAMS)
 def train(raw: list[bytes], labels: np.ndarray, bits: int = BITS, dim: int = DIM, epochs: int = EPOCHS, rate: float = RATE, least_docs: int = LEAST_DOCS, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """Score table (2**bits, CLASSES) and bias."""
     rng = np.random.default_rng(seed)
-    vectors = rng.uniform(-1 / dim, 1 / dim, (1 << bits, dim)).astype(np.float32)
-    weights = rng.normal(0, 1 / np.sqrt(dim), (dim, CLASSES)).astype(np.float32)
-    bias, past = np.zeros(CLASSES, np.float32), np.zeros(1 << bits, np.float32)
-    past_w, past_b = np.full((dim, CLASSES), 1e-6, np.float32), np.full(CLASSES, 1e-6, np.float32)
-    docs = []
+    docs, known = [], np.zeros(1 << bits, np.int32)
     for t in raw:
         buf = np.frombuffer(t, np.uint8)
         parts, _ = features(buf, np.array([0, len(buf)]), bits)
         u, c = np.unique(np.concatenate(parts), return_counts=True)
         docs.append((u, (c / max(1, c.sum())).astype(np.float32)))
-    known = np.zeros(1 << bits, np.int32)
-    for u, _ in docs:
         known[u] += 1
-    known = known >= least_docs
-    docs = [(u[known[u]], f[known[u]]) for u, f in docs]
-    vectors[~known] = 0
+    # only buckets that learn are held while training, side by side
+    place = np.cumsum(known >= least_docs) - 1
+    docs = [(place[u[k]], f[k]) for u, f in docs for k in (known[u] >= least_docs,)]
+    size = int(place[-1]) + 1
+    vectors = rng.uniform(-1 / dim, 1 / dim, (size, dim)).astype(np.float32)
+    weights = rng.normal(0, 1 / np.sqrt(dim), (dim, CLASSES)).astype(np.float32)
+    bias, past = np.zeros(CLASSES, np.float32), np.zeros(size, np.float32)
+    past_w, past_b = np.full((dim, CLASSES), 1e-6, np.float32), np.full(CLASSES, 1e-6, np.float32)
     if len(labels):
         share = np.bincount(labels, minlength=CLASSES) + 1
         bias[:] = np.log(share / share.sum())
@@ -95,14 +96,17 @@ def train(raw: list[bytes], labels: np.ndarray, bits: int = BITS, dim: int = DIM
             p[labels[i]] -= 1
             back = weights @ p
             # every feature's gradient is its share times back
-            past[u] += f * f * float(back @ back)
-            vectors[u] = v - (step * f / np.sqrt(past[u] + 1e-10))[:, None] * back
+            seen = past[u] + f * f * float(back @ back)
+            past[u] = seen
+            vectors[u] = v - (step * f / np.sqrt(seen + 1e-10))[:, None] * back
             g = np.outer(hidden, p)
             past_w += g * g
             past_b += p * p
             weights -= 0.1 * step * g / np.sqrt(past_w)
             bias -= 0.1 * step * p / np.sqrt(past_b)
-    return (vectors @ weights).astype(np.float32), bias
+    table = np.zeros((1 << bits, CLASSES), np.float32)
+    table[known >= least_docs] = vectors @ weights
+    return table, bias
 
 
 def scores(buf: np.ndarray, off: np.ndarray, table: np.ndarray, bias: np.ndarray) -> np.ndarray:
@@ -122,15 +126,25 @@ def scores(buf: np.ndarray, off: np.ndarray, table: np.ndarray, bias: np.ndarray
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, **options) -> tuple[np.ndarray, np.ndarray]:
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("quality") + 2 * F.col("toxic")).cast("int").alias("label")).where(f"doc_id is not null and label between 0 and {CLASSES - 1}")
     texts_ = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    chosen = rows.groupBy("doc_id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = texts_.join(small(chosen, sample, 12), "doc_id").groupBy("doc_id").agg(F.min("label").alias("label"), F.min("text").alias("text")).toPandas().sort_values("doc_id")
-    return train([(t or "").encode() for t in rows["text"]], rows["label"].to_numpy(np.int64), **options)
+    rows = rows.groupBy("doc_id").agg(F.min("label").alias("label"))
+    all_ = dict(rows.groupBy("label").count().collect())
+    if not all_:
+        return np.zeros((1 << BITS, CLASSES), np.float32), np.zeros(CLASSES, np.float32)
+    # a top-n by hash for each class: no class is sorted as a whole
+    chosen = reduce(DataFrame.unionByName, (rows.where(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample // CLASSES) for c in all_))
+    pairs = texts_.join(small(chosen, sample, 12), "doc_id").groupBy("doc_id").agg(F.min("label").alias("label"), F.min("text").alias("text")).toPandas().sort_values("doc_id")
+    taught = pairs["label"].to_numpy(np.int64)
+    table, bias = train([(t or "").encode() for t in pairs["text"]], taught, **options)
+    here, there = np.bincount(taught, minlength=CLASSES), np.array([all_.get(c, 0) for c in range(CLASSES)])
+    some = (here > 0) & (there > 0)
+    bias[some] += np.log(there[some] / there.sum()) - np.log(here[some] / here.sum())
+    return table, bias
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, **options) -> DataFrame:
     """doc_id, p_quality, p_toxic, keep: one row for each row of docs; keep is for a quality of at least QUALITY and a toxicity of at most TOXIC."""
     table, bias = fit(docs, labels, id_col, text_col, sample, **options)
-    learned = bool(np.any(bias))
+    learned = bool(np.any(bias))  # not so without labels
     model = docs.sparkSession.sparkContext.broadcast((table, bias))
 
     def scored(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
