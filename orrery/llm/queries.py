@@ -11,13 +11,13 @@ from . import warc
 from .chat_formatting import conversations
 from .common import Scratch
 from .html_extraction import main_text
-from .lm_scoring import perplexity
 from .order_minhash import near_duplicates
 from .packing import pack
 from .quality_classifier import classify
 from .quality_rules import compression_bands
 from .suffix_dedup import repeated_passages
 from .template_decontamination import leaks
+from .word_lm_scoring import word_perplexity
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +55,7 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return perplexity(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return word_perplexity(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
