@@ -5,10 +5,11 @@ Two documents are near-duplicates if the edit similarity of their words, 1 - dis
 
 Method. Every document gives SKETCHES keys: for each of as many hash functions, the ORDER occurrence-labelled K-word
 shingles with the least hashes, in text order. Documents that share a key are candidates. Equal word sequences are one
-document from the start. Then, in two rounds:
+document from the start. Then, in three rounds:
  1. each bucket's members are aligned with its least member, which settles groups of thousands with one alignment a member;
- 2. of each bucket, one member for every group found so far is kept, and all pairs of these not yet tried are aligned.
-No bucket or partner is capped; the second round makes up for members that differ from their bucket's least.
+ 2. of each bucket, one member for every group found so far is kept, and all pairs of these not yet tried are aligned;
+ 3. all pairs of a bucket whose members are still in different groups, and not yet tried, are aligned.
+No bucket or partner is capped; after the third round every pair of a bucket has been aligned, or stands in one group without it.
 
 Defined results: a null, empty or blank text has no words and belongs to no group; rows without an id are left out (and kept
 by the filter); rows of one id are one document, which equals another if one of its texts does, and is aligned by its least text; the document with the least
@@ -235,10 +236,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     left = grouped.groupBy("key", F.coalesce("root", "doc_id").alias("root")).agg(F.min(F.struct("doc_id", "n")).alias("m"))
     left = scratch.save(left.withColumn("s", F.count("*").over(Window.partitionBy("key"))).where("s > 1").select("key", "m"))
     pairs = left.alias("x").join(left.alias("y"), F.expr("x.key = y.key and x.m.doc_id < y.m.doc_id")).where(alike(F.col("x.m.n"), F.col("y.m.n"))).select(F.col("x.m.doc_id").alias("a"), F.col("y.m.doc_id").alias("b")).distinct()
-    more = verify(pairs.join(stars, ["a", "b"], "left_anti"))
-    edges = found.select("a", "b").unionByName(more.select("a", "b")).unionByName(equal.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
+    tried = scratch.save(pairs.join(stars, ["a", "b"], "left_anti"))
+    more = verify(tried)
+    # pairs inside a group are never listed: a bucket's members meet by group
+    old = scratch.save(found.select("a", "b").unionByName(more.select("a", "b")))
+    groups = components(old, scratch)
+    grouped = member.join(small(groups.select(F.col("v").alias("doc_id"), "root"), 2 * old.count(), 16), "doc_id", "left")
+    apart = grouped.groupBy("key", F.coalesce("root", "doc_id").alias("root")).agg(F.collect_list(F.struct("doc_id", "n")).alias("m"))
+    apart = scratch.save(apart.withColumn("s", F.count("*").over(Window.partitionBy("key"))).where("s > 1").select("key", "root", "m"))
+    across = apart.alias("x").join(apart.alias("y"), F.expr("x.key = y.key and x.root < y.root")).select(F.explode("x.m").alias("x"), F.col("y.m").alias("m")).select("x", F.explode("m").alias("y")).where(alike(F.col("x.n"), F.col("y.n")))
+    across = across.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
+    last = verify(across.join(stars.unionByName(tried), ["a", "b"], "left_anti"))
+    edges = old.unionByName(last.select("a", "b")).unionByName(equal.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
     out = components(edges, scratch).select(F.col("v").alias("doc_id"), F.col("root").alias("duplicate_of"))
-    scratch.drop(sketched, equal, buckets, stars, ids, texts_, found, left, more)
+    scratch.drop(sketched, equal, buckets, stars, ids, texts_, found, left, tried, more, old, apart, last)
     return out
 
 

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from orrery.llm.common import hashed_words
-from orrery.llm.order_minhash import distance_within, drop_near_duplicates, near_duplicates, similar
+from orrery.llm.order_minhash import distance_within, drop_near_duplicates, near_duplicates, similar, sketch
 
 
 def levenshtein(x, y):
@@ -74,3 +74,27 @@ def test_defined_results(spark):
 def test_similar():
     x = np.arange(100, dtype=np.uint64)
     assert similar(x, x, 0.8) == 1 and similar(x, x[20:], 0.8) == 0.8 and similar(x, x[21:], 0.8) is None
+
+
+def test_every_pair_of_a_bucket_counts(spark):
+    """Copies of an absent base, most of them too far from their bucket's least: as if all pairs of all buckets were aligned."""
+    rnd = random.Random(7)
+    base, rows = [f"b{i}" for i in range(80)], []
+    for d in range(150):
+        w = list(base)
+        for i in rnd.sample(range(80), rnd.randrange(9, 12)):
+            w[i] = f"x{rnd.randrange(10**6)}"
+        rows.append((d, " ".join(w)))
+    w = {d: hashed_words(t, fold=True) for d, t in rows}
+    keys = {d: set(sketch(x).tolist()) for d, x in w.items()}
+    root = {d: d for d in w}
+
+    def top(x):
+        return x if root[x] == x else top(root[x])
+
+    for a, b in itertools.combinations(w, 2):
+        if keys[a] & keys[b] and similar(w[a], w[b], 0.8) is not None:
+            x, y = sorted((top(a), top(b)))
+            root[y] = x
+    got = {tuple(r) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(d, top(d)) for d in w if top(d) != d} and len(got) > 50
