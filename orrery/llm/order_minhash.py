@@ -4,7 +4,9 @@ Two documents are near-duplicates if the edit similarity of their words, 1 - dis
 `similarity`. Words are compared without ASCII case; white space doesn't count. Groups are the connected components.
 
 Method. Every document gives SKETCHES keys: for each of as many hash functions, the ORDER occurrence-labelled K-word
-shingles with the least hashes, in text order. Documents that share a key are candidates. Equal word sequences are one
+shingles with the least hashes, in text order. Documents that share a key are candidates. Sketches miss short pairs, so those of at
+most SHORT words are found exactly: cut a text of n words into one part more than the edits it may take, and one part stands
+unchanged, hardly moved, in the other text. Documents of up to SHORT words give keys for their parts and for the places where those of a longer one may stand. Equal word sequences are one
 document from the start. Then, in three rounds:
  1. each bucket's members are aligned with its least member, which settles groups of thousands with one alignment a member;
  2. of each bucket, one member for every group found so far is kept, and all pairs of these not yet tried are aligned;
@@ -18,6 +20,7 @@ id of a group is kept; an empty table gives no groups; long texts are sketched a
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +31,8 @@ from pyspark.sql import functions as F
 from .common import FOLD, U, Scratch, hashed_words, keyed, mix, prefix_hashes, small, span_hashes, texts, word_hashes, words
 
 K, ORDER, SKETCHES, SIMILARITY = 3, 3, 64, 0.8
+#: Documents of at most so many words find each other without sketches.
+SHORT = 32
 _rng = np.random.Generator(np.random.PCG64(20))
 _XOR = _rng.integers(0, 1 << 63, 1024, dtype=np.uint64)
 _MUL = _rng.integers(0, 1 << 63, 1024, dtype=np.uint64) * U(2) + U(1)
@@ -85,7 +90,25 @@ def sketch(w: np.ndarray, k: int = K, order: int = ORDER, sketches: int = SKETCH
     return keys
 
 
-def _sketched(batches: Iterator[pa.RecordBatch], k: int, order: int, sketches: int) -> Iterator[pa.RecordBatch]:
+@functools.cache
+def parts(n: int, similarity: float, short: int = SHORT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin, end and salt of each part of n words, and of each run of them that may be a part of a text of n to `short` words."""
+    out = set()
+    for longer in range(n, short + 1):
+        most = int((1 - similarity) * longer + 1e-9)
+        if longer - n > most or not most:
+            continue
+        cuts = [longer * i // (most + 1) for i in range(most + 2)]
+        for i, (a, z) in enumerate(zip(cuts, cuts[1:])):  # i edits at most before the part, or most - i at most after it
+            shift = n - longer
+            for at in range(max(a - i, a + shift - (most - i)), min(a + i, a + shift + most - i) + 1):
+                if at >= 0 and at + z - a <= n:
+                    out.add((at, at + z - a, longer << 8 | i))
+    begin, end, salt = np.array(sorted(out), np.int64).reshape(-1, 3).T
+    return begin, end, mix(salt.astype(U) + U(0x5851F42D4C957F2D))
+
+
+def _sketched(batches: Iterator[pa.RecordBatch], k: int, order: int, sketches: int, similarity: float) -> Iterator[pa.RecordBatch]:
     for rows, buf, off in texts(batches):
         buf = FOLD[buf]
         starts, ends, at = words(buf, off)
@@ -95,9 +118,17 @@ def _sketched(batches: Iterator[pa.RecordBatch], k: int, order: int, sketches: i
         some = np.flatnonzero(n)
         if not len(some):
             continue
-        keys = np.concatenate([sketch(w[at[i] : at[i + 1]], k, order, sketches) for i in some]).view(np.int64)
+        keys = []
+        for i in some:
+            own = sketch(w[at[i] : at[i + 1]], k, order, sketches)
+            if n[i] <= SHORT:
+                begin, end, salt = parts(int(n[i]), similarity)
+                own = np.concatenate([own, mix(span_hashes(p, at[i] + begin, at[i] + end) ^ salt)])
+            keys.append(own)
+        offsets = np.append(0, np.cumsum([len(x) for x in keys])).astype(np.int32)
+        keys = np.concatenate(keys).view(np.int64)
         yield pa.RecordBatch.from_arrays(
-            [rows.column("doc_id").take(pa.array(some)), *(pa.array(span_hashes(x, at[some], at[some + 1]).view(np.int64)) for x in (p, q)), pa.array(n[some].astype(np.int32)), pa.ListArray.from_arrays(pa.array(np.arange(0, len(keys) + 1, sketches, dtype=np.int32)), pa.array(keys))],
+            [rows.column("doc_id").take(pa.array(some)), *(pa.array(span_hashes(x, at[some], at[some + 1]).view(np.int64)) for x in (p, q)), pa.array(n[some].astype(np.int32)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys))],
             names=["doc_id", "e1", "e2", "n", "keys"],
         )
 
@@ -209,7 +240,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, k: int = K, order: int = ORDER, sketches: int = SKETCHES) -> DataFrame:
     """doc_id, duplicate_of: every document that has a near-duplicate with a lesser id, and the least id of its group."""
     docs, scratch = keyed(docs, id_col, text_col), Scratch(docs.sparkSession)
-    sketched = scratch.save(docs.mapInArrow(lambda it: _sketched(it, k, order, sketches), "doc_id long, e1 long, e2 long, n int, keys array<long>"))
+    sketched = scratch.save(docs.mapInArrow(lambda it: _sketched(it, k, order, sketches, similarity), "doc_id long, e1 long, e2 long, n int, keys array<long>"))
     first = F.min("doc_id").over(Window.partitionBy("e1", "e2"))
     equal = scratch.save(sketched.select("doc_id", first.alias("rep")).where("doc_id <> rep").distinct())
     n_equal = equal.count()

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from orrery.llm.common import hashed_words
-from orrery.llm.order_minhash import distance_within, drop_near_duplicates, near_duplicates, similar, sketch
+from orrery.llm.order_minhash import distance_within, drop_near_duplicates, near_duplicates, parts, similar, sketch
 
 
 def levenshtein(x, y):
@@ -98,3 +98,31 @@ def test_every_pair_of_a_bucket_counts(spark):
             root[y] = x
     got = {tuple(r) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {(d, top(d)) for d in w if top(d) != d} and len(got) > 50
+
+
+def test_short_pairs_share_a_part():
+    rnd = random.Random(8)
+    for n in range(1, 33):
+        for _ in range(100):
+            x = [rnd.randrange(6) for _ in range(n)]
+            y = list(x)
+            for _ in range(int(n * 0.2 + 1e-9)):
+                i = rnd.randrange(len(y) or 1)
+                rnd.choice([lambda: y.insert(i, rnd.randrange(6)), lambda: y.pop(i), lambda: y.__setitem__(i, rnd.randrange(6))])()
+            if x == y or len(y) > 32 or similar(np.array(x), np.array(y), 0.8) is None:
+                continue
+            a, b = ({(s, *w[i:j]) for i, j, s in zip(*(p.tolist() for p in parts(len(w), 0.8)))} for w in (x, y))
+            assert a & b
+
+
+def test_recall_of_short_pairs(spark):
+    """Every pair of similarity 0.8 to 0.86, of 5 to 32 words, without a sketch in common or with one."""
+    rnd, rows = random.Random(9), []
+    for d in range(0, 840, 2):
+        w = [f"{d}-{i}" for i in range(5 + d // 2 % 28)]
+        rows.append((d, " ".join(w)))
+        for i in rnd.sample(range(len(w)), int(len(w) * 0.2 + 1e-9)):
+            w[i] = f"{d}+{i}"
+        rows.append((d + 1, " ".join(w)))
+    got = {tuple(r) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(d + 1, d) for d in range(0, 840, 2)}
