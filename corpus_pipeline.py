@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from orrery.llm.order_minhash import drop_near_duplicates
 from orrery.llm.packing import pack
-from orrery.llm.quality_rules import keep_compressible
+from orrery.llm.quality_rules import TIGHT_BANDS, keep_compressible
 from orrery.llm.suffix_dedup import cut_repeats
 from orrery.llm.template_decontamination import decontaminate
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents inside the compression bands."""
-    return keep_compressible(docs)
+    return keep_compressible(docs, bands=TIGHT_BANDS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

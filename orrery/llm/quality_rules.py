@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: From so many bytes on: least and greatest ratio.
 BANDS = ((128, 0.35, 1.20), (256, 0.33, 1.00), (512, 0.30, 0.90), (1024, 0.27, 0.82), (2048, 0.25, 0.78), (4096, 0.22, 0.75), (16384, 0.20, 0.72))
+#: The same, the greatest between clean text and base64 of random bytes; op5_quality_rules and the pipeline use these.
+TIGHT_BANDS = ((128, 0.35, 0.94), (192, 0.35, 0.88), (256, 0.33, 0.79), (512, 0.30, 0.75), (1024, 0.27, 0.70), (2048, 0.25, 0.65), (4096, 0.22, 0.75), (16384, 0.20, 0.72))
 CHUNK_BYTES = 4096
 #: A rest of fewer bytes belongs to the chunk before it.
 LEAST_CHUNK = 1024

@@ -14,7 +14,7 @@ from .html_extraction import main_text
 from .order_minhash import near_duplicates
 from .packing import pack
 from .quality_classifier import classify
-from .quality_rules import compression_bands
+from .quality_rules import TIGHT_BANDS, compression_bands
 from .suffix_dedup import repeated_passages
 from .template_decontamination import leaks
 from .word_lm_scoring import word_perplexity
@@ -43,7 +43,7 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compression_bands(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return compression_bands(spark.read.parquet(f"{sf_dir}/documents.parquet"), bands=TIGHT_BANDS)
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
