@@ -4,8 +4,8 @@ A document's features are its words and, of each word between the marks < and >,
 2**BITS buckets of DIM learned numbers. Classes are the pairs of the labels quality and toxic. Training is stochastic gradient descent
 in numpy, one document a step, with a step size for each bucket that falls with its past gradients. Buckets of fewer than LEAST_DOCS training documents stay zero.
 
-The training rows are at most SAMPLE labelled documents, of each class at most a quarter of that, those with the least hash of their id: the
-one documented bound. The bias is then set to the classes' shares among all labels. All
+The training rows are at most SAMPLE labelled documents, of each of the four classes at most a quarter of that (1,500), those with the least hash
+of their id: the one documented bound. The bias is then set to the classes' shares among all labels. All
 documents are scored, each over its whole text, without a shuffle: embeddings times output weights are one table, which has a fixed size.
 
 Defined results: a null, empty or blank text has no features and gets the scores of the bias alone; rows without an id are scored too;
@@ -52,7 +52,7 @@ def features(buf: np.ndarray, off: np.ndarray, bits: int = BITS, ngrams=NGRAMS)
     edge = block[at]
     x = np.zeros(len(marked), U)
     for k in range(max(ngrams)):
-        x[: len(x) - k] |= marked[k:].astype(U) << U(8 * k)
+        x[: max(0, len(x) - k)] |= marked[k:].astype(U) << U(8 * k)
         if k + 1 in ngrams:
             i = np.flatnonzero(np.arange(k + 1, len(marked) + k + 1) <= end)
             y = x[i]
@@ -63,15 +63,24 @@ def features(buf: np.ndarray, off: np.ndarray, bits: int = BITS, ngrams=NGRAMS)
     return out, begin
 
 
-def train(raw: list[bytes], labels: np.ndarray, bits: int = BITS, dim: int = DIM, epochs: int = EPOCHS, rate: float = RATE, least_docs: int = LEAST_DOCS, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """Score table (2**bits, CLASSES) and bias."""
+def counted(text: bytes, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct buckets of a text, and the share of its features that each has."""
+    buf = np.frombuffer(text, np.uint8)
+    parts, _ = features(buf, np.array([0, len(buf)]), bits)
+    u, c = np.unique(np.concatenate(parts), return_counts=True)
+    return u, (c / max(1, c.sum())).astype(np.float32)
+
+
+def train(raw: list[bytes], labels: np.ndarray, bits: int = BITS, **options) -> tuple[np.ndarray, np.ndarray]:
+    """Score table (2**bits, CLASSES) and bias, from texts."""
+    return train_counted([counted(t, bits) for t in raw], labels, bits, **options)
+
+
+def train_counted(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, bits: int = BITS, dim: int = DIM, epochs: int = EPOCHS, rate: float = RATE, least_docs: int = LEAST_DOCS, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """The same, from buckets and shares."""
     rng = np.random.default_rng(seed)
-    docs, known = [], np.zeros(1 << bits, np.int32)
-    for t in raw:
-        buf = np.frombuffer(t, np.uint8)
-        parts, _ = features(buf, np.array([0, len(buf)]), bits)
-        u, c = np.unique(np.concatenate(parts), return_counts=True)
-        docs.append((u, (c / max(1, c.sum())).astype(np.float32)))
+    known = np.zeros(1 << bits, np.int32)
+    for u, _ in docs:
         known[u] += 1
     # only buckets that learn are held while training, side by side
     place = np.cumsum(known >= least_docs) - 1
@@ -132,9 +141,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return np.zeros((1 << BITS, CLASSES), np.float32), np.zeros(CLASSES, np.float32)
     # a top-n by hash for each class: no class is sorted as a whole
     chosen = reduce(DataFrame.unionByName, (rows.where(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample // CLASSES) for c in all_))
-    pairs = texts_.join(small(chosen, sample, 12), "doc_id").groupBy("doc_id").agg(F.min("label").alias("label"), F.min("text").alias("text")).toPandas().sort_values("doc_id")
-    taught = pairs["label"].to_numpy(np.int64)
-    table, bias = train([(t or "").encode() for t in pairs["text"]], taught, **options)
+    pairs = texts_.join(small(chosen, sample, 12), "doc_id").groupBy("doc_id").agg(F.min("label").alias("label"), F.min("text").alias("text"))
+
+    def featured(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            u, c = zip(*(counted((t or "").encode(), options.get("bits", BITS)) for t in b.column("text").to_pylist())) if b.num_rows else ((), ())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array(u, pa.list_(pa.int32())), pa.array(c, pa.list_(pa.float32()))], names=["doc_id", "label", "buckets", "shares"])
+
+    # texts stay with the executors: the driver gets the distinct buckets, which are at most 2**bits a document
+    rows = pairs.mapInArrow(featured, "doc_id long, label int, buckets array<int>, shares array<float>").toArrow().sort_by("doc_id").combine_chunks()
+    taught = rows.column("label").to_numpy().astype(np.int64)
+    table, bias = train_counted([(u.values.to_numpy(), c.values.to_numpy()) for u, c in zip(rows.column("buckets"), rows.column("shares"))], taught, **options)
     here, there = np.bincount(taught, minlength=CLASSES), np.array([all_.get(c, 0) for c in range(CLASSES)])
     some = (here > 0) & (there > 0)
     bias[some] += np.log(there[some] / there.sum()) - np.log(here[some] / here.sum())

@@ -7,7 +7,10 @@ import numpy as np
 import pytest
 import zstandard
 
-from orrery.llm.quality_classifier import classify, features, train, scores
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from orrery.llm.quality_classifier import CLASSES, classify, features, train, scores
 from orrery.llm.quality_rules import compression_bands, keep_compressible
 
 BANDS = ((128, 0.35, 1.2), (256, 0.33, 1.0), (512, 0.30, 0.9), (1024, 0.27, 0.82), (2048, 0.25, 0.78), (4096, 0.22, 0.75), (16384, 0.20, 0.72))
@@ -84,3 +87,55 @@ def test_held_out_labels(spark):
     assert ((rows.p_quality >= 0.5) == (rows.quality == 1)).mean() > 0.93
     clean = rows[(rows.quality == 1) & (rows.toxic == 0)]
     assert clean.keep.mean() > 0.97 and rows[rows.toxic == 1].p_toxic.mean() > 5 * clean.p_toxic.mean()
+
+
+def grams(text):
+    """The features of a text: its words, and all runs of 3 to 5 bytes of each word between marks."""
+    words = bytes(c + 32 if 65 <= c <= 90 else c if c > 32 else 32 for c in text).split(b" ")
+    words = [w for w in words if w]
+    return [sorted(words), *(sorted(x[i : i + n] for w in words for x in (b"<" + w + b">",) for i in range(len(x) - n + 1)) for n in (3, 4, 5))]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text("aBé <> \n", max_size=7), max_size=4))
+def test_short_texts_have_features(texts):
+    """Every split into few and short texts: as many features of each kind as there are grams, equal where these are equal."""
+    raw = [t.encode() for t in texts]
+    parts, begins = features(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), 18)
+    for kind, (part, begin) in enumerate(zip(parts, begins)):
+        assert np.diff(begin).tolist() == [len(grams([*r])[kind]) for r in raw]
+        buckets = {}
+        for i, r in enumerate(raw):
+            own = part[begin[i] : begin[i + 1]].tolist()
+            assert len(set(own)) <= len(set(grams([*r])[kind]))
+            assert buckets.setdefault(tuple(grams([*r])[kind]), sorted(own)) == sorted(own)
+
+
+def test_one_letter(spark):
+    """A document of one byte, taught and scored, alone in its batch and with others."""
+    docs = spark.createDataFrame([(1, "a"), (2, "b c"), (3, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int")
+    assert len(classify(docs, labels).collect()) == 3 and len(classify(docs.where("doc_id = 3"), labels).collect()) == 1
+    table, bias = train([b"a"], np.array([1]))
+    assert scores(np.frombuffer(b"a", np.uint8), np.array([0, 1]), table, bias).shape == (1, CLASSES)
+
+
+def plain_scores(text, vectors, bias, bits):
+    """Softmax of the mean of the features' rows, one feature at a time."""
+    parts, _ = features(np.frombuffer(text, np.uint8), np.array([0, len(text)]), bits)
+    rows = [vectors[b] for p in parts for b in p.tolist()]
+    z = (sum(rows) / len(rows) if rows else 0) + bias
+    return np.exp(z) / np.exp(z).sum()
+
+
+def test_scores_and_steps_by_hand():
+    """The whole operator on one core: each document's scores one feature at a time, and one training step against numerical gradients."""
+    rnd, rng = random.Random(5), np.random.default_rng(5)
+    raw = [" ".join("".join(rnd.choice("abcde") for _ in range(rnd.randrange(1, 6))) for _ in range(rnd.randrange(0, 20))).encode() for _ in range(40)]
+    table, bias = rng.normal(size=(1 << 10, CLASSES)).astype(np.float32), rng.normal(size=CLASSES)
+    got = scores(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), table, bias)
+    assert np.allclose(got, [plain_scores(t, table.astype(float), bias, 10) for t in raw], atol=1e-5)
+    y = np.array([rnd.randrange(CLASSES) for _ in raw])
+    loss = lambda t, b: -sum(np.log(plain_scores(x, t.astype(float), b, 10)[k]) for x, k in zip(raw, y))
+    few, many = (loss(*train(raw, y, bits=10, epochs=e, least_docs=1)) for e in (1, 20))
+    assert many < 0.5 * few < 0.5 * loss(np.zeros((1 << 10, CLASSES)), np.zeros(CLASSES)) * 1.5
