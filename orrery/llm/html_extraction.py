@@ -3,10 +3,11 @@
 A page becomes a tree of elements (void elements, implied ends of p, li, td and the like, raw text of script and style, comments and
 entities are understood; what isn't closed ends with its parent). Every paragraph (PARAGRAPHS, and any other block that holds
 text itself) of at least LEAST letters earns 1 point, 1 for each comma, and 1 for each 100 letters, at most 3. All of it goes to its parent,
-half to the next ancestor, a third of the half, a quarter, ... to those above. An element's score, with a start by its tag, is
+half to the next ancestor, a sixth, an eighth, a tenth, ... to those above, as far as REACH ancestors. An element's score, with a start by its tag, is
 discounted by its link density: letters inside links over all letters. The best container, the first of equals, is kept together with
 those siblings whose score is at least a fifth of its (and at least 10), or that are paragraphs with few links. Navigation, headers' and
-footers' text, forms and the like count for nothing.
+footers' text, forms and the like count for nothing. Time is in proportion to the page, however deep its elements or broken its tags: open
+elements are found by tag, and a tag with more than PIECES quoted and unquoted pieces ends at its first >.
 
 Defined results: a null html has a null text and title; an empty page and one without any paragraph give all text outside boilerplate, which
 may be ''; broken markup never fails; a null id stays; rows that repeat are extracted alike; an empty table gives an empty table.
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LEAST = 25
+LEAST, REACH, PIECES = 25, 16, 512
 PARAGRAPHS = frozenset("p pre td blockquote".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -32,7 +33,7 @@ START = {"article": 5, "main": 5, "section": 2, "div": 2, "pre": 3, "td": 3, "bl
 #: What an opening tag ends, up to the nearest of the elements that hold it.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tr": ({"tr"}, {"table", "tbody", "thead", "tfoot"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}), "option": ({"option"}, {"select"})}
 HOLDERS = frozenset("td th table body button object".split())
-_TOKEN = re.compile(r"<!--(?:.*?-->|.*)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|([^<]++|<)", re.S)
+_TOKEN = re.compile(rf"<!--(?:.*?-->|.*)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'){{0,{PIECES}}}+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|([^<]++|<)", re.S)
 _SPACE = re.compile(r"\s+")
 _CLASS = re.compile(r"(?:class|id)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _GOOD, _BAD = re.compile(r"article|body|content|entry|main|post|story|text", re.I), re.compile(r"\b(?:ad|ads|advert\w*|banner|breadcrumbs?|comments?|cookie\w*|footer|menu|nav\w*|popup|promo\w*|related|share\w*|sidebar|social|sponsor\w*|widget)\b", re.I)
@@ -46,9 +47,14 @@ class Tree:
         self.tags, self.parents, self.weights, self.first, self.last = ["#"], [-1], [0], [0], [0]
         self.pieces: list[tuple[int, str]] = []  # element, text; an element number below zero breaks the line
         self.title: str | None = None
-        stack, at, end = [0], 0, len(page)
+        self.stack, self.open = [0], {}  # open elements, and for each tag where in the stack it stands
+        stack, at, end = self.stack, 0, len(page)
+        closed = page.rfind(">") + 1  # no tag ends behind it
         match = _TOKEN.match
         while at < end:
+            if at >= closed and (c := page.find("<!--", at)) != at:
+                self.pieces.append((stack[-1], page[at:c] if c > 0 else page[at:]))
+                break
             m = match(page, at)
             at = m.end()
             if (text := m[7]) is not None:
@@ -59,10 +65,8 @@ class Tree:
                 continue
             tag = tag.lower()
             if close:
-                for i in range(len(stack) - 1, 0, -1):
-                    if self.tags[stack[i]] == tag:
-                        self.leave(stack, i)
-                        break
+                if places := self.open.get(tag):
+                    self.leave(places[-1])
                 if tag in BLOCKS:
                     self.pieces.append((-1, ""))
                 continue
@@ -80,9 +84,9 @@ class Tree:
             if tag in VOID:
                 continue
             if tag in BLOCKS:
-                self.imply(stack, {"p"}, HOLDERS)
+                self.imply({"p"}, HOLDERS)
             if tag in ENDS:
-                self.imply(stack, *ENDS[tag])
+                self.imply(*ENDS[tag])
             if attributes.endswith("/") and tag not in BLOCKS:
                 continue
             self.tags.append(tag)
@@ -93,21 +97,22 @@ class Tree:
             if attributes and tag in BLOCKS and (names := _CLASS.findall(attributes)):
                 weight += 25 * (any(map(_GOOD.search, names)) - any(map(_BAD.search, names)))
             self.weights.append(weight)
+            self.open.setdefault(tag, []).append(len(stack))
             stack.append(len(self.tags) - 1)
-        self.leave(stack, 0)
+        self.leave(1)
+        self.last[0] = len(self.pieces)
 
-    def leave(self, stack: list[int], i: int) -> None:
-        for x in stack[i:]:
+    def leave(self, i: int) -> None:
+        for x in self.stack[i:]:
             self.last[x] = len(self.pieces)
-        del stack[i:]
+        for x in reversed(self.stack[i:]):
+            self.open[self.tags[x]].pop()
+        del self.stack[i:]
 
-    def imply(self, stack: list[int], what: set, within: set) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if self.tags[stack[i]] in what:
-                self.leave(stack, i)
-                return
-            if self.tags[stack[i]] in within:
-                return
+    def imply(self, what: set, within: set) -> None:
+        nearest = max((p[-1] for t in what if (p := self.open.get(t))), default=0)
+        if nearest and all(not (p := self.open.get(t)) or p[-1] <= nearest for t in within - what):
+            self.leave(nearest)
 
 
 def _joined(pieces: list[tuple[int, str]]) -> str:
@@ -126,8 +131,10 @@ def extract(page: str, least: int = LEAST) -> tuple[str, str | None, float]:
     """Text, title and the best container's score."""
     tree = Tree(page)
     tags, parents, n = tree.tags, tree.parents, len(tree.tags)
-    dead, link = [False] * n, [False] * n
+    dead, link, block = [False] * n, [False] * n, list(range(n))  # block: the nearest block around an element
     for i in range(1, n):
+        if tags[i] not in BLOCKS:
+            block[i] = block[parents[i]]
         dead[i] = dead[parents[i]] or tags[i] in BOILERPLATE
         link[i] = link[parents[i]] or tags[i] == "a"
     letters, links, commas, own, own_commas = [0] * n, [0] * n, [0] * n, [0] * n, [0] * n
@@ -136,11 +143,8 @@ def extract(page: str, least: int = LEAST) -> tuple[str, str | None, float]:
             letters[node] += k
             links[node] += k * link[node]
             commas[node] += (c := text.count(","))
-            b = node
-            while b > 0 and tags[b] not in BLOCKS:
-                b = parents[b]
-            own[b] += k
-            own_commas[b] += c
+            own[block[node]] += k
+            own_commas[block[node]] += c
     for i in range(n - 1, 0, -1):
         letters[parents[i]] += letters[i]
         links[parents[i]] += links[i]
@@ -153,7 +157,7 @@ def extract(page: str, least: int = LEAST) -> tuple[str, str | None, float]:
         points = 1 + marks + min(size // 100, 3)
         points *= 1 - links[i] / letters[i]
         up, level = parents[i], 0
-        while up > 0:
+        while up > 0 and level < REACH:
             scores[up] = scores.get(up, tree.weights[up]) + (points if level == 0 else points / 2 if level == 1 else points / (2 * (level + 1)))
             up, level = parents[up], level + 1
     scores = {i: s * (1 - links[i] / letters[i]) if s > 0 else s for i, s in scores.items() if letters[i]}
