@@ -4,14 +4,20 @@
 only one record is held at a time. A record's status is
 
     ok          all of it holds
-    digest      its block's SHA-1 is not the one that its header has
+    digest      its block or payload doesn't have the digest that its header has
+    unverified  it holds otherwise, but a digest can't be checked: an algorithm other than md5, sha1, sha256 and sha512, or a
+                payload under a transfer encoding
     length      its member ends before or after its content length
     truncated   the file ends inside it
     corrupt     its member can't be decompressed, or has no WARC header; reading goes on at the next member
+    plain       the file isn't empty and has no gzip member; the one record that stands for it
+
+Digests are base32 or hexadecimal. The payload is the block, or, of an HTTP message, what follows its header.
 
 Defined results: an empty file has no records; a record without a digest is ok if its length holds; header fields that are missing are null;
 bytes between members are skipped; several files may hold equal records, and all are returned. write() stores a null payload as
-an empty one and a null id as a record without an id.
+an empty one and a null id as a record without an id; an empty table gives no records; long payloads are read whole; other
+columns don't matter. A folder that write() is given may hold other files and folders, which stay; read() reads every file below it.
 """
 
 from __future__ import annotations
@@ -41,6 +47,30 @@ def digest(payload: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+def matches(stated: str, content: bytes) -> bool | None:
+    """Whether content has the digest, in base32 or hexadecimal; None if its algorithm isn't known."""
+    algorithm, _, value = stated.partition(":")
+    algorithm, value = algorithm.strip().lower().replace("-", ""), value.strip()
+    if algorithm not in ("md5", "sha1", "sha256", "sha512"):
+        return None
+    raw = hashlib.new(algorithm, content, usedforsecurity=False).digest()
+    return value.lower() == raw.hex() or value.upper().rstrip("=") == base64.b32encode(raw).decode().rstrip("=")
+
+
+def checked(fields: dict[str, str], block: bytes) -> str:
+    """ok, digest or unverified."""
+    found = []
+    if stated := fields.get("warc-block-digest"):
+        found.append(matches(stated, block))
+    if stated := fields.get("warc-payload-digest"):
+        head, body, encoded = b"", block, False
+        if fields.get("content-type", "").lower().replace(" ", "").startswith("application/http"):
+            head, _, body = block.partition(b"\r\n\r\n")
+            encoded = b"\ntransfer-encoding:" in head.lower()
+        found.append(matches(stated, body) or (None if encoded else False) if matches(stated, b"") is not None else None)
+    return "digest" if False in found else "unverified" if None in found else "ok"
+
+
 def record(payload: bytes, record_id: str | None, uri: str | None, date: str = "2024-01-01T00:00:00Z", kind: str = "resource", content_type: str = "text/html") -> bytes:
     """One gzip member."""
     head = [b"WARC/1.1", f"WARC-Type: {kind}".encode(), f"WARC-Date: {date}".encode()]
@@ -74,14 +104,12 @@ def _parsed(plain: bytes, whole: bool) -> dict:
         return out | {"status": "truncated"}
     if len(payload) < n or rest[n:] not in (b"\r\n\r\n", b""):
         return out | {"status": "length"}
-    stated = fields.get("warc-block-digest")
-    bad = stated is not None and stated.lower().startswith("sha1:") and stated.upper() != digest(payload).upper()
-    return out | {"status": "digest" if bad else "ok"}
+    return out | {"status": checked(fields, payload)}
 
 
 def records(f: BinaryIO) -> Iterator[dict]:
     """The records of one file, in order."""
-    data, at, ended = b"", 0, False  # bytes not used so far, and where they begin in the file
+    data, at, ended, members = b"", 0, False, 0  # bytes not used so far, and where they begin in the file
 
     def more() -> bytes:
         nonlocal ended
@@ -95,8 +123,10 @@ def records(f: BinaryIO) -> Iterator[dict]:
             at += len(data) - len(keep)
             data = keep + more()
         if i < 0:
+            if not members and at + len(data):
+                yield _parsed(b"", True) | {"offset": 0, "status": "plain"}
             return
-        data, at = data[i:], at + i
+        data, at, members = data[i:], at + i, members + 1
         begin, z, parts = at, zlib.decompressobj(31), []
         try:
             while True:
@@ -173,12 +203,13 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
-    """A file for each partition; (file, records). Files of tasks that failed are removed."""
+    """A file for each partition; (file, records). Files of this job's tasks that failed or were repeated are removed, and no others."""
+    job = uuid.uuid4().hex
 
     def written(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, at = fs.FileSystem.from_uri(path if ":/" in path else f"file://{path}")
         system.create_dir(at, recursive=True)
-        name, n = f"{at}/{uuid.uuid4().hex}.warc.gz", 0
+        name, n = f"{at}/{job}-{uuid.uuid4().hex}.warc.gz", 0
         with system.open_output_stream(name, compression=None) as f:
             for b in it:
                 for i, u, p in zip(*(c.to_pylist() for c in b.columns)):
@@ -192,6 +223,6 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     done = rows.mapInArrow(written, "file string, records long").collect()
     good = {r.file for r in done}
     for x in system.get_file_info(fs.FileSelector(at, allow_not_found=True)):
-        if x.path not in good:
+        if x.type == fs.FileType.File and x.base_name.startswith(f"{job}-") and x.path not in good:
             system.delete_file(x.path)
     return pages.sparkSession.createDataFrame(done, "file string, records long")
