@@ -150,6 +150,12 @@ class Scratch:
         for df in tables:
             delete(self.spark, self.paths.pop(id(df)))
 
+    def drop_all_but(self, *tables: DataFrame) -> None:
+        """Removes all tables saved so far, but those given."""
+        kept = {id(df) for df in tables}
+        for k in [k for k in self.paths if k not in kept]:
+            delete(self.spark, self.paths.pop(k))
+
 
 def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """Marks df for broadcast if so many rows of so many bytes are few enough, else leaves the join to shuffle."""

@@ -11,11 +11,15 @@ document from the start. Then, in three rounds:
  1. each bucket's members are aligned with its least member, which settles groups of thousands with one alignment a member;
  2. of each bucket, one member for every group found so far is kept, and all pairs of these not yet tried are aligned;
  3. all pairs of a bucket whose members are still in different groups, and not yet tried, are aligned.
-No bucket or partner is capped; after the third round every pair of a bucket has been aligned, or stands in one group without it.
+No bucket or partner is capped; after the third round every pair of a bucket has been aligned, or stands in one group without it. Buckets
+are rows, never collected: a bucket of more than HOT rows is joined with itself in as many parts as it takes. Pairs are dropped before
+their texts are fetched only where no alignment can succeed: by their lengths, or by words that one of them lacks (a bitmap of 256 bits,
+each bit that only one has costs an edit).
 
 Defined results: a null, empty or blank text has no words and belongs to no group; rows without an id are left out (and kept
-by the filter); rows of one id are one document, which equals another if one of its texts does, and is aligned by its least text; the document with the least
-id of a group is kept; an empty table gives no groups; long texts are sketched and aligned whole.
+by the filter); rows that are the same in id and text are one document; different texts of one id are documents of their own, told apart by a hash, of which
+the filter drops only those that have a near-duplicate; the document with the least id of a group is kept, of several with that id the one
+with the least hash; an empty table gives no groups; long texts are sketched and aligned whole.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import FOLD, U, Scratch, hashed_words, keyed, mix, prefix_hashes, small, span_hashes, texts, word_hashes, words
@@ -38,6 +42,11 @@ _XOR = _rng.integers(0, 1 << 63, 1024, dtype=np.uint64)
 _MUL = _rng.integers(0, 1 << 63, 1024, dtype=np.uint64) * U(2) + U(1)
 #: Hash values held at once while sketching one document.
 CELLS = 1 << 20
+#: Rows of a bucket that meet in one part of its join with itself.
+HOT = 4096
+#: Groups of at most so many pairs are found by the driver (32 MB of them); of more, by joins. Either way gives the same groups.
+LOCAL_PAIRS = 2_000_000
+BITMAP = ["s0", "s1", "s2", "s3"]
 
 
 def shingles(w: np.ndarray, k: int) -> np.ndarray:
@@ -127,9 +136,12 @@ def _sketched(batches: Iterator[pa.RecordBatch], k: int, order: int, sketches: i
             keys.append(own)
         offsets = np.append(0, np.cumsum([len(x) for x in keys])).astype(np.int32)
         keys = np.concatenate(keys).view(np.int64)
+        bits = np.zeros((len(n), 256), bool)
+        bits[np.repeat(np.arange(len(n)), n), (w >> U(56)).astype(np.int64)] = True
+        bitmap = np.packbits(bits[some], axis=1).view(np.int64)
         yield pa.RecordBatch.from_arrays(
-            [rows.column("doc_id").take(pa.array(some)), *(pa.array(span_hashes(x, at[some], at[some + 1]).view(np.int64)) for x in (p, q)), pa.array(n[some].astype(np.int32)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys))],
-            names=["doc_id", "e1", "e2", "n", "keys"],
+            [rows.column("doc_id").take(pa.array(some)), *(pa.array(span_hashes(x, at[some], at[some + 1]).view(np.int64)) for x in (p, q)), pa.array(n[some].astype(np.int32)), *(pa.array(np.ascontiguousarray(x)) for x in bitmap.T), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys))],
+            names=["doc_id", "e1", "e2", "n", *BITMAP, "keys"],
         )
 
 
@@ -217,9 +229,34 @@ def _verified(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64()), pa.array(v, pa.float64())], names=["a", "b", "similarity"])
 
 
-def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """(v, root): each vertex that has an edge (a, b), and the least vertex of its component; large-star and small-star in turn."""
+def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The vertices that have an edge, and the least of each one's component: neighbours' least and that one's least in turn."""
+    v, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root = np.arange(len(v))
+    while True:
+        low = np.minimum(root[x], root[y])
+        new = root.copy()
+        np.minimum.at(new, root[x], low)
+        np.minimum.at(new, root[y], low)
+        while (new != new[new]).any():
+            new = new[new]
+        if (new == root).all():
+            return v, v[root]
+        root = new
+
+
+def components(edges: DataFrame, scratch: Scratch, local: int = LOCAL_PAIRS) -> DataFrame:
+    """(v, root): each vertex that has an edge (a, b) and isn't the least of its component, and that one; by large-star and small-star in
+    turn where there are more than `local` edges."""
     e = scratch.save(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    if e.count() <= local:
+        t = e.toArrow()
+        v, root = roots(t.column("u").to_numpy(), t.column("v").to_numpy())
+        other = v != root
+        out = scratch.save(e.sparkSession.createDataFrame(pa.table({"v": v[other], "root": root[other]}), "v long, root long"))
+        scratch.drop(e)
+        return out
     state = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -237,54 +274,90 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         state = tuple(now)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, k: int = K, order: int = ORDER, sketches: int = SKETCHES) -> DataFrame:
-    """doc_id, duplicate_of: every document that has a near-duplicate with a lesser id, and the least id of its group."""
-    docs, scratch = keyed(docs, id_col, text_col), Scratch(docs.sparkSession)
-    sketched = scratch.save(docs.mapInArrow(lambda it: _sketched(it, k, order, sketches, similarity), "doc_id long, e1 long, e2 long, n int, keys array<long>"))
+def _units(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
+    """(doc_id, text) with another number in place of an id that stands with several texts; and (v, doc_id, th) of those numbers, if any."""
+    docs = keyed(docs, id_col, text_col).withColumn("th", F.xxhash64("text"))
+    several = scratch.save(docs.groupBy("doc_id").agg(F.min("th").alias("lo"), F.max("th").alias("hi")).where("lo <> hi").select("doc_id", F.lit(True).alias("several")))
+    if not (n := several.count()):
+        return docs.drop("th"), None
+    docs = docs.join(small(several, n, 16), "doc_id", "left").withColumn("v", F.when(F.col("several"), F.xxhash64("doc_id", "th")).otherwise(F.col("doc_id")))
+    return docs.select(F.col("v").alias("doc_id"), "text"), scratch.save(docs.where("several").select("v", "doc_id", "th").distinct())
+
+
+def _groups(docs: DataFrame, id_col: str, text_col: str, similarity: float, k: int, order: int, sketches: int, hot: int, local: int) -> DataFrame:
+    """doc_id, th, duplicate_of: every document that isn't the first of its group, and the least id of the group. th is null where the id has one text."""
+    scratch = Scratch(docs.sparkSession)
+    docs, numbers = _units(docs, id_col, text_col, scratch)
+    sketched = scratch.save(docs.mapInArrow(lambda it: _sketched(it, k, order, sketches, similarity), f"doc_id long, e1 long, e2 long, n int, {', '.join(f'{s} long' for s in BITMAP)}, keys array<long>"))
     first = F.min("doc_id").over(Window.partitionBy("e1", "e2"))
     equal = scratch.save(sketched.select("doc_id", first.alias("rep")).where("doc_id <> rep").distinct())
     n_equal = equal.count()
     # each word sequence is represented by its least id
     firsts = sketched.select("doc_id", "n", "keys").join(small(equal.select("doc_id").distinct(), n_equal, 8), "doc_id", "left_anti")
-    buckets = scratch.save(
-        firsts.select("doc_id", "n", F.explode("keys").alias("key")).groupBy("key").agg(F.collect_set(F.struct("doc_id", "n")).alias("members")).where("size(members) > 1")
-    )
-    inside = buckets.select("key", F.array_min("members").alias("first"), F.explode("members").alias("m"))
-    alike = lambda a, b: F.least(a, b) >= F.ceil(F.greatest(a, b) * (similarity - 1e-9))
-    stars = scratch.save(inside.where("m.doc_id <> first.doc_id").where(alike(F.col("m.n"), F.col("first.n"))).select(F.col("first.doc_id").alias("a"), F.col("m.doc_id").alias("b")).distinct())
-    ids = scratch.save(buckets.select(F.explode("members.doc_id").alias("doc_id")).distinct())
-    texts_ = scratch.save(docs.join(small(ids, ids.count(), 8), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")))
+    of_key = Window.partitionBy("key")
+    bucket = firsts.select("doc_id", "n", F.explode("keys").alias("key")).select("key", "doc_id", "n", F.min(F.struct("doc_id", "n")).over(of_key).alias("first"), F.max("doc_id").over(of_key).alias("last"))
+    inside = scratch.save(bucket.where("first.doc_id <> last").drop("last"))
+    ids = scratch.save(inside.select("doc_id").distinct())
+    few = small(ids, ids.count(), 8)
+    texts_ = scratch.save(docs.join(few, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")))
+    bitmaps = scratch.save(sketched.select("doc_id", "n", *BITMAP).join(few, "doc_id", "left_semi").distinct())
+    bitmaps = small(bitmaps, ids.count(), 52)
+
+    def alike(x: str, y: str) -> Column:
+        """Whether documents of these lengths may be similar."""
+        return F.least(f"{x}.n", f"{y}.n") >= F.ceil(F.greatest(f"{x}.n", f"{y}.n") * (similarity - 1e-9))
+
+    def shared(x: str, y: str) -> Column:
+        """Whether they lack no more words of each other than edits are allowed."""
+        lacks = lambda p, q: sum((F.bit_count(F.col(f"{p}.{s}").bitwiseAND(F.bitwise_not(F.col(f"{q}.{s}")))) for s in BITMAP), F.lit(0))
+        return F.greatest(lacks(x, y), lacks(y, x)) <= F.floor(F.greatest(f"{x}.n", f"{y}.n") * (1 - similarity) + 1e-9)
 
     def verify(pairs: DataFrame) -> DataFrame:
         b = pairs.join(texts_.withColumnsRenamed({"doc_id": "b", "text": "text_b"}), "b")
         both = b.join(texts_.withColumnsRenamed({"doc_id": "a", "text": "text_a"}), "a").select("a", "b", "text_a", "text_b")
         return scratch.save(both.mapInArrow(lambda it: _verified(it, similarity), "a long, b long, similarity double"))
 
+    def met(rows: DataFrame) -> DataFrame:
+        """Pairs (a, b) of a bucket's members (key, root, doc_id) in different groups."""
+        rows = rows.select("key", "root", "doc_id", F.min("root").over(of_key).alias("lo"), F.max("root").over(of_key).alias("hi"), F.ceil(F.count("*").over(of_key) / hot).cast("int").alias("parts"))
+        rows = scratch.save(rows.where("lo <> hi").drop("lo", "hi").join(bitmaps, "doc_id"))
+        x, y = rows.withColumn("part", F.pmod(F.xxhash64("doc_id"), "parts").cast("int")), rows.withColumn("part", F.explode(F.expr("sequence(0, parts - 1)")))
+        pairs = x.alias("x").join(y.alias("y"), F.expr("x.key = y.key and x.part = y.part and x.root < y.root")).where(alike("x", "y") & shared("x", "y"))
+        return pairs.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
+
+    def rooted(edges: DataFrame, n: int) -> DataFrame:
+        groups = components(edges, scratch, local).withColumnRenamed("v", "doc_id")
+        return inside.select("key", "doc_id").join(small(groups, n, 16), "doc_id", "left").select("key", F.coalesce("root", "doc_id").alias("root"), "doc_id")
+
+    stars = inside.where("doc_id <> first.doc_id").select(F.struct("doc_id", "n").alias("m"), "first").where(alike("m", "first")).select(F.col("first.doc_id").alias("a"), F.col("m.doc_id").alias("b")).distinct()
+    stars = stars.join(bitmaps.select(F.col("doc_id").alias("a"), F.struct("n", *BITMAP).alias("x")), "a").join(bitmaps.select(F.col("doc_id").alias("b"), F.struct("n", *BITMAP).alias("y")), "b")
+    stars = scratch.save(stars.where(shared("x", "y")).select("a", "b"))
     found = verify(stars)
-    groups = components(found, scratch)
-    member = inside.select("key", F.col("m.doc_id").alias("doc_id"), F.col("m.n").alias("n"))
-    grouped = member.join(small(groups.select(F.col("v").alias("doc_id"), "root"), found.count(), 16), "doc_id", "left")
-    left = grouped.groupBy("key", F.coalesce("root", "doc_id").alias("root")).agg(F.min(F.struct("doc_id", "n")).alias("m"))
-    left = scratch.save(left.withColumn("s", F.count("*").over(Window.partitionBy("key"))).where("s > 1").select("key", "m"))
-    pairs = left.alias("x").join(left.alias("y"), F.expr("x.key = y.key and x.m.doc_id < y.m.doc_id")).where(alike(F.col("x.m.n"), F.col("y.m.n"))).select(F.col("x.m.doc_id").alias("a"), F.col("y.m.doc_id").alias("b")).distinct()
-    tried = scratch.save(pairs.join(stars, ["a", "b"], "left_anti"))
-    more = verify(tried)
+    tried = scratch.save(met(rooted(found, found.count()).groupBy("key", "root").agg(F.min("doc_id").alias("doc_id"))).join(stars, ["a", "b"], "left_anti"))
+    old = scratch.save(found.select("a", "b").unionByName(verify(tried).select("a", "b")))
     # pairs inside a group are never listed: a bucket's members meet by group
-    old = scratch.save(found.select("a", "b").unionByName(more.select("a", "b")))
-    groups = components(old, scratch)
-    grouped = member.join(small(groups.select(F.col("v").alias("doc_id"), "root"), 2 * old.count(), 16), "doc_id", "left")
-    apart = grouped.groupBy("key", F.coalesce("root", "doc_id").alias("root")).agg(F.collect_list(F.struct("doc_id", "n")).alias("m"))
-    apart = scratch.save(apart.withColumn("s", F.count("*").over(Window.partitionBy("key"))).where("s > 1").select("key", "root", "m"))
-    across = apart.alias("x").join(apart.alias("y"), F.expr("x.key = y.key and x.root < y.root")).select(F.explode("x.m").alias("x"), F.col("y.m").alias("m")).select("x", F.explode("m").alias("y")).where(alike(F.col("x.n"), F.col("y.n")))
-    across = across.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
-    last = verify(across.join(stars.unionByName(tried), ["a", "b"], "left_anti"))
+    last = verify(met(rooted(old, 2 * old.count())).join(stars.unionByName(tried), ["a", "b"], "left_anti"))
     edges = old.unionByName(last.select("a", "b")).unionByName(equal.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
-    out = components(edges, scratch).select(F.col("v").alias("doc_id"), F.col("root").alias("duplicate_of"))
-    scratch.drop(sketched, equal, buckets, stars, ids, texts_, found, left, tried, more, old, apart, last)
+    groups = components(edges, scratch, local)
+    if numbers is None:
+        out = groups.select(F.col("v").alias("doc_id"), F.lit(None).cast("long").alias("th"), F.col("root").alias("duplicate_of"))
+    else:  # the least of a group is found among the documents, not their numbers
+        all_ = groups.unionByName(groups.select(F.col("root").alias("v"), "root").distinct()).join(numbers, "v", "left")
+        named = all_.select("root", F.struct(F.coalesce("doc_id", "v").alias("doc_id"), "th").alias("d")).withColumn("least", F.min("d").over(Window.partitionBy("root")))
+        out = named.where(~F.col("d").eqNullSafe(F.col("least"))).select("d.doc_id", "d.th", F.col("least.doc_id").alias("duplicate_of"))
+    out = scratch.save(out)
+    scratch.drop_all_but(out)
     return out
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs without those rows whose document has a near-duplicate with a lesser id; columns as they were."""
-    gone = near_duplicates(docs, id_col, text_col, **options).select(F.col("doc_id").alias("__gone"))
-    return docs.join(small(gone, gone.count(), 8), docs[id_col] == gone["__gone"], "left_anti")
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, k: int = K, order: int = ORDER, sketches: int = SKETCHES, hot: int = HOT, local: int = LOCAL_PAIRS) -> DataFrame:
+    """doc_id, duplicate_of: every document that has a near-duplicate with a lesser id, and the least id of its group."""
+    out = _groups(docs, id_col, text_col, similarity, k, order, sketches, hot, local)
+    return out.where("doc_id <> duplicate_of").select("doc_id", "duplicate_of").distinct()
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, k: int = K, order: int = ORDER, sketches: int = SKETCHES, hot: int = HOT, local: int = LOCAL_PAIRS) -> DataFrame:
+    """docs without those rows whose document isn't the first of its group; columns as they were."""
+    gone = _groups(docs, id_col, text_col, similarity, k, order, sketches, hot, local).select(F.col("doc_id").alias("__gone"), F.col("th").alias("__th"))
+    same = (docs[id_col].cast("long") == gone["__gone"]) & (gone["__th"].isNull() | (gone["__th"] == F.xxhash64(docs[text_col].cast("string"))))
+    return docs.join(small(gone, gone.count(), 16), same, "left_anti")

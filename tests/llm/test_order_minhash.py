@@ -7,8 +7,8 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from orrery.llm.common import hashed_words
-from orrery.llm.order_minhash import distance_within, drop_near_duplicates, near_duplicates, parts, similar, sketch
+from orrery.llm.common import Scratch, hashed_words
+from orrery.llm.order_minhash import components, distance_within, drop_near_duplicates, near_duplicates, parts, roots, similar, sketch
 
 
 def levenshtein(x, y):
@@ -126,3 +126,66 @@ def test_recall_of_short_pairs(spark):
         rows.append((d + 1, " ".join(w)))
     got = {tuple(r) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {(d + 1, d) for d in range(0, 840, 2)}
+
+
+def plain_groups(pairs):
+    root = {x: x for p in pairs for x in p}
+    for _ in root:
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    return {(v, r) for v, r in root.items() if v != r}
+
+
+def test_components(spark):
+    rnd = random.Random(3)
+    pairs = [(rnd.randrange(60), rnd.randrange(60)) for _ in range(35)] + [(100 + i, 101 + i) for i in range(40)] + [(-5, 200), (7, 7)]
+    edges = spark.createDataFrame(pairs, "a long, b long")
+    want = plain_groups(pairs)
+    assert {tuple(r) for r in components(edges, Scratch(spark)).collect()} == {tuple(r) for r in components(edges, Scratch(spark), 0).collect()} == want
+    v, r = roots(*np.array(pairs).T)
+    assert {(x, y) for x, y in zip(v.tolist(), r.tolist()) if x != y} == want
+    assert components(edges.limit(0), Scratch(spark)).count() == components(edges.limit(0), Scratch(spark), 0).count() == 0
+
+
+def test_independent_alignment(spark):
+    """Groups against the plain edit distance of the words themselves, over all pairs, for texts of every length to 60 words."""
+    rnd, rows = random.Random(11), []
+    for d in range(0, 180, 3):
+        w = [f"{rnd.choice('ab')}{rnd.randrange(30)}" for _ in range(1 + d // 3)]
+        rows.append((d, w))
+        for e in (1, 2):
+            v = list(w)
+            for _ in range(int(len(w) * rnd.choice([0, 0.1, 0.15, 0.25]))):
+                i = rnd.randrange(len(v))
+                rnd.choice([lambda: v.insert(i, f"z{rnd.randrange(99)}"), lambda: v.pop(i), lambda: v.__setitem__(i, f"z{rnd.randrange(99)}")])()
+            rows.append((d + e, v))
+    near = [(i, j) for (i, x), (j, y) in itertools.combinations(rows, 2) if min(len(x), len(y)) >= 0.8 * max(len(x), len(y)) > 0 and levenshtein(x, y) <= 0.2 * max(len(x), len(y)) + 1e-9]
+    df = spark.createDataFrame([(d, " ".join(w).upper() if d % 2 else "\n".join(w)) for d, w in rows], "doc_id long, text string")
+    got, want = {tuple(r) for r in near_duplicates(df).collect()}, plain_groups(near)
+    assert not {d for d, _ in got} - {d for d, _ in want} and len(got & want) >= 0.97 * len(want) and len(want) > 40
+
+
+def test_bucket_of_unlike_documents(spark):
+    """Thousands of texts share a part and nothing else: none is taken for another's copy, and the copies among them are found, in however many parts they meet."""
+    rnd, rows = random.Random(12), []
+    for d in range(1500):
+        rows.append((d, "one common part " + " ".join(f"x{rnd.randrange(10**6)}" for _ in range(7))))
+    copies = [(2000 + d, rows[d][1].rsplit(" ", 1)[0] + " other") for d in range(0, 1500, 100)]
+    df = spark.createDataFrame(rows + copies, "doc_id long, text string")
+    assert {tuple(r) for r in near_duplicates(df, hot=100, local=0).collect()} == {(d, d - 2000) for d, _ in copies}
+
+
+def test_plans_agree(spark):
+    df = spark.createDataFrame(corpus(5), "doc_id long, text string")
+    want = sorted(map(tuple, near_duplicates(df).collect()))
+    assert want == sorted(map(tuple, near_duplicates(df, hot=3, local=0).collect()))
+
+
+def test_several_texts_of_one_id(spark):
+    """Only the rows that have a near-duplicate go; the first is that of the least id, then of the least hash."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(1, a), (2, a + " end"), (2, b), (2, b), (3, b + " end"), (3, c), (4, c), (-9, "x y"), (-9, "X  y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {tuple(r) for r in near_duplicates(df).collect()} == {(2, 1), (3, 2), (4, 3)}
+    left = sorted((r.doc_id, r.text) for r in drop_near_duplicates(df).collect())
+    assert left[1:] == [(1, a), (2, b), (2, b), (3, c)] and left[0][0] == -9
