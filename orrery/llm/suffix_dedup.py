@@ -5,17 +5,21 @@ union of its repeated windows. Words are compared exactly, white space between t
 
 Method. Of every window the run of PREFIX words with the least hash is an anchor, so windows that are equal have equal
 anchors at equal offsets. Anchors that occur once can't lie in a repeat. Of the others, an anchor that every occurrence reaches
-from the same anchor before it only continues a repeat; where occurrences come from different text, suffixes begin. (Windows that repeat an earlier one of their own text are found within it, and
-have no anchors.) These
-suffixes, each cut where the next one takes over and led by the few words that may precede the anchor in a window, go to groups by prefix:
-the anchor's words, or, where more than HOT suffixes would share those, the whole first window at each possible begin, so that no
-group outgrows memory. In a group, for each begin at which left contexts part, the suffixes are sorted and their common prefixes
-merged from the deepest up: every merge is an internal node of the suffix tree, and those at least `least` deep are the maximal
-repeats. Each suffix but the first of a node is repeated to the node's depth. No text is compared by hash of more than one word.
+from the same anchor before it only continues a repeat; where occurrences come from different text, and at one anchor in BREAK, chosen by
+its hash, suffixes begin. (Windows that repeat an earlier one of their own text are found within it, and have no anchors.) These
+suffixes, each cut where the next one takes over, so that they are some hundred words long however long the repeat, and led by the few words that
+may precede the anchor in a window, go to groups by prefix: the anchor's words. In a group, for each begin at which left contexts part, the
+suffixes are sorted and their common prefixes merged from the deepest up: every merge is an internal node of the suffix tree, and those at
+least `least` deep are the maximal repeats. Each suffix but the first of a node is repeated to the node's depth. Here texts are compared
+by single words.
+
+Where more than HOT suffixes would share an anchor, the prefix is lengthened to a whole window for each begin that can hold it. Suffixes of
+equal prefixes of that length are all repeats of the first, and what a deeper node would add are windows that begin later and have prefixes of
+their own; so the first is found by an aggregation, which combines before it shuffles, and no group is held. These windows are compared by two 64-bit hashes.
 
 Defined results: null, empty and short texts have no repeats; rows without an id are left out (and kept by the cut); rows with
 the same id and text are one document; documents with the same id and different texts are told apart by a hash of the text; the first
-of equal passages, also within one document, is kept; an empty table gives no repeats; long texts are read whole.
+of equal passages, also within one document, is kept; an empty table gives no repeats; long texts are read whole; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, U, keyed, mix, prefix_hashes, small, span_hashes, texts, word_hashes, words
 
-LEAST, PREFIX, HOT = 50, 16, 20_000
+LEAST, PREFIX, HOT, BREAK = 50, 16, 4096, 32
 _NONE = U(0xFFFFFFFFFFFFFFFF)
 
 
@@ -51,7 +55,11 @@ def anchors(w: np.ndarray, at: np.ndarray, least: int, prefix: int) -> tuple[np.
     own = span_hashes(sums, begin, begin + least) ^ mix(text[begin].astype(U) + U(1))
     by = np.argsort(own, kind="stable")
     again = np.zeros(len(begin), bool)
-    again[by[1:]] = own[by[1:]] == own[by[:-1]]
+    j = 1 + np.flatnonzero(own[by[1:]] == own[by[:-1]])
+    for k in range(0, len(j), 1 << 14):  # word by word
+        some = j[k : k + (1 << 14)]
+        x, y = (begin[by[i]][:, None] + np.arange(least) for i in (some, some - 1))
+        again[by[some[(w[x] == w[y]).all(axis=1)]]] = True
     again, begin = begin[again], begin[~again]
     best = np.lib.stride_tricks.sliding_window_view(h, reach)[: n - least + 1].argmin(axis=1)
     pos = np.unique(begin + best[begin])
@@ -91,6 +99,7 @@ def _anchored(batches: Iterator[pa.RecordBatch], least: int, prefix: int) -> Ite
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch], least: int, prefix: int) -> Iterator[pa.RecordBatch]:
+    """Suffixes by anchor, and what a text repeats of itself. Windows at hot anchors aren't among them."""
     reach = least - prefix + 1
     for rows, buf, off in texts(batches):
         starts, ends, at = words(buf, off)
@@ -100,50 +109,60 @@ def _suffixes(batches: Iterator[pa.RecordBatch], least: int, prefix: int) -> Ite
         np.cumsum(length + 1, out=where[1:])
         plain = np.full(where[-1], 32, np.uint8)
         plain[np.arange(int(length.sum())) + np.repeat(np.arange(len(starts)), length)] = buf[buf > 32]
-        plain, sums = plain.tobytes(), None
+        plain = plain.tobytes()
         out: list[tuple] = []
         for r, (doc, th, marks) in enumerate(zip(rows.column("doc_id").to_pylist(), rows.column("th").to_pylist(), rows.column("marks").to_pylist())):
             lo, hi = int(at[r]), int(at[r + 1])
-            out += [(doc ^ th, doc, th, m["pos"], None, None, None, None, m["upto"]) for m in marks if m["upto"]]
+            out += [(lo, doc, th, m["pos"], None, None, None, m["upto"]) for m in marks if m["upto"]]
             marks = sorted({(m["pos"], m["begins"], m["hot"]) for m in marks if not m["upto"]})
+            # what continues a hot anchor's repeat begins anew, since that one has no suffix
+            begins = [b or j > 0 and marks[j - 1][2] and p - marks[j - 1][0] <= reach for j, (p, b, _) in enumerate(marks)]
             stop, alike = 0, {}
             for j in range(len(marks) - 1, -1, -1):
-                p, begins, hot = marks[j]
+                p, _, hot = marks[j]
                 if j + 1 == len(marks) or marks[j + 1][0] - p > reach:
                     stop = p + least
-                elif marks[j + 1][1]:
+                elif begins[j + 1]:
                     stop = marks[j + 1][0] - 1 + least
-                if not begins:
+                if not begins[j] or hot:
                     continue
                 e, b = min(hi, lo + stop), max(lo, lo + p - reach + 1)
-                if not hot:
-                    if e - b >= least:
-                        row = (plain[where[lo + p] : where[e]], plain[where[b] : where[lo + p]])
-                        alike.setdefault(row, []).append(p)
-                    continue
-                if sums is None:
-                    sums = prefix_hashes(word_hashes(buf, starts, ends))
-                for s in range(b, lo + p + 1):
-                    if s + least <= e:
-                        k = int(span_hashes(sums, np.array([s]), np.array([s + least])).view(np.int64)[0])
-                        out.append((k, doc, th, s - lo, plain[where[s] : where[e]], None, p, None, None))
-            out += [(None, doc, th, ps[-1], right, left, ps[-1], ps[:-1], None) for (right, left), ps in alike.items()]  # ps fall
+                if e - b >= least:
+                    row = (plain[where[lo + p] : where[e]], plain[where[b] : where[lo + p]])
+                    alike.setdefault(row, []).append(p)
+            out += [(lo + ps[-1], doc, th, ps[-1], right, left, ps[:-1], None) for (right, left), ps in alike.items()]  # ps fall
         if out:
-            key, doc, th, pos, right, left, anchor, more, upto = zip(*out)
-            # the anchor's hash as the key of those that aren't hot
-            if any(k is None for k in key):
-                if sums is None:
-                    sums = prefix_hashes(word_hashes(buf, starts, ends))
-                base = {(d, t): int(a) for d, t, a in zip(rows.column("doc_id").to_pylist(), rows.column("th").to_pylist(), at)}
-                s = np.array([base[d, t] + (p or 0) for d, t, p in zip(doc, th, anchor)])
-                fp = span_hashes(sums, s, np.minimum(s + prefix, len(starts))).view(np.int64)
-                key = [int(f) if k is None else k for k, f in zip(key, fp)]
+            anchor, doc, th, pos, right, left, more, upto = zip(*out)
+            anchor = np.array(anchor)
+            key = span_hashes(prefix_hashes(word_hashes(buf, starts, ends)), anchor, np.minimum(anchor + prefix, len(starts))).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key, pa.int64()), pa.array(doc, pa.int64()), pa.array(th, pa.int64()), pa.array(pos, pa.int32()), pa.array(right, pa.binary()), pa.array(left, pa.binary()), pa.array(more, pa.list_(pa.int32())), pa.array(upto, pa.int32())],
+                [pa.array(key), pa.array(doc, pa.int64()), pa.array(th, pa.int64()), pa.array(pos, pa.int32()), pa.array(right, pa.binary()), pa.array(left, pa.binary()), pa.array(more, pa.list_(pa.int32())), pa.array(upto, pa.int32())],
                 names=["key", "doc_id", "th", "pos", "right", "left", "more", "upto"],
             )
 
 
+def _hot_windows(batches: Iterator[pa.RecordBatch], least: int, prefix: int) -> Iterator[pa.RecordBatch]:
+    """Every window that holds a hot anchor, by two hashes of its words."""
+    reach = least - prefix + 1
+    for rows, buf, off in texts(batches):
+        starts, ends, at = words(buf, off)
+        w = word_hashes(buf, starts, ends)
+        p, q = prefix_hashes(w), prefix_hashes(w ^ U(0x5DEECE66D))
+        begin, text = [], []
+        for r, marks in enumerate(rows.column("marks").to_pylist()):
+            hot = np.array([m["pos"] for m in marks if m["hot"] and not m["upto"]], np.int64)
+            b = np.unique(at[r] + hot[:, None] - np.arange(reach))
+            b = b[(b >= at[r]) & (b + least <= at[r + 1])]
+            begin.append(b)
+            text.append(np.full(len(b), r))
+        begin, text = np.concatenate(begin), np.concatenate(text)
+        take = pa.array(text)
+        yield pa.RecordBatch.from_arrays(
+            [*(pa.array(span_hashes(x, begin, begin + least).view(np.int64)) for x in (p, q)), rows.column("doc_id").take(take), rows.column("th").take(take), pa.array((begin - at[text]).astype(np.int32))],
+            names=["k1", "k2", "doc_id", "th", "begin"],
+        )
+
+
 def _common(x: np.ndarray, y: np.ndarray) -> int:
     n = min(len(x), len(y))
     differ = x[:n] != y[:n]
@@ -173,32 +192,24 @@ def deep_nodes(order: list, depths: list, ranks: list, least: int) -> Iterator[t
 
 def subtree(ids: list[tuple], rights: list[np.ndarray], lefts: list[np.ndarray], least: int) -> Iterator[tuple]:
     """(id, begin, depth, id of the first) for the repeats among one group's suffixes; ids are (doc, text, position)."""
-    n = len(ids)
+    n, in_order = len(ids), lambda x: x.astype(">u8").tobytes()
     if n == 2:
         by, shared = None, [_common(lefts[0], lefts[1])]
     else:
-        by = sorted(range(n), key=lambda i: lefts[i].tolist())
+        by = sorted(range(n), key=lambda i: in_order(lefts[i]))
         shared = sorted({_common(lefts[i], lefts[j]) for i, j in zip(by, by[1:])})
     for a in shared:  # at these begins left contexts part; lefts are reversed
         own = [i for i in range(n) if len(lefts[i]) >= a]
         suffix = {i: np.concatenate((lefts[i][:a][::-1], rights[i])) for i in own}
-        order = own if len(own) == 2 else sorted(own, key=lambda i: suffix[i].tolist())
+        order = own if len(own) == 2 else sorted(own, key=lambda i: in_order(suffix[i]))
         depths = [_common(suffix[i], suffix[j]) for i, j in zip(order, order[1:])]
         for i, first, depth in deep_nodes(order, depths, ids, least):
             yield ids[i], ids[i][2] - a, depth, ids[first], ids[first][2] - a
 
 
 def _repeats(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by key and text."""
+    """Rows come sorted by key and text; equal texts are held once."""
     key, ids, rights, lefts, found = None, [], [], [], []
-    last, depths, hot = None, [], False
-
-    def finish() -> None:
-        if hot:
-            order = list(range(len(ids)))
-            found.extend((ids[i], ids[i][2], d, ids[f], ids[f][2]) for i, f, d in deep_nodes(order, depths, ids, least))
-        elif len(ids) > 1:
-            found.extend(subtree(ids, rights, lefts, least))
 
     def flush() -> pa.RecordBatch:
         rows = [(i[0], i[1], b, b + d, f[0], fb) for i, b, d, f, fb in found if i != f or b != fb]
@@ -215,13 +226,14 @@ def _repeats(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Recor
 
     for b in batches:
         right, left = hashes(b.column("right")), hashes(b.column("left"))
-        for i, (k, doc, th, pos, more, upto, long) in enumerate(zip(*(b.column(c).to_pylist() for c in ("key", "doc_id", "th", "pos", "more", "upto")), b.column("left").is_null().to_pylist())):
+        for i, (k, doc, th, pos, more, upto) in enumerate(zip(*(b.column(c).to_pylist() for c in ("key", "doc_id", "th", "pos", "more", "upto")))):
             if upto is not None:
                 found.append(((doc, th, pos), pos, upto - pos, (doc, th, -1), -1))
                 continue
-            if (k, long) != key:
-                finish()
-                key, ids, rights, lefts, depths, last, hot = (k, long), [], [], [], [], None, long
+            if k != key:
+                if len(ids) > 1:
+                    found.extend(subtree(ids, rights, lefts, least))
+                key, ids, rights, lefts = k, [], [], []
                 seen: set = set()
             if (doc, th, pos) in seen:
                 continue
@@ -229,15 +241,12 @@ def _repeats(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Recor
             ids.append((doc, th, pos))
             for p in more or ():  # the same text again in the same document
                 found.append(((doc, th, p), p - len(left[i]), len(left[i]) + len(right[i]), ids[-1], pos - len(left[i])))
-            if long:  # sorted as they come; only depths are kept
-                if last is not None:
-                    depths.append(_common(last, right[i]))
-                last = right[i]
-            else:
-                rights.append(right[i].copy())
-                lefts.append(left[i][::-1].copy())
+            rights.append(rights[-1] if rights and np.array_equal(rights[-1], right[i]) else right[i].copy())
+            reverse = left[i][::-1]
+            lefts.append(lefts[-1] if lefts and np.array_equal(lefts[-1], reverse) else reverse.copy())
         yield flush()
-    finish()
+    if len(ids) > 1:
+        found.extend(subtree(ids, rights, lefts, least))
     yield flush()
 
 
@@ -253,13 +262,20 @@ def repeats(docs: DataFrame, id_col: str, text_col: str, least: int, prefix: int
     marked = rows.repartition("fp").select("*", F.count("*").over(same).alias("n"), F.count("link").over(same).alias("linked"), F.min("link").over(same).alias("lo"), F.max("link").over(same).alias("hi")).where("n > 1 or upto is not null")
     # a repeat that holds an anchor also holds as many words on its one side or the other as halve the rest of a window
     marked = marked.select("*", F.count("r").over(Window.partitionBy("fp", "r")).alias("rs"), F.count("l").over(Window.partitionBy("fp", "l")).alias("ls")).where("rs > 1 or ls > 1 or upto is not null")
-    marked = marked.select("doc_id", "th", F.struct("pos", F.expr("linked < n or lo <> hi").alias("begins"), (F.col("n") > hot).alias("hot"), "upto").alias("mark"))
+    marked = marked.select("doc_id", "th", F.struct("pos", F.expr(f"linked < n or lo <> hi or pmod(fp, {BREAK}) = 0").alias("begins"), (F.col("n") > hot).alias("hot"), "upto").alias("mark"))
     marks = scratch.save(marked.groupBy("doc_id", "th").agg(F.collect_list("mark").alias("marks")))
     with_marks = docs.join(marks.hint("shuffle_merge"), ["doc_id", "th"])  # marks grow with the corpus: never broadcast
     suffixes = with_marks.mapInArrow(lambda it: _suffixes(it, least, prefix), "key long, doc_id long, th long, pos int, right binary, left binary, more array<int>, upto int")
-    found = suffixes.repartition("key").sortWithinPartitions("key", F.col("left").isNull(), "right").mapInArrow(lambda it: _repeats(it, least), "doc_id long, th long, begin int, end int, first_doc long, first_begin int")
-    out = scratch.save(found)
-    scratch.drop(marks)
+    found = suffixes.repartition("key").sortWithinPartitions("key", "right").mapInArrow(lambda it: _repeats(it, least), "doc_id long, th long, begin int, end int, first_doc long, first_begin int")
+    out, hot_docs = scratch.save(found), marks.where(F.exists("marks", lambda m: m.hot))
+    if not hot_docs.isEmpty():
+        windows = docs.join(hot_docs.hint("shuffle_merge"), ["doc_id", "th"]).mapInArrow(lambda it: _hot_windows(it, least, prefix), "k1 long, k2 long, doc_id long, th long, begin int")
+        windows = scratch.save(windows.distinct())
+        first = scratch.save(windows.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "th", "begin")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
+        again = windows.join(small(first, first.count(), 40), ["k1", "k2"]).where(~F.struct("doc_id", "th", "begin").eqNullSafe(F.col("first")))
+        all_ = again.select("doc_id", "th", "begin", (F.col("begin") + least).cast("int").alias("end"), F.col("first.doc_id").alias("first_doc"), F.col("first.begin").alias("first_begin"))
+        out = scratch.save(out.unionByName(all_))
+    scratch.drop_all_but(out)
     return out, scratch
 
 

@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from orrery.llm import suffix_dedup
 from orrery.llm.suffix_dedup import cut_repeats, repeated_passages
 
 
@@ -58,3 +59,56 @@ def test_defined_results(spark):
     left = {(r.doc_id, r.text, r.th, r.n_chars) for r in cut_repeats(df, least=20, prefix=6).collect()}
     assert left == {(None, long, "k", 0), (1, None, "k", 0), (2, "", "k", 0), (3, " \n", "k", 0), (4, long, "k", 0), (5, "end", "k", 3), (6, "x ", "k", 2)}
     assert repeated_passages(df.limit(0)).count() == 0 and cut_repeats(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("hot", [0, 1, 2, 5, 10, 100])
+def test_any_group_size(spark, hot):
+    """The same repeats, however many suffixes may share a prefix, with documents of one id and of several texts among them."""
+    rows = corpus(10 + hot)
+    rows += [(7, t) for _, t in corpus(99)[:5]]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {}
+    for (d, _), own in by_text(rows, 20).items():
+        want.setdefault(d, set()).update(own)
+    assert found(repeated_passages(df, least=20, prefix=6, hot=hot)) == want
+
+
+def by_text(rows, least):
+    """As brute(), with the texts of one id apart. They come by hash, which is taken here from Spark's own results: whichever is first, the union over both orders holds."""
+    seen, out = set(), {}
+    texts = sorted({(d, th, t) for d, th, t in hashed(rows)})
+    for doc, th, text in texts:
+        w = text.split()
+        for i in range(len(w) - least + 1):
+            window = tuple(w[i : i + least])
+            if window in seen:
+                out.setdefault((doc, th), set()).update(range(i, i + least))
+            seen.add(window)
+    return out
+
+
+def hashed(rows):
+    from pyspark.sql import SparkSession
+    from pyspark.sql import functions as F
+
+    df = SparkSession.getActiveSession().createDataFrame(rows, "doc_id long, text string")
+    return [tuple(r) for r in df.select("doc_id", F.xxhash64("text"), "text").collect()]
+
+
+def test_long_copies_are_cut_into_short_suffixes(spark, monkeypatch):
+    """Copies of a long text: suffixes are a small part of it, and everything is found; at every anchor, at some and at hardly any."""
+    rnd = random.Random(6)
+    long = " ".join(f"w{rnd.randrange(5000)}" for _ in range(20_000))
+    rows = [(i, f"start{i} {long} end{i}") for i in range(4)] + [(9, " ".join(long.split()[5000:9000]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for every in (1, 32, 10**9):
+        monkeypatch.setattr(suffix_dedup, "BREAK", every)
+        assert found(repeated_passages(df)) == {**{i: set(range(1, 20_001)) for i in (1, 2, 3)}, 9: set(range(4000))}
+
+
+def test_hot_passage(spark):
+    """One passage in thousands of documents, and one that only some of these continue."""
+    passage, tail = " ".join(f"p{i}" for i in range(60)), " ".join(f"t{i}" for i in range(80))
+    rows = [(i, f"a{i} {passage} " + (f"{tail} z{i}" if i % 500 == 3 else f"b{i} c{i}")) for i in range(6000)]
+    got = found(repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), hot=1000))
+    assert got == {i: set(range(1, 141 if i % 500 == 3 and i > 3 else 61)) for i in range(1, 6000)}
