@@ -8,6 +8,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..shared import stored
 from .grid import CELL
 
 TINY = 1e-8
@@ -41,14 +42,16 @@ def normalize_zscore(df: DataFrame, keys: list[str], value: str = "v", sample: b
 def batches(df: DataFrame, size: int, order: list[str]) -> DataFrame:
     """batch_id and place in the batch, in order of the columns; the last batch may be smaller.
 
-    Numbering is in two passes: range-partitioned rows are numbered within their partition and then moved by the counts of those before."""
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    tagged = ranged.withColumn("__p", F.spark_partition_id())
-    within = tagged.withColumn("__r", F.row_number().over(Window.partitionBy("__p").orderBy(*order)) - 1)
-    counts = tagged.groupBy("__p").agg(F.count("*").alias("n"))
+    Rows are range-partitioned and sorted once and stored with their partition and place in it; from then on both passes read the same rows:
+    one counts each partition's, the other moves places by the counts of the partitions before. No row order goes through one task, and
+    nothing is sorted or shuffled again. Rows that tie in the order are numbered in any order; other columns stay as they are."""
+    at = F.monotonically_increasing_id()  # partition << 33 | place in it
+    tagged = stored(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", at))
+    part, place = F.shiftright("__at", 33), F.col("__at").bitwiseAND((1 << 33) - 1)
+    counts = tagged.groupBy(part.alias("__p")).agg(F.count("*").alias("n"))
     before = counts.alias("a").join(counts.alias("b"), F.expr("b.__p < a.__p"), "left").groupBy("a.__p").agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))
-    number = F.col("before") + F.col("__r")
-    return within.join(F.broadcast(before), "__p").withColumns({"batch_id": F.floor(number / size), "place": number % size}).drop("__p", "__r", "before")
+    number = F.col("before") + place
+    return tagged.withColumn("__p", part).join(F.broadcast(before), "__p").withColumns({"batch_id": F.floor(number / size), "place": number % size}).drop("__p", "__at", "before")
 
 
 def shuffled(df: DataFrame, key: str, seed: int) -> DataFrame:

@@ -89,16 +89,10 @@ def featurize(v):
 @query("outkey:s n:i total:d", None)
 def feature_store(v):
     """Features through the store: appended, updated, read back normalised."""
-    import uuid
-
+    from ..shared import new_path
     from ..sources.store import FeatureStore
 
-    root = v.spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        import tempfile
-
-        root = tempfile.mkdtemp(prefix="orrery-")
-    store = FeatureStore(v.spark, f"{root.rstrip('/')}/orrery-store-{uuid.uuid4().hex}")
+    store = FeatureStore(v.spark, new_path(v.spark))
     rows = _voxels(v).withColumn("outkey", F.lit("charge"))
     store.append(rows)
     store.append(rows.withColumn("outkey", F.lit("label")).where("gx = 0"))
@@ -120,9 +114,9 @@ def dataset_index(v):
     return d.indexed([part.where("p_size < 10"), part.where("p_size >= 40")], "p_partkey")
 
 
-@query("event_id:i batch_id:i place:i", "SELECT event_id, (row_number() OVER (ORDER BY event_id) - 1) // 128 AS batch_id, (row_number() OVER (ORDER BY event_id) - 1) % 128 AS place FROM events")
+@query("event_id:i event_type:s value:d props:s batch_id:i place:i", "SELECT event_id, event_type, value, props, (row_number() OVER (ORDER BY event_id) - 1) // 128 AS batch_id, (row_number() OVER (ORDER BY event_id) - 1) % 128 AS place FROM events")
 def batch_split(v):
-    return d.batches(v.table("events").select("event_id"), 128, ["event_id"])
+    return d.batches(v.table("events"), 128, ["event_id"])
 
 
 @query("p_partkey:i shuffle_key:s", "SELECT p_partkey, md5('11:' || CAST(p_partkey AS VARCHAR)) AS shuffle_key FROM part")

@@ -195,6 +195,28 @@ def test_numbering_over_many_partitions(spark):
     assert got == [(i, i) for i in range(1000)]
 
 
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_numbering_keeps_every_row(spark, adaptive):
+    """Many rows with other columns, of which some clash by name, in any order."""
+    old = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        n = 300_000
+        df = spark.range(n).select(((F.col("id") * 7919) % n).alias("k"), F.md5(F.col("id").cast("string")).alias("text"), F.rand(1).alias("n")).repartition(23)
+        got = d.batches(df, 1000, ["k"]).withColumn("number", F.col("batch_id") * 1000 + F.col("place"))
+        r = got.agg(F.count("*"), F.countDistinct("number"), F.sum((F.col("number") != F.col("k")).cast("int")), F.countDistinct("text")).first()
+        assert tuple(r) == (n, n, 0, n) and got.columns == ["k", "text", "n", "batch_id", "place", "number"]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", old)
+
+
+def test_numbering_of_ties_and_nothing(spark):
+    df = spark.createDataFrame([(i % 3 if i % 4 else None, i) for i in range(50)], "k int, x int")
+    got = d.batches(df, 7, ["k"]).collect()
+    assert sorted(r.batch_id * 7 + r.place for r in got) == list(range(50)) and sorted(r.x for r in got) == list(range(50))
+    assert d.batches(df.limit(0), 7, ["k"]).count() == 0
+
+
 def test_metrics(spark):
     rng = np.random.default_rng(6)
     p, t = rng.integers(0, 9, 60).astype(float), rng.integers(0, 9, 60).astype(float)
