@@ -2,18 +2,23 @@
 stored as sorted hash arrays by range, memory-mapped for perplexity.
 
 The model predicts each word of a text from the two before it; a text begins after two words BEGIN. Words are runs of bytes
-above 0x20, as they stand. A word is its 64-bit hash, an n-gram the hash of its words' hashes, so tables grow with the corpus:
+above 0x20, as they stand. A word is its 48-bit hash, an n-gram a 64-bit hash of its words' hashes, so tables grow with the corpus:
 
     p_k(w | h) = max(c(hw) - D(c(hw)), 0) / c(h) + gamma(h) p_{k-1}(w | h'),  p_0 = 1 / (distinct words + 1)
     gamma(h) = (D1 N1(h) + D2 N2(h) + D3 N3+(h)) / c(h),  p_k(w | h) = p_{k-1}(w | h') where h is unknown
 
 Lower orders count distinct left neighbours; the discounts come from the counts of counts of each order. The tables are made in one
-job of three exchanges of compressed blocks, each block the rows of one range of hashes:
- 1. trigrams by range of their first two words: counts, and all that follows a context;
- 2. bigrams with how many words stand before them, by range of the bigram;
- 3. words, as contexts and with how many words stand before them, by range of the word.
-There are as many ranges as RANGE_BYTES go into the text, so that what a task holds doesn't grow. Each range is one file in the shared
-folder; only the list of files goes through the driver. A file of a lost or repeated task isn't in the list.
+job of two exchanges of compressed blocks, each block the rows of one range:
+ 1. trigrams (a, b, c) by range of the middle word b: a range then holds all of a trigram, all that follows the context (a, b), and all that
+    stands before the bigram (b, c). Words that would outgrow a range are found first and parted by c as well; what follows their contexts is the
+    sum over the parts. A block has a dictionary of its words, sorted, and the trigrams as numbers of it, sorted;
+ 2. words, as contexts and with how many words stand before them, by range of the word.
+There are as many ranges as RANGE_BYTES go into the text, so that what a task holds doesn't grow. Each range is one file for each table in the
+shared folder; only the list of files goes through the driver. A file of a lost or repeated task isn't in the list.
+
+A table is the sorted hashes, in buckets of about 16 by their first bits and with the next 24 bits of each, and a byte for each that
+stands for its values: the 255 commonest are listed, others lie apart in full. An n-gram that the corpus lacks is taken for one that it has
+once in a million times (16 / 2**24).
 
 Defined results: null, empty and blank texts count nothing and have a null perplexity; rows without an id are counted and scored like others;
 rows that repeat count as often as they occur; a corpus without words gives every word p = 1; an empty table gives an empty
@@ -36,9 +41,14 @@ from pyspark.sql import functions as F
 from .common import Scratch, U, mix, texts, word_hashes, words
 from .lm_scoring import discounts
 
-BEGIN = U(0x6A09E667F3BCC909)
-#: Bytes of text counted or scored at a time, and bytes of text a range of hashes.
-PIECE, RANGE_BYTES = 8 << 20, 8 << 20
+WORD_BITS = 48
+BEGIN = U(0x6A09E667F3BC)
+#: Bytes of text counted at a time and scored at a time, and bytes of text a range of hashes.
+PIECE, SCORED, RANGE_BYTES = 16 << 20, 8 << 20, 16 << 20
+#: Bytes of text for each occurrence from which on a word is too frequent for one range.
+HEAVY = 24
+#: Bytes of tables that a worker keeps where the shared folder can't be mapped.
+KEPT = 256 << 20
 TRIGRAMS, CONTEXTS, BIGRAMS, WORDS = range(4)
 _COLUMNS = {TRIGRAMS: 1, CONTEXTS: 4, BIGRAMS: 1, WORDS: 5}
 _SCHEMA = "range int, kind int, n long, over long, file string, n1 long, n2 long, n3 long, n4 long, total long, before long, block binary"
@@ -57,7 +67,7 @@ def tokens(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     n = len(at) - 1
     padded = np.full(len(starts) + 2 * n, BEGIN, U)
     place = np.arange(len(starts)) + np.repeat(2 * np.arange(1, n + 1), np.diff(at))
-    padded[place] = word_hashes(buf, starts, ends)
+    padded[place] = word_hashes(buf, starts, ends) >> U(64 - WORD_BITS)
     return padded[place - 2], padded[place - 1], padded[place], at
 
 
@@ -69,31 +79,107 @@ def summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return k[first], by[first], [np.add.reduceat(v[by], first) for v in values]
 
 
-def _ranges(keys: np.ndarray, bits: int) -> np.ndarray:
+def _top(keys: np.ndarray, bits: int) -> np.ndarray:
+    """The first bits of 64."""
     return (keys >> U(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
 
 
+class Ranges:
+    """Which range a trigram belongs to, by its middle word, and by its last one where the middle word is heavy."""
+
+    def __init__(self, bits: int, heavy: dict[int, int]) -> None:
+        self.bits = bits
+        self.words = np.array(sorted(heavy), U)
+        self.parts = np.array([heavy[w] for w in sorted(heavy)], np.int64)  # bits of parts
+        # the ranges of each heavy word, side by side; several parts may be in one range
+        places = [np.unique(self.of_part(np.full(1 << n, w, U), np.arange(1 << n))) for w, n in zip(self.words, self.parts.tolist())]
+        self.place, self.first = np.concatenate([*places, np.zeros(0, np.int64)]), np.cumsum([0, *map(len, places)])
+
+    def heavy(self, b: np.ndarray) -> np.ndarray:
+        """Which of the heavy words each is; -1 for none."""
+        if not len(self.words):
+            return np.full(len(b), -1)
+        at = np.minimum(np.searchsorted(self.words, b), len(self.words) - 1)
+        return np.where(self.words[at] == b, at, -1)
+
+    def of_part(self, b: np.ndarray, part: np.ndarray) -> np.ndarray:
+        return _top(mix(mix(b) + part.astype(U) * U(0xD6E8FEB86659FD93)), self.bits)
+
+    def of(self, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+        part, which = np.zeros(len(b), np.int64), self.heavy(b)
+        some = np.flatnonzero(which >= 0)
+        part[some] = (mix(c[some]) >> (U(64) - self.parts[which[some]].astype(U))).astype(np.int64)
+        return self.of_part(b, part)
+
+
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * len(_TYPES), _TYPES)], names=[f.split()[0] for f in _SCHEMA.split(", ")])
 
 
-def _blocks(keys: np.ndarray, columns: list[np.ndarray], bits: int) -> Iterator[pa.RecordBatch]:
-    """The columns, of eight bytes, parted by range of key."""
-    compress = zstandard.ZstdCompressor(level=1).compress
-    by = np.argsort(keys, kind="stable")
-    r = _ranges(keys[by], bits)
+def _planes(x: np.ndarray, width: int) -> bytes:
+    """The numbers' first bytes, then their second ones, ...: those of small numbers compress to nothing."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def _unplanes(data: bytes, n: int, width: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8, n * width).reshape(width, n).T
+    return out.view("<u8").ravel()
+
+
+def _packed(columns: list[np.ndarray]) -> bytes:
+    """Lengths, widths and compressed planes of several columns."""
+    compress, out = zstandard.ZstdCompressor(level=3).compress, []
+    for x in columns:
+        width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
+        data = compress(_planes(x, width))
+        out += [np.array([len(x), width, len(data)], np.int64).tobytes(), data]
+    return b"".join(out)
+
+
+def _unpacked(block: bytes) -> list[np.ndarray]:
+    decompress, at, out = zstandard.ZstdDecompressor().decompress, 0, []
+    while at < len(block):
+        n, width, size = np.frombuffer(block, np.int64, 3, at).tolist()
+        out.append(_unplanes(decompress(block[at + 24 : at + 24 + size]), n, width))
+        at += 24 + size
+    return out
+
+
+def trigram_block(a: np.ndarray, b: np.ndarray, c: np.ndarray, n: np.ndarray) -> bytes:
+    """Distinct trigrams and their counts: a sorted dictionary, and for each bigram (b, c) the words before it."""
+    known, at = np.unique(np.concatenate([a, b, c]), return_inverse=True)
+    m = len(a)
+    x, y, z = at[:m], at[m : 2 * m], at[2 * m :]
+    by = np.argsort((y << 42) | (z << 21) | x) if len(known) < 1 << 21 else np.lexsort((x, z, y))
+    x, y, z = x[by], y[by], z[by]
+    first = np.flatnonzero(np.append(True, (y[1:] != y[:-1]) | (z[1:] != z[:-1])))
+    return _packed([np.diff(known, prepend=U(0)), x, np.diff(y[first], prepend=0), z[first], np.diff(np.append(first, m)), n[by]])
+
+
+def trigrams_of(block: bytes) -> list[np.ndarray]:
+    known, x, y, z, sizes, n = _unpacked(block)
+    known = np.cumsum(known, dtype=U)
+    sizes = sizes.astype(np.int64)
+    return [known[x], np.repeat(known[np.cumsum(y, dtype=U)], sizes), np.repeat(known[z], sizes), n]
+
+
+def _blocks(ranges: np.ndarray, columns: list[np.ndarray], pack) -> Iterator[pa.RecordBatch]:
+    """The columns parted by range, each part packed."""
+    by = np.argsort(ranges, kind="stable")
+    r = ranges[by]
     begin = np.flatnonzero(np.append(True, r[1:] != r[:-1])) if len(r) else np.zeros(0, int)
-    columns, rows = [c[by].view(np.int64) for c in columns], []
+    columns, rows = [c[by] for c in columns], []
     for i, j in zip(begin.tolist(), [*begin[1:].tolist(), len(r)]):
-        rows.append((int(r[i]), -1, j - i, 0, None, 0, 0, 0, 0, 0, 0, compress(np.stack([c[i:j] for c in columns]).tobytes())))
+        rows.append((int(r[i]), -1, j - i, 0, None, 0, 0, 0, 0, 0, 0, pack(*(c[i:j] for c in columns))))
         if len(rows) == 64 or j == len(r):
             yield _rows(rows)
             rows = []
 
 
-def _of_ranges(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[tuple[int, list[np.ndarray] | pa.RecordBatch]]:
+def _of_ranges(batches: Iterator[pa.RecordBatch], unpack) -> Iterator[tuple[int, list[np.ndarray] | pa.RecordBatch]]:
     """The blocks of each range, joined; rows sorted by range. Reports of files come through as they are, as range -1."""
-    decompress, now, parts = zstandard.ZstdDecompressor().decompress, None, []
+    now, parts = None, []
     for b in batches:
         kinds = np.asarray(b.column("kind"))
         if (kinds >= 0).any():
@@ -101,26 +187,88 @@ def _of_ranges(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[tupl
         for i in np.flatnonzero(kinds < 0).tolist():
             r = b.column("range")[i].as_py()
             if r != now and parts:
-                yield now, list(np.concatenate(parts, axis=1))
+                yield now, [np.concatenate(x) for x in zip(*parts)]
                 parts = []
             now = r
-            parts.append(np.frombuffer(decompress(b.column("block")[i].as_py()), np.int64).reshape(columns, -1))
+            parts.append(unpack(b.column("block")[i].as_py()))
     if parts:
-        yield now, list(np.concatenate(parts, axis=1))
+        yield now, [np.concatenate(x) for x in zip(*parts)]
+
+
+class Table:
+    """Sorted hashes and the values of each, in one buffer."""
+
+    @staticmethod
+    def parts(keys: np.ndarray, columns: list[np.ndarray]) -> list[np.ndarray]:
+        """The arrays of a table: head, listed values, places and values of the others, buckets, hashes, and a byte for each; keys rise."""
+        values = np.stack(columns, axis=1).astype(np.int64)
+        bits = max(0, (len(keys) // 16).bit_length())
+        bounds = np.append(np.searchsorted(_top(keys, bits), np.arange(1 << bits)), len(keys)).astype(np.uint32)
+        low = ((keys << U(bits)) >> U(40)).astype(np.uint32)
+        packed = sum((values[:, k].astype(U) << U(12 * k) for k in range(values.shape[1])), np.zeros(len(keys), U))
+        narrow = (values < 1 << 12).all(axis=1)
+        common, first, times = np.unique(packed[narrow], return_index=True, return_counts=True)
+        top = np.argsort(-times, kind="stable")[:255]
+        listed = values[narrow][first[top]]
+        code = np.full(len(keys), 255, np.uint8)
+        order = np.argsort(common[top])
+        if len(top):
+            at = np.minimum(np.searchsorted(common[top][order], packed), len(top) - 1)
+            hit = narrow & (common[top][order][at] == packed)
+            code[hit] = order[at[hit]]
+        other = np.flatnonzero(code == 255)
+        head = np.array([len(keys), bits, len(listed), len(other), values.shape[1], 0, 0, 0], np.int64)
+        wide = np.int64 if len(other) and values[other].max() >> 32 else np.uint32
+        head[5] = np.dtype(wide).itemsize
+        return [head, listed, values[other].astype(wide), other.astype(np.uint32), bounds, (low >> 8).astype(np.uint16), low.astype(np.uint8), code]
+
+    def __init__(self, data) -> None:
+        self.n, self.bits, listed, others, self.columns, wide = np.frombuffer(data, np.int64, 6).tolist()
+        at = 64
+
+        def take(kind, n: int) -> np.ndarray:
+            nonlocal at
+            out = np.frombuffer(data, kind, n, at)
+            at += out.nbytes
+            return out
+
+        self.listed = take(np.int64, listed * self.columns).reshape(-1, self.columns)
+        self.values = take(np.int64 if wide == 8 else np.uint32, others * self.columns).reshape(-1, self.columns)
+        self.other, self.bounds = take(np.uint32, others), take(np.uint32, (1 << self.bits) + 1)
+        self.high, self.low, self.code = take(np.uint16, self.n), take(np.uint8, self.n), take(np.uint8, self.n)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which keys are there, and their values, a row each."""
+        bucket = _top(keys, self.bits)
+        want = ((keys << U(self.bits)) >> U(40)).astype(np.int64)
+        lo, end = self.bounds[bucket].astype(np.int64), self.bounds[bucket + 1].astype(np.int64)
+        hi = end.copy()
+        for _ in range(int((end - lo).max()).bit_length() if len(keys) else 0):
+            mid = np.minimum((lo + hi) >> 1, self.n - 1)
+            less = (lo < hi) & ((self.high[mid].astype(np.int64) << 8 | self.low[mid]) < want)
+            lo, hi = np.where(less, mid + 1, lo), np.where(less, hi, np.minimum(hi, mid))
+        at = np.minimum(lo, self.n - 1)
+        hit = np.flatnonzero((lo < end) & ((self.high[at].astype(np.int64) << 8 | self.low[at]) == want))
+        at = at[hit]
+        code = self.code[at]
+        out = np.zeros((len(at), self.columns), np.int64)
+        few = code < 255
+        out[few] = self.listed[code[few]]
+        out[~few] = self.values[np.searchsorted(self.other, at[~few])]
+        return hit, out
 
 
 def _file(path: str, kind: int, r: int, keys: np.ndarray, columns: list[np.ndarray], own: np.ndarray | None) -> tuple:
-    """Writes rising keys and their values, a byte each, and those of 255 and more apart; the report of it."""
-    values = np.stack(columns).astype(np.int64)
-    at = np.flatnonzero(values.ravel() >= 255)
+    """Writes a table; the report of it."""
+    parts = Table.parts(keys, columns)
     system, folder = fs.FileSystem.from_uri(path)
     system.create_dir(folder, recursive=True)
     name = f"{folder}/{kind}-{r}-{uuid.uuid4().hex}"
     with system.open_output_stream(name) as f:
-        for x in (keys, at, values.ravel()[at], np.minimum(values, 255).astype(np.uint8)):
+        for x in parts:
             f.write(np.ascontiguousarray(x).tobytes())
     counts = [int(np.count_nonzero(own == i)) for i in (1, 2, 3, 4)] if own is not None else [0] * 4
-    return (-1, kind, len(keys), len(at), f"{r}:{name}", *counts, *((int(own.sum()), int(np.count_nonzero(own)) * (kind == WORDS)) if own is not None else (0, 0)), None)
+    return (-1, kind, len(keys), len(parts[3]), f"{r}:{name}", *counts, *((int(own.sum()), int(np.count_nonzero(own)) * (kind == WORDS)) if own is not None else (0, 0)), None)
 
 
 def _following(context: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -129,55 +277,57 @@ def _following(context: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, list[np.
     return keys, sums
 
 
-def _counted(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+def _heavy(batches: Iterator[pa.RecordBatch], total: int, range_bytes: int) -> Iterator[pa.RecordBatch]:
+    """word, n: how often words that may be heavy occur; a word that isn't among them in any piece is in none too often."""
+    for _, buf, off in texts(batches, size=PIECE):
+        w, n = np.unique(tokens(buf, off)[2], return_counts=True)
+        some = n * total >= range_bytes // HEAVY * len(buf)
+        yield pa.RecordBatch.from_arrays([pa.array(w[some].view(np.int64)), pa.array(n[some])], names=["word", "n"])
+
+
+def _counted(batches: Iterator[pa.RecordBatch], ranges: Ranges) -> Iterator[pa.RecordBatch]:
     for _, buf, off in texts(batches, size=PIECE):
         a, b, c, _ = tokens(buf, off)
         if len(c):
-            context = joined(a, b)
-            _, at, (n,) = summed(joined(context, c), np.ones(len(c), np.int64))
-            yield from _blocks(context[at], [a[at], b[at], c[at], n], bits)
+            _, at, (n,) = summed(joined(joined(a, b), c), np.ones(len(c), np.int64))
+            a, b, c = a[at], b[at], c[at]
+            yield from _blocks(ranges.of(b, c), [a, b, c, n], trigram_block)
 
 
 def _trigrams(batches: Iterator[pa.RecordBatch], bits: int, path: str) -> Iterator[pa.RecordBatch]:
-    for r, rows in _of_ranges(batches, 4):
-        a, b, c = (x.view(U) for x in rows[:3])
-        context = joined(a, b)
-        keys, at, (n,) = summed(joined(context, c), rows[3])
-        contexts, follow = _following(context[at], n)
+    for r, (a, b, c, n) in _of_ranges(batches, trigrams_of):
+        keys, at, (n,) = summed(joined(joined(a, b), c), n.astype(np.int64))
+        a, b, c = a[at], b[at], c[at]
+        contexts, follow = _following(joined(a, b), n)
         yield _rows([_file(path, TRIGRAMS, r, keys, [n], n), _file(path, CONTEXTS, r, contexts, follow, None)])
-        b, c = b[at], c[at]
+        del a, contexts, follow
         keys, at, (n,) = summed(joined(b, c), np.ones(len(c), np.int64))
-        yield from _blocks(keys, [b[at], c[at], n], bits)
-
-
-def _bigrams(batches: Iterator[pa.RecordBatch], bits: int, path: str) -> Iterator[pa.RecordBatch]:
-    for r, rows in _of_ranges(batches, 3):
-        if r < 0:
-            yield rows
-            continue
-        b, c = (x.view(U) for x in rows[:2])
-        keys, at, (n,) = summed(joined(b, c), rows[2])
         yield _rows([_file(path, BIGRAMS, r, keys, [n], n)])
         context, follow = _following(b[at], n)
         word, _, (before,) = summed(c[at], np.ones(len(at), np.int64))
-        zero = [np.zeros(len(word), np.int64)] * 4
-        yield from _blocks(np.concatenate([context, word]), [np.concatenate(x) for x in ((context, word), *zip(follow, zero), (np.zeros(len(context), np.int64), before))], bits)
+        none = [np.zeros(len(word), np.int64)] * 4
+        word, _, sums = summed(np.concatenate([context, word]), *(np.concatenate(x) for x in zip([*follow, np.zeros(len(context), np.int64)], [*none, before])))
+        yield from _blocks(_top(word << U(64 - WORD_BITS), bits), [word, *sums], lambda w, *x: _packed([np.diff(w, prepend=U(0)), *x]))
+
 
+def _words(batches: Iterator[pa.RecordBatch], path: str, bits: int) -> Iterator[pa.RecordBatch]:
+    def unpack(block: bytes) -> list[np.ndarray]:
+        word, *sums = _unpacked(block)
+        return [np.cumsum(word, dtype=U), *(x.astype(np.int64) for x in sums)]
 
-def _words(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    for r, rows in _of_ranges(batches, 6):
+    for r, rows in _of_ranges(batches, unpack):
         if r < 0:
             yield rows
             continue
-        keys, _, sums = summed(rows[0].view(U), *rows[1:])
-        yield _rows([_file(path, WORDS, r, keys, sums, sums[4])])
+        keys, _, sums = summed(*rows)
+        yield _rows([_file(path, WORDS, r, keys << U(64 - WORD_BITS + bits), sums, sums[4])])
 
 
 class WordModel:
-    """The arrays of a model, mapped when they are first needed."""
+    """The tables of a model, mapped when they are first needed."""
 
-    def __init__(self, bits: int, path: str, reports: list) -> None:
-        self.bits, self.path, self.files, count = bits, path, {}, np.zeros((4, 5), np.int64)
+    def __init__(self, ranges: Ranges, path: str, reports: list) -> None:
+        self.ranges, self.path, self.files, count = ranges, path, {}, np.zeros((4, 5), np.int64)
         self.n_words = sum(x.before for x in reports)
         for x in reports:
             r, _, name = x.file.partition(":")
@@ -186,60 +336,65 @@ class WordModel:
         self.discounts = {k: np.array([0.0, *discounts(*count[kind][:4].tolist())]) for k, kind in ((1, WORDS), (2, BIGRAMS), (3, TRIGRAMS))}
         self.first = count[WORDS].tolist()
 
-    def mapped(self, kind: int, r: int) -> tuple | None:
-        """Keys, places and values of 255 and more, and values a byte each of a range."""
+    def table(self, kind: int, r: int) -> Table | None:
+        """The table of a range. In a mounted folder its pages are shared by all workers of a machine; elsewhere a worker reads a
+        range when it is needed and keeps some."""
         if (kind, r) not in self.files:
             return None
-        name, n, over = self.files[kind, r]
+        name = self.files[kind, r][0]
         if name not in _cache:
             system, _ = fs.FileSystem.from_uri(self.path)
-            if isinstance(system, fs.LocalFileSystem):  # a mounted folder: pages are shared by all workers of a machine
+            if isinstance(system, fs.LocalFileSystem):
                 with open(name, "rb") as f:
-                    data = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, trackfd=False)
+                    _cache[name] = Table(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, trackfd=False)), 0
             else:
                 with system.open_input_file(name) as f:
                     data = f.read()
-            cut = 8 * n, 8 * (n + over)
-            _cache[name] = np.frombuffer(data, U, n), np.frombuffer(data, np.int64, over, cut[0]), np.frombuffer(data, np.int64, over, cut[1]), np.frombuffer(data, np.uint8, -1, cut[1] + 8 * over).reshape(-1, n)
-        return _cache[name]
+                while sum(size for _, size in _cache.values()) + len(data) > KEPT and any(size for _, size in _cache.values()):
+                    del _cache[next(k for k, (_, size) in _cache.items() if size)]
+                _cache[name] = Table(data), len(data)
+        return _cache[name][0]
 
-    def find(self, kind: int, keys: np.ndarray, by: np.ndarray) -> np.ndarray:
-        """The values of each key, which lies in the range of by; zero where there are none."""
+    def find(self, kind: int, keys: np.ndarray, r: np.ndarray) -> np.ndarray:
+        """The values of each key, in its range; zero where there are none."""
         out = np.zeros((_COLUMNS[kind], len(keys)), np.int64)
-        r = _ranges(by, self.bits)
         order = np.lexsort((keys, r))
         r, keys = r[order], keys[order]
         begin = np.flatnonzero(np.append(True, r[1:] != r[:-1])) if len(r) else np.zeros(0, int)
         for i, j in zip(begin.tolist(), [*begin[1:].tolist(), len(r)]):
-            if (arrays := self.mapped(kind, int(r[i]))) is None:
-                continue
-            known, place, large, values = arrays
-            at = np.minimum(np.searchsorted(known, keys[i:j]), len(known) - 1)
-            hit = np.flatnonzero(known[at] == keys[i:j])
-            at = at[hit]
-            for k in range(len(values)):
-                v = values[k][at].astype(np.int64)
-                full = np.flatnonzero(v == 255)
-                v[full] = large[np.searchsorted(place, at[full] + k * len(known))]
-                out[k, order[i:j][hit]] = v
+            if (table := self.table(kind, int(r[i]))) is not None:
+                hit, values = table.find(keys[i:j])
+                out[:, order[i:j][hit]] = values.T
         return out
 
     def probabilities(self, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
         """Of each word c after a and b."""
-
-        def distinct(kind: int, keys: np.ndarray) -> np.ndarray:
-            some, back = np.unique(keys, return_inverse=True)
-            return self.find(kind, some, some)[:, back]
+        bits = self.ranges.bits
+
+        def words(w: np.ndarray) -> np.ndarray:
+            some, back = np.unique(w, return_inverse=True)
+            top = some << U(64 - WORD_BITS)
+            return self.find(WORDS, top << U(bits), _top(top, bits))[:, back]
+
+        def contexts() -> np.ndarray:
+            keys, at, back = np.unique(joined(a, b), return_index=True, return_inverse=True)
+            middle, which = b[at], self.ranges.heavy(b[at])
+            out = self.find(CONTEXTS, keys, np.where(which < 0, self.ranges.of_part(middle, np.zeros(len(middle), np.int64)), -1))
+            first = self.ranges.first
+            for k in range(int(np.diff(first).max(initial=0))):
+                some = np.flatnonzero((which >= 0) & (first[which] + k < first[which + 1]))
+                out[:, some] += self.find(CONTEXTS, keys[some], self.ranges.place[first[which[some]] + k])
+            return out[:, back]
 
         def level(k: int, n: np.ndarray, total: np.ndarray, n1: np.ndarray, n2: np.ndarray, n3: np.ndarray, lower: np.ndarray) -> np.ndarray:
             d, whole = self.discounts[k], np.maximum(total, 1)
             return np.where(total > 0, np.maximum(n - d[np.minimum(n, 3)], 0) / whole + (d[1] * n1 + d[2] * n2 + d[3] * n3) / whole * lower, lower)
 
         n1, n2, _, _, total = self.first
-        p = level(1, distinct(WORDS, c)[4], *(np.int64(x) for x in (total, n1, n2, self.n_words - n1 - n2)), 1 / (self.n_words + 1))
-        p = level(2, distinct(BIGRAMS, joined(b, c))[0], *distinct(WORDS, b)[:4], p)
-        context = joined(a, b)
-        return level(3, self.find(TRIGRAMS, joined(context, c), context)[0], *distinct(CONTEXTS, context), p)
+        r = self.ranges.of(b, c)
+        p = level(1, words(c)[4], *(np.int64(x) for x in (total, n1, n2, self.n_words - n1 - n2)), 1 / (self.n_words + 1))
+        p = level(2, self.find(BIGRAMS, joined(b, c), r)[0], *words(b)[:4], p)
+        return level(3, self.find(TRIGRAMS, joined(joined(a, b), c), r)[0], *contexts(), p)
 
     def score(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The words of each text, and the sum of their log2 probabilities."""
@@ -255,16 +410,20 @@ def build_words(docs: DataFrame, text_col: str = "text", range_bytes: int = RANG
     rows = docs.select(F.col(text_col).cast("string").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     bits = max(0, -(-size // range_bytes) - 1).bit_length()
-    path = Scratch(docs.sparkSession).path()
+    path, heavy = Scratch(docs.sparkSession).path(), {}
+    if bits:
+        most = range_bytes // HEAVY
+        counts = rows.mapInArrow(lambda it: _heavy(it, size, range_bytes), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") > most)
+        heavy = {r.word: min(bits, (-(-r.n // most) - 1).bit_length()) for r in counts.collect()}
+    ranges = Ranges(bits, heavy)
 
     def met(df: DataFrame) -> DataFrame:
         return df.repartition(1 << bits, "range").sortWithinPartitions("range")
 
-    table = met(rows.mapInArrow(lambda it: _counted(it, bits), _SCHEMA))
+    table = met(rows.mapInArrow(lambda it: _counted(it, ranges), _SCHEMA))
     table = met(table.mapInArrow(lambda it: _trigrams(it, bits, path), _SCHEMA))
-    table = met(table.mapInArrow(lambda it: _bigrams(it, bits, path), _SCHEMA))
-    reports = table.mapInArrow(lambda it: _words(it, path), _SCHEMA).drop("block").collect()
-    return WordModel(bits, path, reports)
+    reports = table.mapInArrow(lambda it: _words(it, path, bits), _SCHEMA).drop("block").collect()
+    return WordModel(ranges, path, reports)
 
 
 def word_perplexity(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: WordModel | None = None) -> DataFrame:
@@ -272,7 +431,7 @@ def word_perplexity(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     model = model or build_words(docs, text_col)
 
     def scored(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, buf, off in texts(it, size=PIECE):
+        for rows, buf, off in texts(it, size=SCORED):
             n, s = model.score(buf, off)
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(n), pa.array(s, mask=n == 0), pa.array(2 ** (-s / np.maximum(n, 1)), mask=n == 0)], names=["doc_id", "n_words", "log2_probability", "perplexity"])
 
