@@ -39,7 +39,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, U, mix, texts, word_hashes, words
-from .lm_scoring import discounts
 
 WORD_BITS = 48
 BEGIN = U(0x6A09E667F3BC)
@@ -56,6 +55,14 @@ _TYPES = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string(), *[pa.int6
 _cache: dict = {}
 
 
+def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
+    """D1, D2 and D3+ from how many n-grams occur once, twice, ...; the usual middle values where one of these is missing."""
+    if not (n1 and n2 and n3 and n4):
+        return 0.5, 1.0, 1.5
+    y = n1 / (n1 + 2 * n2)
+    return tuple(min(max(i - (i + 1) * y * b / a, 0.0), float(i)) for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))
+
+
 def joined(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     """The key of what x is the key of, and the word w after it."""
     return mix(mix(x) * U(0xD6E8FEB86659FD93) + w)

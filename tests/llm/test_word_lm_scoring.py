@@ -4,10 +4,12 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
-from orrery.llm.lm_scoring import discounts
-from orrery.llm.word_lm_scoring import TRIGRAMS, build_words, word_perplexity
+from orrery.llm.word_lm_scoring import TRIGRAMS, Table, build_words, discounts, trigram_block, trigrams_of, word_perplexity
 
 
 def brute(corpus):
@@ -42,7 +44,7 @@ def frame(spark, texts):
     return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
 
 
-@pytest.mark.parametrize("range_bytes", [1 << 23, 1 << 10])
+@pytest.mark.parametrize("range_bytes", [1 << 23, 1 << 10, 200])
 def test_formula(spark, range_bytes):
     rnd = random.Random(3)
     word = lambda: rnd.choice("a a a b b c dd e f gé hh i".split())
@@ -79,3 +81,51 @@ def test_registered_query_sees_words(spark, tmp_path):
     frame(spark, [a] * 20 + [b]).write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r for r in op8_lm_scoring(spark, str(tmp_path)).collect()}
     assert got[0].n_words == 8 and got[0].perplexity * 1.5 < got[20].perplexity
+
+
+def test_discounts():
+    assert discounts(10, 4, 2, 1) == pytest.approx((1 - 2 * 10 / 18 * 4 / 10, 2 - 3 * 10 / 18 * 2 / 4, 3 - 4 * 10 / 18 * 1 / 2))
+    assert discounts(0, 4, 2, 1) == (0.5, 1.0, 1.5) and discounts(1, 9, 9, 999) == (pytest.approx(1 / 19), pytest.approx(2 - 3 / 19), 0.0)
+
+
+def test_held_out_text(spark):
+    """Text of the corpus's kind is likelier than the same words in another order."""
+    rnd = random.Random(5)
+    then = {w: [rnd.choice("abcdefghij") for _ in range(2)] for w in "abcdefghij"}
+
+    def line():
+        w = [rnd.choice("abcdefghij")]
+        while len(w) < 60:
+            w.append(rnd.choice(then[w[-1]]))
+        return w
+
+    model = build_words(frame(spark, [" ".join(line()) for _ in range(60)]))
+    new = line()
+    got = {r.doc_id: r.perplexity for r in word_perplexity(frame(spark, [" ".join(new), " ".join(rnd.sample(new, 60))]), model=model).collect()}
+    assert got[0] * 1.5 < got[1]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.data())
+def test_table(data):
+    """What is stored is found, with values small and large, and nothing else."""
+    rng = np.random.default_rng(data.draw(st.integers(0, 1 << 30)))
+    n, columns = data.draw(st.integers(1, 3000)), data.draw(st.sampled_from([1, 4, 5]))
+    keys = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+    values = [np.where(rng.random(len(keys)) < 0.1, rng.integers(0, data.draw(st.sampled_from([300, 1 << 20, 1 << 40])), len(keys)), rng.integers(0, 3, len(keys))) for _ in range(columns)]
+    table = Table(b"".join(np.ascontiguousarray(x).tobytes() for x in Table.parts(keys, values)))
+    some = rng.permutation(np.concatenate([keys, rng.integers(0, 1 << 64, 50, dtype=np.uint64)]))
+    hit, got = table.find(some)
+    assert set(some[hit].tolist()) == set(keys.tolist())
+    want = dict(zip(keys.tolist(), zip(*(v.tolist() for v in values))))
+    assert all(want[k] == tuple(v) for k, v in zip(some[hit].tolist(), got.tolist()))
+    assert len(table.find(np.zeros(0, np.uint64))[0]) == 0
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(*[st.integers(0, 40)] * 3), min_size=1, max_size=300, unique=True), st.integers(1, 1 << 40))
+def test_block(rows, most):
+    rnd = random.Random(most)
+    word = [rnd.randrange(1 << 48) for _ in range(41)]
+    columns = [np.array([word[r[i]] for r in rows], np.uint64) for i in range(3)] + [np.array([rnd.randrange(1, most + 1) for _ in rows])]
+    assert sorted(zip(*(x.tolist() for x in trigrams_of(trigram_block(*columns))))) == sorted(zip(*(x.tolist() for x in columns)))
