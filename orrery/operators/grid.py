@@ -95,6 +95,13 @@ def _distance2(cells: list[Column], grid: GridSpec) -> Column:
     return sum((d * d for d in deltas[1:]), deltas[0] * deltas[0])
 
 
+def spread_out(points: DataFrame, keys: list[str]) -> DataFrame:
+    """points by keys over as many partitions as a shuffle has, however few bytes they are: each becomes hundreds of rows.
+
+    Points move instead of what they become: groups of the keys and a cell then lie in one partition, and need no exchange of their own."""
+    return points.repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def near_cells(points: DataFrame, grid: GridSpec, cutoff: float, inclusive: bool = True, on_lattice: bool = False) -> DataFrame:
     """Each point once for each cell of the grid within the cutoff, with gx, gy, gz and the squared distance d2.
 
@@ -147,7 +154,7 @@ def smear(points: DataFrame, grid: GridSpec, cutoff: float, sigma: float, weight
 
 def voxelize(points: DataFrame, grid: GridSpec, cutoff: float, sigma: float, keys: list[str], weight: str = "w", on_lattice: bool = False) -> DataFrame:
     """Density v of each touched cell for each group of keys."""
-    return smear(points.select(*keys, *AXES, weight), grid, cutoff, sigma, weight, on_lattice).groupBy(*keys, *CELL).agg(F.sum("v").alias("v"))
+    return smear(spread_out(points.select(*keys, *AXES, weight), keys), grid, cutoff, sigma, weight, on_lattice).groupBy(*keys, *CELL).agg(F.sum("v").alias("v"))
 
 
 def discretize(points: DataFrame, grid: GridSpec, keys: list[str], weight: str = "w") -> DataFrame:

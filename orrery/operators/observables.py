@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..spec import GridSpec
-from .grid import AXES, CELL, near_cells
+from .grid import AXES, CELL, near_cells, spread_out
 
 OBSERVABLES = ("existence", "direct_count", "distinct_count", "mean_distance", "cumulative_weight", "density", "dispersion", "eccentricity", "radius_of_gyration")
 
@@ -22,6 +22,22 @@ def empty_value(kind: str, cutoff: float) -> float:
     return float(cutoff) if kind == "eccentricity" else 0.0
 
 
+#: Pairs held at once.
+PAIRS = 1 << 19
+
+
+def _pair_sums(w: np.ndarray, axes: list[np.ndarray]) -> tuple[float, float]:
+    """Weighted distances and weights of all ordered pairs of one large cell, some rows of the pairs' matrix at a time."""
+    n, far, total = len(w), 0.0, 0.0
+    for i in range(0, n, max(1, PAIRS // n)):
+        part = slice(i, i + max(1, PAIRS // n))
+        ww = w[part, None] * w[None, :]
+        ww[np.arange(len(ww)), np.arange(i, i + len(ww))] = 0
+        far += (ww * np.sqrt(sum((x[part, None] - x[None, :]) ** 2 for x in axes))).sum()
+        total += ww.sum()
+    return far, total
+
+
 def _dispersion(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each row's points to the mean of their pairs' distances, weighted by both weights; 0 without weight. Rows of as many points go together."""
     for b in batches:
@@ -31,7 +47,13 @@ def _dispersion(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, *axes = (np.asarray(c) for c in flat.flatten())
         out = np.zeros(len(start))
         for n in np.unique(size[size > 1]).tolist():
-            rows, step = np.flatnonzero(size == n), max(1, (1 << 19) // (n * n))
+            rows, step = np.flatnonzero(size == n), max(1, PAIRS // (n * n))
+            if n * n > PAIRS:
+                for i in rows.tolist():
+                    at = slice(start[i], start[i] + n)
+                    far, total = _pair_sums(w[at], [x[at] for x in axes])
+                    out[i] = far / total if total else 0.0
+                continue
             for i in range(0, len(rows), step):
                 r = rows[i : i + step]
                 at = start[r][:, None] + np.arange(n)
@@ -90,5 +112,5 @@ def observed(near: DataFrame, kind: str, cutoff: float, spacing: float, keys: li
 
 def observe(points: DataFrame, grid: GridSpec, kind: str, cutoff: float, keys: list[str], weight: str = "w", on_lattice: bool = False) -> DataFrame:
     """The observable for each group of keys (with the frame among them) and each cell that sees an atom."""
-    near = near_cells(points.select(*keys, *AXES, weight), grid, cutoff, True, on_lattice)
+    near = near_cells(spread_out(points.select(*keys, *AXES, weight), keys), grid, cutoff, True, on_lattice)
     return observed(near, kind, cutoff, grid.spacing, keys, weight)

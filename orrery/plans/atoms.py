@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..functions.constants import BACKBONE, ELEMENTS, RESIDUES
+from ..functions.constants import BACKBONE, RESIDUES
 from ..functions.masks import select_atoms
 from ..operators import grid as g
 from ..operators import labels, residues, windows
@@ -225,12 +225,16 @@ def focus_json(v):
 # properties
 
 
-def _values(field: str) -> str:
-    return ", ".join(f"({z}, {p[field]!r})" for z, p in ELEMENTS.items() if p[field] is not None)
+#: Of the elements that the atoms have, as published (IUPAC's abridged masses, Bondi's radii, Pauling's electronegativities); not the engine's table.
+_KNOWN = {
+    "mass": "(1, 1.008), (6, 12.011), (7, 14.007), (8, 15.999), (16, 32.06), (15, 30.974), (9, 18.998), (17, 35.45), (35, 79.904), (53, 126.904)",
+    "vdw_radius": "(1, 1.2), (6, 1.7), (7, 1.55), (8, 1.52), (16, 1.8), (15, 1.8), (9, 1.47), (17, 1.75), (35, 1.85), (53, 1.98)",
+    "electronegativity": "(1, 2.20), (6, 2.55), (7, 3.04), (8, 3.44), (16, 2.58), (15, 2.19), (9, 3.98), (17, 3.16), (35, 2.96), (53, 2.66)",
+}
 
 
 def _property(field: str) -> str:
-    return f"SELECT traj_id, atom_id, p.w AS w FROM v_atoms JOIN (VALUES {_values(field)}) p(z, w) ON z_number = p.z"
+    return f"SELECT traj_id, atom_id, p.w AS w FROM v_atoms JOIN (VALUES {_KNOWN[field]}) p(z, w) ON z_number = p.z"
 
 
 _SPINE = ", ".join(f"'{b}'" for b in BACKBONE)
@@ -261,11 +265,78 @@ def charge_sign(v):
     return v.atoms.select("traj_id", "atom_id", *(WEIGHTS["charge"](k).alias(n) for k, n in (("positive", "positive"), ("negative", "negative"), ("both", "signed"))))
 
 
-@query("z:i symbol:s mass:d covalent_radius:d ionization_energy:d", "SELECT * FROM (VALUES " + ", ".join(f"({z}, '{p['symbol']}', {p['mass']}, {p['covalent_radius'] or 'NULL'}, {p['ionization_energy'] or 'NULL'})" for z, p in ELEMENTS.items()) + ") t(z, symbol, mass, covalent_radius, ionization_energy)")
+@query("z:i symbol:s mass:d covalent_radius:d ionization_energy:d", """
+SELECT * FROM (VALUES (1, 'H', 1.008, 0.31, 1312.0), (2, 'He', 4.003, 0.28, 2372.3), (3, 'Li', 6.94, 1.28, 520.2), (4, 'Be', 9.012, 0.96, 899.5), (5, 'B', 10.81, 0.85, 800.6), (6, 'C', 12.011, 0.76, 1086.5), (7, 'N', 14.007, 0.71, 1402.3),
+    (8, 'O', 15.999, 0.66, 1313.9), (9, 'F', 18.998, 0.57, 1681.0), (10, 'Ne', 20.18, 0.58, 2080.7), (11, 'Na', 22.99, 1.66, 495.8), (12, 'Mg', 24.305, 1.41, 737.7), (13, 'Al', 26.982, 1.21, 577.5), (14, 'Si', 28.085, 1.11, 786.5),
+    (15, 'P', 30.974, 1.07, 1011.8), (16, 'S', 32.06, 1.05, 999.6), (17, 'Cl', 35.45, 1.02, 1251.2), (18, 'Ar', 39.948, 1.06, 1520.6), (19, 'K', 39.098, 2.03, 418.8), (20, 'Ca', 40.078, 1.76, 589.8), (26, 'Fe', 55.845, 1.32, 762.5), (29, 'Cu', 63.546, 1.32, 745.5),
+    (30, 'Zn', 65.38, 1.22, 906.4), (34, 'Se', 78.971, 1.20, 941.0), (35, 'Br', 79.904, 1.20, 1139.9), (47, 'Ag', 107.868, 1.45, 731.0), (53, 'I', 126.904, 1.39, 1008.4), (79, 'Au', 196.967, 1.36, 890.1), (80, 'Hg', 200.592, 1.32, 1007.1), (82, 'Pb', 207.2, 1.46, 715.6)) t(z, symbol, mass, covalent_radius, ionization_energy)""")
 def prop_table(v):
+    """The elements that structures are made of, against published values."""
     from ..functions.constants import elements
 
-    return elements(v.spark)
+    return elements(v.spark).where("z <= 20 or z in (26, 29, 30, 34, 35, 47, 53, 79, 80, 82)")
+
+
+_GIVEN = "given AS (SELECT traj_id, atom_id, atom_id % 3 = 0 AS aromatic, resid % 4 = 1 AS ring, z_number IN (7, 8) AS donor, z_number IN (8, 9) AS acceptor, CASE WHEN z_number = 6 THEN atom_id % 3 + 1 ELSE 0 END AS hybridization FROM v_atoms)"
+
+
+def _given(v):
+    """atoms with the perceived properties as columns."""
+    z, i = F.col("z_number"), F.col("atom_id")
+    return v.atoms.withColumns({"aromatic": i % 3 == 0, "ring": F.col("resid") % 4 == 1, "donor": z.isin(7, 8), "acceptor": z.isin(8, 9), "hybridization": F.when(z == 6, i % 3 + 1).otherwise(0)})
+
+
+for _name, _weight, _options, _value in (
+    ("prop_aromaticity", "aromatic", {}, "CAST(aromatic AS DOUBLE)"),
+    ("prop_not_aromatic", "aromatic", {"reverse": True}, "1 - CAST(aromatic AS DOUBLE)"),
+    ("prop_ring", "ring", {}, "CAST(ring AS DOUBLE)"),
+    ("prop_donor", "donor", {}, "CAST(donor AS DOUBLE)"),
+    ("prop_acceptor", "acceptor", {}, "CAST(acceptor AS DOUBLE)"),
+    ("prop_hybridization", "hybridization", {}, "hybridization"),
+):
+    add(_name, "traj_id:i atom_id:i w:d", lambda v, w=_weight, o=_options: _given(v).withColumn("w", WEIGHTS[w](**o)), f"{_GIVEN}\n--\nSELECT traj_id, atom_id, {_value} AS w FROM given")
+
+
+# files
+
+
+def _trajectory_file(kind: str):
+    def make(v):
+        """Coordinates written as files and read from there, every other frame."""
+        from ..shared import new_path
+        from ..sources import trajectories
+
+        path = new_path(v.spark)
+        trajectories.write(v.coords, path, kind)
+        return trajectories.read(v.spark, path, 2)
+
+    return make
+
+
+for _kind in ("dcd", "netcdf"):
+    add(f"scan_{_kind}", "traj_id:i frame:i atom_id:i x:d y:d z:d", _trajectory_file(_kind), "SELECT traj_id, frame // 2 AS frame, atom_id, x, y, z FROM v_coords WHERE frame % 2 = 0")
+
+
+@query("key:s value:d n:i", "SELECT lower('P' || p_partkey) AS key, p_retailprice AS value, 1 AS n FROM part WHERE p_partkey % 7 <> 0")
+def scan_labels(v):
+    """Labels through a CSV file; a seventh of the numbers is missing."""
+    from ..shared import new_path
+    from ..sources.tables import read_labels
+
+    path = new_path(v.spark)
+    p = v.table("part").select(F.concat(F.lit(" P"), F.col("p_partkey").cast("string")).alias("pdbcode"), "p_name", F.when(F.col("p_partkey") % 7 == 0, "n/a").otherwise(F.col("p_retailprice").cast("string")).alias("pK"))
+    p.write.option("header", True).csv(path)
+    return read_labels(v.spark, path).groupBy("key", "value").agg(F.count("*").alias("n"))
+
+
+@query("key:s n:i", "SELECT lower(p_brand) AS key, count(*) AS n FROM part GROUP BY ALL")
+def scan_list(v):
+    from ..shared import new_path
+    from ..sources.tables import read_list
+
+    path = new_path(v.spark)
+    v.table("part").select(F.concat("p_brand", F.lit(" "))).write.text(path)
+    return read_list(v.spark, path).groupBy("key").agg(F.count("*").alias("n"))
 
 
 # labels
@@ -405,7 +476,7 @@ def contact_counts(v):
 
 
 @query("traj_id:i n_atoms:i contacts:i clashes:i factor:d", f"""
-p AS (SELECT v.*, r.w AS r FROM v_points v JOIN (VALUES {_values("vdw_radius")}) r(z0, w) ON z_number = z0 WHERE frame = 0),
+p AS (SELECT v.*, r.w AS r FROM v_points v JOIN (VALUES {_KNOWN["vdw_radius"]}) r(z0, w) ON z_number = z0 WHERE frame = 0),
 d AS (SELECT a.traj_id, sqrt({_D2}) AS d, a.r + b.r AS s FROM p a JOIN p b ON a.traj_id = b.traj_id AND a.atom_id <> b.atom_id WHERE abs(a.atom_id - b.atom_id) > 1),
 c AS (SELECT traj_id, count(*) FILTER (d < s + 0.4) AS contacts, count(*) FILTER (d < s - 1.25) AS clashes FROM d GROUP BY ALL)
 --
@@ -427,7 +498,7 @@ def centroid(v):
     return v.coords.groupBy("traj_id", "frame").agg(*(F.avg(a).alias(f"c{a}") for a in "xyz"))
 
 
-@query("traj_id:i frame:i cx:d cy:d cz:d", f"SELECT traj_id, frame, sum(x * w) / sum(w) AS cx, sum(y * w) / sum(w) AS cy, sum(z * w) / sum(w) AS cz FROM v_points JOIN (VALUES {_values('mass')}) p(n, w) ON z_number = n GROUP BY ALL")
+@query("traj_id:i frame:i cx:d cy:d cz:d", f"SELECT traj_id, frame, sum(x * w) / sum(w) AS cx, sum(y * w) / sum(w) AS cy, sum(z * w) / sum(w) AS cz FROM v_points JOIN (VALUES {_KNOWN['mass']}) p(n, w) ON z_number = n GROUP BY ALL")
 def center_of_mass(v):
     m = WEIGHTS["mass"]()
     return v.points.groupBy("traj_id", "frame").agg(*((F.sum(F.col(a) * m) / F.sum(m)).alias(f"c{a}") for a in "xyz"))

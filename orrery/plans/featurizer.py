@@ -69,6 +69,8 @@ class Featurizer:
     frame_width: int = 1
     specs: list[FeatureSpec] = field(default_factory=list)
     weights: dict[str, Callable[..., Column]] = field(default_factory=lambda: dict(WEIGHTS))
+    #: Kernels of one's own by name: (points with x, y, z and w, the feature, its keys with the frame among them) to keys, gx, gy, gz and v.
+    kernels: dict[str, Callable[[DataFrame, FeatureSpec, list[str]], DataFrame]] = field(default_factory=dict)
 
     def register(self, *specs: FeatureSpec) -> Featurizer:
         for s in specs:
@@ -87,13 +89,15 @@ class Featurizer:
         if not self.specs:
             raise ValueError("no feature is registered")
         sliced = slices(coords, self.frame_width)
-        at = foci(sliced) if callable(foci) else foci
+        return self._run(sliced, foci(sliced) if callable(foci) else foci, ["traj_id", "slice_id"], coords, atoms)
+
+    def _run(self, sliced: DataFrame, at: DataFrame, on: list[str], coords: DataFrame, atoms: DataFrame) -> DataFrame:
         shared: dict[tuple, list[FeatureSpec]] = {}
         for s in self.specs:
             shared.setdefault((s.grid, s.padding, s.by_residue, s.selection), []).append(s)
         out = None
         for (grid, padding, by_residue, selection), specs in shared.items():
-            moved = g.translate(sliced.join(at, ["traj_id", "slice_id"]), grid).drop("fx", "fy", "fz")
+            moved = g.translate(sliced.join(at, on), grid).drop("fx", "fy", "fz")
             atoms_ = atoms
             if selection is not None:
                 atoms_ = self._selected(atoms, coords, selection)
@@ -102,10 +106,10 @@ class Featurizer:
             cropped = g.crop(moved, grid, padding, by_residue, (*SLICE_KEYS, "frame"))
             keep = [*SLICE_KEYS, "slice_frame", "atom_id", *g.AXES]
             own = atoms_.select("traj_id", "atom_id", *(self.weights[s.weight](**dict(s.options)).alias(f"w_{s.outkey}") for s in specs))
-            points = cropped.select(*keep).join(own, ["traj_id", "atom_id"])
+            points = g.spread_out(cropped.select(*keep).join(own, ["traj_id", "atom_id"]), [*SLICE_KEYS, "slice_frame"])
             together: dict[float, list[FeatureSpec]] = {}
             for s in specs:
-                if s.kernel in TOGETHER:
+                if s.kernel in TOGETHER and s.kernel not in self.kernels:
                     together.setdefault(s.cutoff, []).append(s)
                     continue
                 rows = self._feature(points.withColumn("w", F.col(f"w_{s.outkey}")), s).select(F.lit(s.outkey).alias("outkey"), *SLICE_KEYS, *g.CELL, "v")
@@ -142,7 +146,9 @@ class Featurizer:
         if s.kernel == "static":
             return g.voxelize(points.where(F.col("slice_frame") == s.frame_offset), s.grid, s.cutoff, s.sigma, keys)
         by_frame = [*keys, "slice_frame"]
-        if s.kernel == "density":
+        if s.kernel in self.kernels:
+            rows, empty = self.kernels[s.kernel](points, s, by_frame), 0.0
+        elif s.kernel == "density":
             rows, empty = g.voxelize(points, s.grid, s.cutoff, s.sigma, by_frame), 0.0
         else:
             rows, empty = observe(points, s.grid, s.kernel, s.cutoff, by_frame), empty_value(s.kernel, s.cutoff)
@@ -156,14 +162,7 @@ class Featurizer:
         own = atoms.join(chosen, ["traj_id", "resid"], "left_semi")
         sliced = slices(coords.join(own.select("traj_id", "atom_id", "resid"), ["traj_id", "atom_id"]), self.frame_width)
         foci = sliced.where("slice_frame = 0").groupBy("traj_id", "slice_id", F.col("resid").alias("focus_id")).agg(*(F.avg(a).alias(f"f{a}") for a in "xyz"))
-        out = None
-        for s in self.specs:
-            moved = g.translate(sliced.join(foci, ["traj_id", "slice_id"]).where("resid = focus_id"), s.grid)
-            points = g.crop(moved, s.grid, s.padding).select(*SLICE_KEYS, "slice_frame", "atom_id", *g.AXES)
-            points = points.join(own.select("traj_id", "atom_id", self.weights[s.weight](**dict(s.options)).alias("w")), ["traj_id", "atom_id"])
-            rows = self._feature(points, s).select(F.lit(s.outkey).alias("outkey"), *SLICE_KEYS, *g.CELL, "v")
-            out = rows if out is None else out.unionByName(rows)
-        return out
+        return self._run(sliced, foci.withColumn("resid", F.col("focus_id")), ["traj_id", "slice_id", "resid"], coords, own)
 
 
 def dense(features: DataFrame, dims: tuple[int, int, int], keys: list[str]) -> DataFrame:

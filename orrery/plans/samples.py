@@ -43,10 +43,26 @@ voxel_query("voxel_slice", lambda x: d.voxel_slice(x, "gz", 4, ["sample_id"]), "
 voxel_query("voxel_percentile", lambda x: d.voxel_percentile(x, ["sample_id"], 80), "SELECT vox.sample_id, gx, gy, gz, v, bar FROM vox JOIN (SELECT sample_id, quantile_cont(v, 0.8) AS bar FROM vox WHERE v > 1e-6 GROUP BY ALL) b ON b.sample_id = vox.sample_id WHERE v > 1e-6 AND v >= bar - 1e-12", SAMPLE + " bar:d")
 voxel_query("store_update", lambda x: d.upsert(x, x.where("gx = 3").withColumn("v", F.lit(9.0)).unionByName(x.where("gx = 5").withColumn("sample_id", F.col("sample_id") + 1000)), ["sample_id", *CELL]), "SELECT sample_id, gx, gy, gz, CASE WHEN gx = 3 THEN 9 ELSE v END AS v FROM vox UNION ALL SELECT sample_id + 1000, gx, gy, gz, v FROM vox WHERE gx = 5")
 
-# Hilbert's curve in SQL: the next cell by the usual states would be long; the map is given, its steps and cells are checked in tests
-_MAP = ", ".join(str((*a, *b)) for a, b in zip(d._hilbert(3, 3), (p for p in d._hilbert(4, 2) for _ in range(2))))
-voxel_query("hilbert_pool", lambda x: d.hilbert_pool(x, ["sample_id"], 3, 4), f"SELECT sample_id, px, py, CASE WHEN count(*) < 2 THEN greatest(max(v), 0) ELSE max(v) END AS v FROM vox JOIN (VALUES {_MAP}) m(mx, my, mz, px, py) ON gx = mx AND gy = my AND gz = mz GROUP BY ALL", "sample_id:i px:i py:i v:d")
-voxel_query("hilbert_pool_mean", lambda x: d.hilbert_pool(x, ["sample_id"], 3, 4, "mean"), f"SELECT sample_id, px, py, sum(v) / 2 AS v FROM vox JOIN (VALUES {_MAP}) m(mx, my, mz, px, py) ON gx = mx AND gy = my AND gz = mz GROUP BY ALL", "sample_id:i px:i py:i v:d")
+
+
+def _curve(name: str, order: int, dims: int) -> str:
+    """Common table expressions for Hilbert's curve, h and x0, x1, ...: the place's bits dealt out, their Gray code, and the turns undone."""
+    x, bit = [f"x{i}" for i in range(dims)], lambda i, b: f"(((h >> {b * dims + dims - 1 - i}) & 1) << {b})"
+    steps = [f"SELECT h, {', '.join('CAST(' + ' + '.join(bit(i, b) for b in range(order)) + f' AS BIGINT) AS {c}' for i, c in enumerate(x))} FROM (SELECT unnest(range({1 << order * dims})) AS h)"]
+    gray = [f"xor(x0, {x[-1]} >> 1) AS x0", *(f"xor({x[i]}, {x[i - 1]}) AS {x[i]}" for i in range(1, dims))]
+    steps.append(f"SELECT h, {', '.join(gray)} FROM {name}_0")
+    for k in range(1, order):
+        q, p = 1 << k, (1 << k) - 1
+        for i in reversed(range(dims)):
+            swap = f"(xor(x0, x{i}) & {p})"
+            new = {"x0": f"CASE WHEN x{i} & {q} <> 0 THEN xor(x0, {p}) ELSE xor(x0, {swap}) END"} | ({f"x{i}": f"CASE WHEN x{i} & {q} <> 0 THEN x{i} ELSE xor(x{i}, {swap}) END"} if i else {})
+            steps.append(f"SELECT h, {', '.join(f'{new.get(c, c)} AS {c}' for c in x)} FROM {name}_{len(steps) - 1}")
+    return ", ".join(f"{name}_{i} AS ({s})" for i, s in enumerate(steps)) + f", {name} AS (SELECT * FROM {name}_{len(steps) - 1})"
+
+
+_MAP = f"{_curve('cube', 3, 3)}, {_curve('square', 4, 2)}, m AS (SELECT c.x0 AS mx, c.x1 AS my, c.x2 AS mz, s.x0 AS px, s.x1 AS py FROM cube c JOIN square s ON s.h = c.h // 2)"
+for _name, _mode, _v in (("hilbert_pool", "max", "CASE WHEN count(*) < 2 THEN greatest(max(v), 0) ELSE max(v) END"), ("hilbert_pool_mean", "mean", "sum(v) / 2")):
+    add(_name, "sample_id:i px:i py:i v:d", lambda v, mode=_mode: d.hilbert_pool(_voxels(v), ["sample_id"], 3, 4, mode), f"{_VOXELS}, {_MAP}\n--\nSELECT sample_id, px, py, {_v} AS v FROM vox JOIN m ON gx = mx AND gy = my AND gz = mz GROUP BY ALL")
 add("augment_noise", SAMPLE, lambda v: d.noise(_voxels(v), ["sample_id"], 7), None)
 
 
@@ -86,6 +102,26 @@ def featurize(v):
     return f.run(v.coords, v.atoms, lambda sliced: focus_of_selection(sliced, select_atoms(v.atoms, ":ARG")))
 
 
+@query(_FEATURES, """
+foci AS (SELECT traj_id, frame // 7 AS slice_id, resid, avg(x) AS fx, avg(y) AS fy, avg(z) AS fz FROM v_points WHERE frame % 7 = 0 AND resid <= 2 GROUP BY ALL),
+moved AS (SELECT c.traj_id, c.frame // 7 AS slice_id, c.frame % 7 AS f, c.resid, z_number AS w, x - fx + 2 - 0.5 AS x, y - fy + 2 - 0.5 AS y, z - fz + 2 - 0.5 AS z FROM v_points c JOIN foci ON foci.traj_id = c.traj_id AND foci.slice_id = c.frame // 7 AND foci.resid = c.resid),
+crop AS (SELECT * FROM moved WHERE x > -2 AND x < 5 AND y > -2 AND y < 5 AND z > -2 AND z < 5),
+cells AS (SELECT * FROM v_grid WHERE gx < 4 AND gy < 4 AND gz < 4),
+seen AS (SELECT traj_id, slice_id, resid, f, gx, gy, gz, count(*) AS n, sum(w) AS s FROM crop, cells WHERE (x - gx) ** 2 + (y - gy) ** 2 + (z - gz) ** 2 <= 2.25 GROUP BY ALL),
+all_ AS (SELECT 'count' AS outkey, traj_id, slice_id, resid, gx, gy, gz, sum(n) / 7.0 AS v FROM seen GROUP BY ALL UNION ALL SELECT 'own', traj_id, slice_id, resid, gx, gy, gz, max(s) FROM seen GROUP BY ALL)
+--
+SELECT outkey, traj_id, slice_id, resid AS focus_id, gx, gy, gz, v FROM all_""")
+def featurize_residues(v):
+    """A focus at each of the first residues of their names, on their own atoms; one of two features has a kernel of its own."""
+    from ..operators.observables import observe
+    from .featurizer import Featurizer
+
+    f = Featurizer(FeatureSpec("defaults", cutoff=1.5, grid=GridSpec(4, 1.0)), frame_width=7)
+    f.kernels["mine"] = lambda points, s, keys: observe(points, s.grid, "cumulative_weight", s.cutoff, keys)
+    f.register(FeatureSpec("count", kernel="direct_count"), FeatureSpec("own", "atomic_number", "mine", "max"))
+    return f.run_by_residue(v.coords, v.atoms.where("resid <= 2"), 1)
+
+
 @query("outkey:s n:i total:d", None)
 def feature_store(v):
     """Features through the store: appended, updated, read back normalised."""
@@ -343,3 +379,30 @@ def random_forest(v):
     rows = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(part)
     return RandomForestRegressor(numTrees=20, maxDepth=8, seed=1, featureSubsetStrategy="all").fit(rows).transform(rows).select("p_partkey", "prediction")
 
+
+
+@query("traj_id:i prediction:d", None)
+def rf_score(v):
+    """Affinities from contact counts, frames as samples, by the forest of its full size."""
+    from ..functions.masks import select_atoms
+    from ..operators import residues, rfscore
+
+    sample = (F.col("traj_id") * FRAMES + F.col("frame")).alias("traj_id")
+    points, chosen = v.points, select_atoms(v.atoms, ":ARG,ASP").select("traj_id", "atom_id")
+    own = points.join(chosen, ["traj_id", "atom_id"]).select(sample, "atom_id")
+    ours, theirs = [6, 7, 8, 9, 15, 16, 17, 35, 53], [6, 7, 8, 16]
+    counts = residues.contact_counts(points.select(sample, "atom_id", "z_number", *"xyz"), own, 2.0, ours, theirs)
+    features = [f"n_{p}_{q}" for p in theirs for q in ours]
+    rows = counts.withColumn("label", (F.col("traj_id") / FRAMES).cast("int") % 7 + F.col("n_6_6") / 10)
+    return rfscore.predict(rfscore.fit(rows, features, "label"), rows, features).select("traj_id", "prediction")
+
+
+for _name, _kind, _expression in (("sim_all_cosine", "cosine", "CASE WHEN sqrt(sum(a * a)) * sqrt(sum(b * b)) = 0 THEN 0 ELSE sum(a * b) / (sqrt(sum(a * a)) * sqrt(sum(b * b))) END"), ("sim_all_euclidean", "euclidean", "sqrt(sum((a - b) ** 2))"), ("sim_all_manhattan", "manhattan", "sum(abs(a - b))")):
+
+    def _all(v, kind=_kind):
+        from ..operators.similarity import all_pairs
+
+        e = v.table("embeddings").select("vec_id", "embedding")
+        return all_pairs(e.where("label % 2 = 0"), e.where("label % 2 = 1"), kind, block=100)
+
+    add(_name, "a_id:i b_id:i v:d", _all, f"e AS (SELECT vec_id, label, unnest(range(64)) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings), p AS (SELECT s.vec_id AS a_id, t.vec_id AS b_id, s.x AS a, t.x AS b FROM e s JOIN e t ON s.i = t.i WHERE s.label % 2 = 0 AND t.label % 2 = 1)\n--\nSELECT a_id, b_id, {_expression} AS v FROM p GROUP BY ALL")

@@ -9,28 +9,46 @@ SOLVENT = ("WAT", "Cl-", "Na+")
 F_TRIM = "trim(substring(s, {}, 8))"
 
 
-def parse(texts: DataFrame, id_col: str = "traj_id", text_col: str = "text") -> DataFrame:
-    """(traj_id, frame, atom_id, atom_name, resname, resid, element, x, y, z) of texts with one structure each; models are frames, ids count from 0."""
-    lines = texts.select(F.col(id_col).alias("traj_id"), F.posexplode(F.split(text_col, "\r?\n")).alias("line", "s"))
-    by = Window.partitionBy("traj_id").orderBy("line")
-    models = lines.withColumn("frame", F.greatest(F.count(F.when(F.col("s").startswith("MODEL"), 1)).over(by) - 1, F.lit(0)))
-    atoms = models.where(F.col("s").startswith("ATOM") | F.col("s").startswith("HETATM"))
+def _atoms(models: DataFrame) -> DataFrame:
+    """The atoms of (traj_id, frame, text): a model is taken apart by itself, so that no window spans a file."""
+    lines = models.select("traj_id", "frame", F.posexplode(F.filter(F.split("text", "\r?\n"), lambda s: s.startswith("ATOM") | s.startswith("HETATM"))).alias("line", "s"))
     cut = lambda a, n: F.trim(F.substring("s", a, n))
-    own = atoms.select(
+    own = lines.select(
         "traj_id", "frame", "line", cut(13, 4).alias("atom_name"), cut(18, 4).alias("resname"), cut(22, 1).alias("chain"), cut(23, 4).alias("resseq"), cut(27, 1).alias("code"), cut(77, 2).alias("element"),
         *(F.expr(f"try_cast({F_TRIM.format(31 + 8 * i)} as double)").alias(a) for i, a in enumerate("xyz")),
     )
     in_frame = Window.partitionBy("traj_id", "frame").orderBy("line")
     before = F.lag(F.struct("resname", "chain", "resseq", "code")).over(in_frame)
     new = F.when(before.isNull() | ~(before.eqNullSafe(F.struct("resname", "chain", "resseq", "code"))), 1).otherwise(0)
-    numbered = own.withColumn("atom_id", F.row_number().over(in_frame) - 1).withColumn("new", new).withColumn("resid", F.sum("new").over(in_frame) - 1)
-    return numbered.select("traj_id", F.col("frame").cast("int").alias("frame"), "atom_id", "atom_name", "resname", F.col("resid").cast("int").alias("resid"), "element", "x", "y", "z")
+    numbered = own.withColumn("new", new).withColumn("resid", F.sum("new").over(in_frame) - 1)
+    return numbered.select("traj_id", F.col("frame").cast("int").alias("frame"), F.col("line").cast("int").alias("atom_id"), "atom_name", "resname", F.col("resid").cast("int").alias("resid"), "element", "x", "y", "z")
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """All structure files under path; traj_id is the file's name without its ending."""
-    texts = spark.read.text(path, wholetext=True).withColumn("traj_id", F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[^./]+)?$", 1))
-    return parse(texts.withColumnRenamed("value", "text"))
+def parse(texts: DataFrame, id_col: str = "traj_id", text_col: str = "text") -> DataFrame:
+    """(traj_id, frame, atom_id, atom_name, resname, resid, element, x, y, z) of texts with one structure each; models are frames, ids count from 0."""
+    parts = F.split(F.concat(F.lit("\n"), F.col(text_col)), "\n(?=MODEL)")
+    # what stands before the first model belongs to it
+    parts = F.when(F.size(parts) > 1, F.concat(F.array(F.concat_ws("\n", parts[0], parts[1])), F.slice(parts, 3, F.greatest(F.size(parts) - 2, F.lit(0))))).otherwise(parts)
+    return _atoms(texts.select(F.col(id_col).alias("traj_id"), F.posexplode(parts).alias("frame", "text")))
+
+
+def read(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
+    """All structure files under path; traj_id is the file's name without its ending.
+
+    A row is read up to ENDMDL, so that a file of many models is read in splits and no model waits for another. Models are frames in order of
+    their serial numbers; a file that has one number twice, or several models without one, is refused. whole reads each file as one row, in which
+    models are frames as they come."""
+    traj = F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[^./]+)?$", 1)
+    if whole:
+        texts = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
+        return parse(texts.select(traj.alias("traj_id"), F.col("value").alias("text")))
+    rows = spark.read.option("lineSep", "ENDMDL").option("recursiveFileLookup", True).text(path)
+    serial = F.coalesce(F.expr(r"try_cast(regexp_extract(value, '(?:^|\n)MODEL +([0-9]+)', 1) as long)"), F.lit(0))
+    models = rows.where(F.col("value").rlike("(?:^|\n)(?:ATOM|HETATM)")).select(traj.alias("traj_id"), serial.alias("serial"), F.col("value").alias("text"))
+    numbers = models.groupBy("traj_id", "serial").agg(F.count("*").alias("n"))
+    twice = F.raise_error(F.concat(F.lit("two models of one number in "), F.col("traj_id"), F.lit("; read it whole"))).cast("int")
+    frames = numbers.select("traj_id", "serial", F.when(F.col("n") > 1, twice).otherwise(F.row_number().over(Window.partitionBy("traj_id").orderBy("serial")) - 1).alias("frame"))
+    return _atoms(models.join(frames, ["traj_id", "serial"]).select("traj_id", "frame", "text"))
 
 
 def strip_solvent(atoms: DataFrame, names: tuple[str, ...] = SOLVENT) -> DataFrame:

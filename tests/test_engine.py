@@ -230,6 +230,137 @@ def test_metrics(spark):
     assert metrics.spearman(df, "p", "t", ["k"]).first().spearman == pytest.approx(np.corrcoef(rank(p), rank(t))[0, 1])
 
 
+def test_kendall_ties_and_nulls(spark):
+    rng = np.random.default_rng(7)
+    rows = [(g, float(a), float(b)) for g, n, m in (("a", 200, 5), ("b", 150, 1000), ("c", 1, 3), ("d", 9, 1)) for a, b in zip(rng.integers(0, m, n), rng.integers(0, m, n))] + [("a", None, 1.0)]
+    got = {r.k: r.kendall for r in metrics.kendall(spark.createDataFrame(rows, "k string, p double, t double"), "p", "t", ["k"]).collect()}
+    for k in "ab":
+        p, t = np.array([r[1:] for r in rows if r[0] == k and r[1] is not None]).T
+        i, j = np.triu_indices(len(p), 1)
+        s, u = np.sign(p[i] - p[j]), np.sign(t[i] - t[j])
+        assert got[k] == pytest.approx((s * u).sum() / np.sqrt((s**2).sum() * (u**2).sum()))
+    assert got["c"] is None and got["d"] is None
+
+
+@pytest.mark.parametrize("n, m, scale, shift", [(50, 80, (1, 1, 1), 0), (500, 3, (1, 1, 1), 0), (7, 1, (1, 1, 1), 1000), (300, 900, (1, 10, 100), 0), (90, 400, (1, 1, 0), 5), (40, 30, (1e-5, 1e-5, 1), 100), (20, 9, (0, 0, 0), 3)])
+@pytest.mark.parametrize("whole", [True, False])
+def test_nearest(n, m, scale, shift, whole):
+    from orrery.operators.labels import nearest
+
+    rng = np.random.default_rng(n)
+    draw = (lambda k: rng.integers(0, 4, (k, 3)) * np.array(scale, float)) if whole else (lambda k: rng.normal(size=(k, 3)) * scale)
+    p, q, ids = draw(n) + shift, draw(m), rng.permutation(2 * m)[:m]
+    d = (p[:, None] - q[None]) ** 2
+    d = d[..., 0] + d[..., 1] + d[..., 2]
+    assert nearest(p, q, ids).tolist() == [min(zip(d[i], ids))[1] for i in range(n)]
+
+
+def test_trajectory_files(spark, tmp_path):
+    """Round trips in both formats; headers of other makers; frames in several partitions; refusals."""
+    import struct
+
+    from orrery.sources import trajectories as tr
+
+    rng = np.random.default_rng(8)
+    xyz = {t: rng.normal(size=(f, a, 3)).astype(np.float32) for t, f, a in (("one", 7, 5), ("two", 1, 1), ("three", 30, 11))}
+    df = spark.createDataFrame([(t, f, a, *map(float, x[f, a])) for t, x in xyz.items() for f in range(len(x)) for a in range(x.shape[1])], "traj_id string, frame int, atom_id int, x double, y double, z double")
+    for kind in ("dcd", "netcdf"):
+        at = str(tmp_path / kind)
+        assert sorted(r.frames for r in tr.write(df.repartition(5), at, kind).collect()) == [1, 7, 30]
+        for stride in (1, 3):
+            got = tr.read(spark, at, stride).collect()
+            assert len(got) == sum(-(-len(x) // stride) * x.shape[1] for x in xyz.values())
+            assert all(tuple(np.float32([r.x, r.y, r.z])) == tuple(xyz[r.traj_id][r.frame * stride, r.atom_id]) for r in got)
+        (tmp_path / kind / "other.txt").write_text("neither of these formats")
+        with pytest.raises(Exception, match="neither DCD nor"):
+            tr.read(spark, at).count()
+    with pytest.raises(Exception, match="not every frame"):
+        tr.write(df.where("frame + atom_id <> 3"), str(tmp_path / "holes"))
+    # big-endian DCD with a unit cell
+    record = lambda b: struct.pack(">i", len(b)) + b + struct.pack(">i", len(b))
+    control = [4, 0, 1] + [0] * 7 + [1] + [0] * 9
+    frames = b"".join(record(bytes(48)) + b"".join(record(f[:, a].astype(">f4").tobytes()) for a in range(3)) for f in xyz["one"][:4])
+    data = record(b"CORD" + struct.pack(">20i", *control)) + record(struct.pack(">i", 2) + bytes(160)) + record(struct.pack(">i", 5)) + frames
+    (tmp_path / "big").mkdir()
+    (tmp_path / "big" / "b.dcd").write_bytes(data)
+    # NetCDF with another record variable, attributes, and doubles in the 64-bit format
+    name = lambda s: struct.pack(">q", len(s)) + s + bytes(-len(s) % 4)
+    q, i = lambda *v: struct.pack(f">{len(v)}q", *v), lambda *v: struct.pack(f">{len(v)}i", *v)
+    def head(begin):
+        dims = i(10) + q(3) + name(b"frame") + q(0) + name(b"atom") + q(5) + name(b"spatial") + q(3)
+        time = name(b"time") + q(1) + q(0) + i(12) + q(1) + name(b"units") + i(2) + name(b"ps") + i(5) + q(4) + q(begin)
+        return b"CDF\5" + q(4) + dims + i(0) + q(0) + i(11) + q(2) + time + name(b"coordinates") + q(3) + q(0, 1, 2) + i(0) + q(0) + i(6) + q(120) + q(begin + 4)
+    n = len(head(0))
+    (tmp_path / "big" / "n.nc").write_bytes(head(n) + b"".join(struct.pack(">f", k) + f.astype(">f8").tobytes() for k, f in enumerate(xyz["one"][:4])))
+    got = tr.read(spark, str(tmp_path / "big")).collect()
+    assert len(got) == 40 and all(tuple(np.float32([r.x, r.y, r.z])) == tuple(xyz["one"][r.frame, r.atom_id]) for r in got)
+
+
+def test_frames_in_partitions(monkeypatch):
+    from orrery.sources import trajectories as tr
+
+    monkeypatch.setattr(tr, "PARTITION", 100)
+    assert tr.Layout(10, 5, 0, 60, "<f4", False).size == 60
+
+
+def test_structures_of_many_models(spark, tmp_path):
+    line = "ATOM  {:5d}  CA  ALA A{:4d}    {:8.3f}{:8.3f}{:8.3f}  1.00  0.00           C"
+    model = lambda k, n: "\n".join([f"MODEL     {k:4d}", *(line.format(i + 1, i // 2 + 1, k, i, 0.5) for i in range(n)), "ENDMDL"])
+    (tmp_path / "m.pdb").write_text("TITLE x\n" + "\n".join(model(k, 4) for k in range(1, 200)) + "\nEND\n")
+    (tmp_path / "s.pdb").write_text(line.format(1, 1, 9, 9, 9) + "\nEND\n")
+    (tmp_path / "none.pdb").write_text("END\n")
+    want = sorted([("m", f, i, i // 2, f + 1.0, float(i)) for f in range(199) for i in range(4)] + [("s", 0, 0, 0, 9.0, 9.0)])
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in (old, "4k"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            for whole in (False, True):
+                assert sorted((r.traj_id, r.frame, r.atom_id, r.resid, r.x, r.y) for r in pdb.read(spark, str(tmp_path), whole).collect()) == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    (tmp_path / "t.pdb").write_text(model(1, 1) + "\n" + model(1, 1))
+    with pytest.raises(Exception, match="two models of one number in t"):
+        pdb.read(spark, str(tmp_path)).collect()
+    assert pdb.read(spark, str(tmp_path / "t.pdb"), True).select("frame").distinct().count() == 2
+
+
+def test_label_files(spark, tmp_path):
+    from orrery.sources.tables import read_labels, read_list
+
+    (tmp_path / "l.csv").write_text("name,pdbcode,pK\nx, 1ABC ,5.5\ny,2xyz,\nz,,4\nw,1abc,7\nv,3q,zero\n")
+    assert [(r.key, r.value) for r in read_labels(spark, str(tmp_path / "l.csv")).orderBy("position").collect()] == [("1abc", 5.5), ("1abc", 7.0)]
+    with pytest.raises(ValueError, match="no column Kd"):
+        read_labels(spark, str(tmp_path / "l.csv"), value="Kd")
+    (tmp_path / "ids.txt").write_text("1ABC\n\n 2xyz \n1abc\n")
+    assert [r.key for r in read_list(spark, str(tmp_path / "ids.txt")).orderBy("position").collect()] == ["1abc", "2xyz", "1abc"]
+
+
+def test_dispersion_of_a_crowded_cell(monkeypatch):
+    from orrery.operators import observables as o
+
+    rng = np.random.default_rng(9)
+    w, axes = rng.random(60), [rng.normal(size=60) for _ in range(3)]
+    d = np.sqrt(sum((x[:, None] - x[None]) ** 2 for x in axes))
+    ww = np.outer(w, w) * (1 - np.eye(60))
+    for most in (1 << 19, 700, 60, 1):
+        monkeypatch.setattr(o, "PAIRS", most)
+        far, total = o._pair_sums(w, axes)
+        assert far / total == pytest.approx((ww * d).sum() / ww.sum())
+
+
+def test_all_pairs(spark):
+    from orrery.operators.similarity import all_pairs
+
+    rng = np.random.default_rng(10)
+    v = rng.normal(size=(23, 4))
+    v[3] = 0
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(99, None)], "vec_id int, embedding array<double>")
+    for kind, f in (("euclidean", lambda a, b: np.linalg.norm(a - b)), ("manhattan", lambda a, b: np.abs(a - b).sum()), ("cosine", lambda a, b: a @ b / (np.linalg.norm(a) * np.linalg.norm(b) or np.inf))):
+        got = {(r.a_id, r.b_id): r.v for r in all_pairs(df, df.where("vec_id < 5"), kind, block=4).collect()}
+        assert len(got) == 23 * 5 and all(x == pytest.approx(f(v[i], v[j]), abs=1e-12) for (i, j), x in got.items())
+    assert all_pairs(df, df.limit(0), "cosine").count() == 0
+
+
 def test_scalars(spark):
     assert scalar.sample_rows(spark.range(50), 7, 1).count() == 7
     assert spark.range(1).select(scalar.stamp(F.timestamp_micros(F.lit(1_700_000_000_123_456)))).first()[0] == "231114_221320_3456"

@@ -10,7 +10,7 @@ from orrery.plans import catalog
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: A sample over all kinds; the driver compares every query at the next size.
-NAMES = ["mo_direct_count_mean", "mo_dispersion", "mo_eccentricity_median", "pdf_entropy", "voxel_static", "agg_drift", "mask_within", "crop_by_residue", "focus_json", "label_pcdt", "residue_pairs", "clash_counts", "featurize", "stratified_split", "segment_pick", "rotate_grid", "run_partition", "pdb_block"]
+NAMES = ["mo_direct_count_mean", "mo_dispersion", "mo_eccentricity_median", "pdf_entropy", "voxel_static", "agg_drift", "mask_within", "crop_by_residue", "focus_json", "label_pcdt", "residue_pairs", "clash_counts", "featurize", "stratified_split", "segment_pick", "rotate_grid", "run_partition", "pdb_block", "scan_dcd", "scan_netcdf", "scan_labels", "scan_list", "prop_mass", "prop_table", "prop_aromaticity", "prop_not_aromatic", "prop_ring", "prop_donor", "prop_acceptor", "prop_hybridization", "hilbert_pool", "hilbert_pool_mean", "featurize_residues", "sim_all_cosine", "sim_all_euclidean", "sim_all_manhattan", "metric_kendall", "pcdt_pairs", "batch_split", "pdb_lines", "mo_direct_count_entropy"]
 
 
 @pytest.fixture(scope="module")
@@ -33,4 +33,4 @@ def test_same_rows(spark, db, name):
 
 
 def test_every_query_has_sql_or_a_reason():
-    assert {n for n in catalog.QUERIES if n not in catalog.SQL} == {"superpose", "augment_noise", "feature_store", "random_forest"}
+    assert {n for n in catalog.QUERIES if n not in catalog.SQL} == {"superpose", "augment_noise", "feature_store", "random_forest", "rf_score"}
