@@ -27,7 +27,7 @@ from .common import Scratch
 
 LEAST = 12
 _QUOTE = re.compile(r"^[ \t]*((?:>[ \t]?)+)")
-_ANNOUNCE = re.compile(r"^\s*(?:on\b.{0,200}\bwrote|.{0,200}\b(?:schrieb|a écrit|escribió)|-{2,}\s*original message\s*-{2,}|from:.{0,200})\s*:?\s*$", re.I)
+_ANNOUNCE = re.compile(r"(?:on\b.*\bwrote|.*\b(?:schrieb|a écrit|escribió)|-{2,}\s*+original message\s*+-{2,}|from:.*)\s*+(?::\s*+)?$", re.I)
 _SPACE = re.compile(r"\s+")
 MESSAGE = "array<struct<turn:long,role:string,text:string,reply_to:long>>"
 
@@ -39,7 +39,7 @@ def levels(text: str) -> list[tuple[int, str]]:
         m = _QUOTE.match(line)
         out.append((m[1].count(">"), line[m.end() :]) if m else (0, line))
     for i in range(len(out) - 2, -1, -1):
-        if _ANNOUNCE.match(out[i][1]) and (next_ := next((x for x in out[i + 1 :] if x[1].strip() or x[0]), None)) and next_[0] > out[i][0]:
+        if _ANNOUNCE.match(out[i][1].strip()) and (next_ := next((x for x in out[i + 1 :] if x[1].strip() or x[0]), None)) and next_[0] > out[i][0]:
             out[i] = (next_[0], "")
     return out
 

@@ -1,13 +1,11 @@
 """What the text operators share: vectorised words and hashes over Arrow batches, and tables in the shared folder.
 
-A word is a longest run of bytes above 0x20. Text columns may hold nulls; they count as empty.
+A word is a longest run of bytes above 0x20. Text columns may hold nulls; they count as empty. Ids are integers, or what Spark casts to
+them without an error; a table with other ids is numbered first.
 """
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +14,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import delete, new_path
+
 U = np.uint64
 #: Bytes of text handled at a time; arrays of eight bytes a letter then stay in the processor's cache.
 CHUNK = 1 << 20
@@ -106,21 +106,6 @@ def hashed_words(text: bytes | str, fold: bool = False) -> np.ndarray:
     return word_hashes(buf, s, e)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where that is unset, as in tests."""
-    sc = spark.sparkContext
-    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not at:
-        at = tempfile.mkdtemp(prefix="orrery-")
-        sc.setCheckpointDir(at)
-    return at.rstrip("/")
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 class Scratch:
     """Tables written to the shared folder: they cut lineage and outlive executors. What drop() doesn't remove goes when the session's Python ends."""
 
@@ -128,15 +113,7 @@ class Scratch:
         self.spark, self.paths = spark, {}
 
     def path(self) -> str:
-        p = f"{shared_dir(self.spark)}/orrery/{uuid.uuid4().hex}"
-        atexit.register(self._last, p)
-        return p
-
-    def _last(self, path: str) -> None:
-        try:
-            delete(self.spark, path)
-        except Exception:  # the session has ended before
-            pass
+        return new_path(self.spark)
 
     def save(self, df: DataFrame) -> DataFrame:
         path = self.path()
