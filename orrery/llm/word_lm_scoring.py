@@ -42,8 +42,8 @@ from .common import Scratch, U, mix, texts, word_hashes, words
 
 WORD_BITS = 48
 BEGIN = U(0x6A09E667F3BC)
-#: Bytes of text counted at a time and scored at a time, and bytes of text a range of hashes.
-PIECE, SCORED, RANGE_BYTES = 16 << 20, 8 << 20, 16 << 20
+#: Bytes of text hashed at a time, counted at a time, and of a range of hashes.
+SLICE, PIECE, RANGE_BYTES = 4 << 20, 16 << 20, 16 << 20
 #: Bytes of text for each occurrence from which on a word is too frequent for one range.
 HEAVY = 24
 #: Bytes of tables that a worker keeps where the shared folder can't be mapped.
@@ -286,19 +286,32 @@ def _following(context: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, list[np.
 
 def _heavy(batches: Iterator[pa.RecordBatch], total: int, range_bytes: int) -> Iterator[pa.RecordBatch]:
     """word, n: how often words that may be heavy occur; a word that isn't among them in any piece is in none too often."""
-    for _, buf, off in texts(batches, size=PIECE):
+    for _, buf, off in texts(batches, size=SLICE):
         w, n = np.unique(tokens(buf, off)[2], return_counts=True)
         some = n * total >= range_bytes // HEAVY * len(buf)
         yield pa.RecordBatch.from_arrays([pa.array(w[some].view(np.int64)), pa.array(n[some])], names=["word", "n"])
 
 
 def _counted(batches: Iterator[pa.RecordBatch], ranges: Ranges) -> Iterator[pa.RecordBatch]:
-    for _, buf, off in texts(batches, size=PIECE):
-        a, b, c, _ = tokens(buf, off)
-        if len(c):
-            _, at, (n,) = summed(joined(joined(a, b), c), np.ones(len(c), np.int64))
-            a, b, c = a[at], b[at], c[at]
-            yield from _blocks(ranges.of(b, c), [a, b, c, n], trigram_block)
+    parts, size = [], 0
+
+    def counted() -> Iterator[pa.RecordBatch]:
+        a, b, c = (np.concatenate(x) for x in zip(*parts))
+        parts.clear()
+        _, at, (n,) = summed(joined(joined(a, b), c), np.ones(len(c), np.int64))
+        a, b, c = a[at], b[at], c[at]
+        yield from _blocks(ranges.of(b, c), [a, b, c, n], trigram_block)
+
+    for _, buf, off in texts(batches, size=SLICE):
+        *abc, _ = tokens(buf, off)
+        if len(abc[2]):
+            parts.append(abc)
+        size += len(buf)
+        if size >= PIECE and parts:
+            yield from counted()
+            size = 0
+    if parts:
+        yield from counted()
 
 
 def _trigrams(batches: Iterator[pa.RecordBatch], bits: int, path: str) -> Iterator[pa.RecordBatch]:
@@ -438,7 +451,7 @@ def word_perplexity(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     model = model or build_words(docs, text_col)
 
     def scored(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, buf, off in texts(it, size=SCORED):
+        for rows, buf, off in texts(it, size=SLICE):
             n, s = model.score(buf, off)
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(n), pa.array(s, mask=n == 0), pa.array(2 ** (-s / np.maximum(n, 1)), mask=n == 0)], names=["doc_id", "n_words", "log2_probability", "perplexity"])
 
