@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 AGGREGATES = ("mean", "std", "median", "var", "max", "min", "entropy", "drift")
+PLAIN = frozenset(AGGREGATES) - {"median", "entropy"}
 BINS = 16
 
 
@@ -34,6 +35,25 @@ def _entropy(rows: DataFrame, keys: list[str], empty: float) -> DataFrame:
     return with_empty.groupBy(*keys).agg((F.sum("__bits") + alone).alias("v"))
 
 
+def plain(kind: str, v: Column, f: Column, n: Column, empty: float) -> Column:
+    """The aggregate of a group's values v of frames f, of n frames in all: sums and extremes alone, so that several share one grouping."""
+    have, e = F.count("*"), F.lit(float(empty))
+    missing = n - have
+    if kind == "mean":
+        return (F.sum(v) + missing * e) / n
+    if kind in ("var", "std"):
+        # two sets of values, one of them constant: their squares about the common mean, without cancellation
+        gap = F.avg(v) - e
+        out = (F.var_pop(v) * have + gap * gap * have * missing / n) / n
+        return F.sqrt(out) if kind == "std" else out
+    if kind in ("max", "min"):
+        best, pick = (F.max, F.greatest) if kind == "max" else (F.min, F.least)
+        return F.when(missing > 0, pick(best(v), e)).otherwise(best(v))
+    # slope of least squares on frames 0 to n - 1; missing frames add nothing once values are taken from `empty`
+    fv, s = F.sum(f * (v - e)), F.sum(v - e)
+    return F.when(n <= 1, 0.0).otherwise((n * fv - n * (n - 1) / 2 * s) / (n * (n - 1) * n * (2 * n - 1) / 6 - n * (n - 1) / 2 * (n * (n - 1) / 2)))
+
+
 def aggregate_frames(df: DataFrame, kind: str | Callable[[Column, Column], Column], keys: list[str], n_frames: int | Column, frame: str = "frame", value: str = "v", empty: float = 0.0) -> DataFrame:
     """keys and v. frame runs from 0 to n_frames - 1 within a group; n_frames may be a column that is constant in it.
 
@@ -41,27 +61,14 @@ def aggregate_frames(df: DataFrame, kind: str | Callable[[Column, Column], Colum
     it gets a group's values as an array (in no order, empty frames included) and their number."""
     n_col = F.lit(n_frames) if isinstance(n_frames, int) else n_frames
     rows = df.select(*keys, F.col(frame).cast("double").alias("__f"), F.col(value).cast("double").alias("__v"), n_col.cast("double").alias("__n"))
-    by, n, have, e = rows.groupBy(*keys), F.first("__n"), F.count("*"), F.lit(float(empty))
-    missing = n - have
+    by, n, e = rows.groupBy(*keys), F.first("__n"), F.lit(float(empty))
     if callable(kind):
+        missing = n - F.count("*")
         held = by.agg(F.concat(F.collect_list("__v"), F.array_repeat(e, missing.cast("int"))).alias("__a"), n.alias("__n"))
         return held.select(*keys, kind(F.col("__a"), F.col("__n")).alias("v"))
-    if kind == "mean":
-        v = (F.sum("__v") + missing * e) / n
-    elif kind in ("var", "std"):
-        # two sets of values, one of them constant: their squares about the common mean, without cancellation
-        gap = F.avg("__v") - e
-        v = (F.var_pop("__v") * have + gap * gap * have * missing / n) / n
-        v = F.sqrt(v) if kind == "std" else v
-    elif kind in ("max", "min"):
-        best, pick = (F.max, F.greatest) if kind == "max" else (F.min, F.least)
-        v = F.when(missing > 0, pick(best("__v"), e)).otherwise(best("__v"))
-    elif kind == "drift":
-        # slope of least squares on frames 0 to n - 1; missing frames add nothing once values are taken from `empty`
-        f = F.sum(F.col("__f") * (F.col("__v") - e))
-        s = F.sum(F.col("__v") - e)
-        v = F.when(n <= 1, 0.0).otherwise((n * f - n * (n - 1) / 2 * s) / (n * (n - 1) * n * (2 * n - 1) / 6 - n * (n - 1) / 2 * (n * (n - 1) / 2)))
-    elif kind == "median":
+    if kind in PLAIN:
+        return by.agg(plain(kind, F.col("__v"), F.col("__f"), n, empty).alias("v"))
+    if kind == "median":
         held = by.agg(F.sort_array(F.collect_list("__v")).alias("__a"), n.alias("__n"), F.count(F.when(F.col("__v") < e, 1)).alias("__less"))
         gone = F.col("__n") - F.size("__a")
 
@@ -71,11 +78,9 @@ def aggregate_frames(df: DataFrame, kind: str | Callable[[Column, Column], Colum
             return F.when(i <= F.col("__less"), at(i)).when(i <= F.col("__less") + gone, e).otherwise(at(F.greatest(i - gone, F.lit(1.0))))
 
         return held.select(*keys, ((ranked(F.floor((F.col("__n") + 1) / 2)) + ranked(F.floor(F.col("__n") / 2) + 1)) / 2).alias("v"))
-    elif kind == "entropy":
+    if kind == "entropy":
         return _entropy(rows, keys, empty)
-    else:
-        raise ValueError(f"no aggregate {kind!r}; there are {', '.join(AGGREGATES)}")
-    return by.agg(v.alias("v"))
+    raise ValueError(f"no aggregate {kind!r}; there are {', '.join(AGGREGATES)}")
 
 
 def summation(df: DataFrame, value: str = "v") -> DataFrame:

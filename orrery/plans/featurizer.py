@@ -16,7 +16,7 @@ from ..functions.constants import BACKBONE, ELEMENTS, lookup
 from ..functions.masks import condition, has_distance, parse, select_atoms
 from ..functions.scalar import element_property
 from ..operators import grid as g
-from ..operators.framewise import aggregate_frames
+from ..operators.framewise import PLAIN, aggregate_frames, plain
 from ..operators.observables import OBSERVABLES, empty_value, observe, observed_together
 from ..operators.windows import slices
 from ..spec import SLICE_KEYS, FeatureSpec
@@ -82,13 +82,14 @@ class Featurizer:
             self.specs.append(r)
         return self
 
-    def run(self, coords: DataFrame, atoms: DataFrame, foci: Callable[[DataFrame], DataFrame] | DataFrame) -> DataFrame:
+    def run(self, coords: DataFrame, atoms: DataFrame, foci: Callable[[DataFrame], DataFrame] | DataFrame, frames: DataFrame | None = None) -> DataFrame:
         """outkey, traj_id, slice_id, focus_id, gx, gy, gz, v: the cells of all features that aren't 0 throughout.
 
-        foci: a table, or a function of the sliced coordinates that gives one."""
+        foci: a table, or a function of the sliced coordinates that gives one. frames (traj_id, n_frames), as a manifest has it, spares
+        passes over the coordinates."""
         if not self.specs:
             raise ValueError("no feature is registered")
-        sliced = slices(coords, self.frame_width)
+        sliced = slices(coords, self.frame_width, frames)
         return self._run(sliced, foci(sliced) if callable(foci) else foci, ["traj_id", "slice_id"], coords, atoms)
 
     def _run(self, sliced: DataFrame, at: DataFrame, on: list[str], coords: DataFrame, atoms: DataFrame) -> DataFrame:
@@ -106,7 +107,7 @@ class Featurizer:
             cropped = g.crop(moved, grid, padding, by_residue, (*SLICE_KEYS, "frame"))
             keep = [*SLICE_KEYS, "slice_frame", "atom_id", *g.AXES]
             own = atoms_.select("traj_id", "atom_id", *(self.weights[s.weight](**dict(s.options)).alias(f"w_{s.outkey}") for s in specs))
-            points = g.spread_out(cropped.select(*keep).join(own, ["traj_id", "atom_id"]), [*SLICE_KEYS, "slice_frame"])
+            points = g.spread_out(cropped.select(*keep).join(own, ["traj_id", "atom_id"]), ["traj_id", "slice_id", "slice_frame"])
             together: dict[float, list[FeatureSpec]] = {}
             for s in specs:
                 if s.kernel in TOGETHER and s.kernel not in self.kernels:
@@ -120,16 +121,21 @@ class Featurizer:
         return out
 
     def _observables(self, points: DataFrame, grid, cutoff: float, specs: list[FeatureSpec]) -> DataFrame:
-        """Observables of one crop and cutoff: one stencil and one grouping by frame and cell for all of them. The values then part by
-        how their frames are aggregated; these branches start from the same exchange, which Spark runs once."""
-        by_frame = [*SLICE_KEYS, "slice_frame"]
+        """Observables of one crop and cutoff: one stencil and one grouping by frame and cell for all of them, and one over the frames for all
+        whose aggregate is plain. The others part from there by how they are aggregated."""
+        by_frame, by_cell = [*SLICE_KEYS, "slice_frame"], [*SLICE_KEYS, *g.CELL]
         near = g.near_cells(points.select(*by_frame, *g.AXES, *(f"w_{s.outkey}" for s in specs)), grid, cutoff)
         wide = observed_together(near, [(f"v_{i}", s.kernel, f"w_{s.outkey}") for i, s in enumerate(specs)], cutoff, grid.spacing, by_frame)
-        out = None
-        for how in dict.fromkeys((s.frame_agg, empty_value(s.kernel, cutoff)) for s in specs):
+        out, n = None, F.lit(float(self.frame_width))
+        easy = [(i, s) for i, s in enumerate(specs) if s.frame_agg in PLAIN]
+        if easy:
+            values = [plain(s.frame_agg, F.col(f"v_{i}").cast("double"), F.col("slice_frame").cast("double"), n, empty_value(s.kernel, cutoff)).alias(f"v_{i}") for i, s in easy]
+            named = [F.struct(F.lit(s.outkey).alias("outkey"), F.col(f"v_{i}").alias("v")) for i, s in easy]
+            out = wide.groupBy(*by_cell).agg(*values).select(*by_cell, F.inline(F.array(*named))).select("outkey", *by_cell, "v")
+        for how in dict.fromkeys((s.frame_agg, empty_value(s.kernel, cutoff)) for s in specs if s.frame_agg not in PLAIN):
             named = [F.struct(F.lit(s.outkey).alias("outkey"), F.col(f"v_{i}").alias("v")) for i, s in enumerate(specs) if (s.frame_agg, empty_value(s.kernel, cutoff)) == how]
             long = wide.select(*by_frame, *g.CELL, F.inline(F.array(*named)))
-            rows = aggregate_frames(long, how[0], ["outkey", *SLICE_KEYS, *g.CELL], self.frame_width, "slice_frame", "v", how[1]).select("outkey", *SLICE_KEYS, *g.CELL, "v")
+            rows = aggregate_frames(long, how[0], ["outkey", *by_cell], self.frame_width, "slice_frame", "v", how[1]).select("outkey", *by_cell, "v")
             out = rows if out is None else out.unionByName(rows)
         return out
 

@@ -99,7 +99,8 @@ def featurize(v):
 
     f = Featurizer(FeatureSpec("defaults", cutoff=1.5, grid=GridSpec(4, 1.0)), frame_width=7)
     f.register(FeatureSpec("count", kernel="direct_count"), FeatureSpec("charge_max", "atomic_number", "cumulative_weight", "max"), FeatureSpec("ca", kernel="direct_count", selection="@CA"))
-    return f.run(v.coords, v.atoms, lambda sliced: focus_of_selection(sliced, select_atoms(v.atoms, ":ARG")))
+    manifest = v.atoms.select("traj_id").distinct().withColumn("n_frames", F.lit(FRAMES))
+    return f.run(v.coords, v.atoms, lambda sliced: focus_of_selection(sliced, select_atoms(v.atoms, ":ARG")), manifest)
 
 
 @query(_FEATURES, """
