@@ -84,7 +84,10 @@ def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 def prefix_hashes(values: np.ndarray, base: U = BASE) -> np.ndarray:
     """Sums from which span_hashes() has the hash of any span."""
     p = np.zeros(len(values) + 1, U)
-    np.cumsum((values.astype(U) + U(1)) * powers(base, len(values)), out=p[1:])
+    p[1:] = values
+    p[1:] += U(1)
+    p[1:] *= powers(base, len(values))
+    np.cumsum(p[1:], out=p[1:])
     return p
 
 

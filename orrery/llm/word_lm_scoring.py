@@ -43,7 +43,7 @@ from .common import Scratch, U, mix, texts, word_hashes, words
 WORD_BITS = 48
 BEGIN = U(0x6A09E667F3BC)
 #: Bytes of text hashed at a time, counted at a time, and of a range of hashes.
-SLICE, PIECE, RANGE_BYTES = 4 << 20, 16 << 20, 16 << 20
+SLICE, PIECE, RANGE_BYTES = 2 << 20, 16 << 20, 16 << 20
 #: Bytes of text for each occurrence from which on a word is too frequent for one range.
 HEAVY = 24
 #: Bytes of tables that a worker keeps where the shared folder can't be mapped.
@@ -86,6 +86,14 @@ def summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return k[first], by[first], [np.add.reduceat(v[by], first) for v in values]
 
 
+def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys in order, a place of each, and how often it is there."""
+    by = np.argsort(keys)
+    k = keys[by]
+    first = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+    return k[first], by[first], np.diff(np.append(first, len(k)))
+
+
 def _top(keys: np.ndarray, bits: int) -> np.ndarray:
     """The first bits of 64."""
     return (keys >> U(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
@@ -194,12 +202,22 @@ def _of_ranges(batches: Iterator[pa.RecordBatch], unpack) -> Iterator[tuple[int,
         for i in np.flatnonzero(kinds < 0).tolist():
             r = b.column("range")[i].as_py()
             if r != now and parts:
-                yield now, [np.concatenate(x) for x in zip(*parts)]
-                parts = []
+                yield now, _joined_columns(parts)
             now = r
             parts.append(unpack(b.column("block")[i].as_py()))
     if parts:
-        yield now, [np.concatenate(x) for x in zip(*parts)]
+        yield now, _joined_columns(parts)
+
+
+def _joined_columns(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """The parts' columns, each joined; the parts go as they are joined."""
+    out = []
+    for k in range(len(parts[0])):
+        out.append(np.concatenate([p[k] for p in parts]))
+        for p in parts:
+            p[k] = None
+    parts.clear()
+    return out
 
 
 class Table:
@@ -295,10 +313,10 @@ def _heavy(batches: Iterator[pa.RecordBatch], total: int, range_bytes: int) -> I
 def _counted(batches: Iterator[pa.RecordBatch], ranges: Ranges) -> Iterator[pa.RecordBatch]:
     parts, size = [], 0
 
-    def counted() -> Iterator[pa.RecordBatch]:
-        a, b, c = (np.concatenate(x) for x in zip(*parts))
+    def blocks() -> Iterator[pa.RecordBatch]:
+        a, b, c = (np.concatenate([x[i] for x in parts]) for i in range(3))
         parts.clear()
-        _, at, (n,) = summed(joined(joined(a, b), c), np.ones(len(c), np.int64))
+        _, at, n = counted(joined(joined(a, b), c))
         a, b, c = a[at], b[at], c[at]
         yield from _blocks(ranges.of(b, c), [a, b, c, n], trigram_block)
 
@@ -308,10 +326,10 @@ def _counted(batches: Iterator[pa.RecordBatch], ranges: Ranges) -> Iterator[pa.R
             parts.append(abc)
         size += len(buf)
         if size >= PIECE and parts:
-            yield from counted()
+            yield from blocks()
             size = 0
     if parts:
-        yield from counted()
+        yield from blocks()
 
 
 def _trigrams(batches: Iterator[pa.RecordBatch], bits: int, path: str) -> Iterator[pa.RecordBatch]:
@@ -320,13 +338,14 @@ def _trigrams(batches: Iterator[pa.RecordBatch], bits: int, path: str) -> Iterat
         a, b, c = a[at], b[at], c[at]
         contexts, follow = _following(joined(a, b), n)
         yield _rows([_file(path, TRIGRAMS, r, keys, [n], n), _file(path, CONTEXTS, r, contexts, follow, None)])
-        del a, contexts, follow
-        keys, at, (n,) = summed(joined(b, c), np.ones(len(c), np.int64))
+        del a, contexts, follow, keys
+        keys, at, n = counted(joined(b, c))
         yield _rows([_file(path, BIGRAMS, r, keys, [n], n)])
         context, follow = _following(b[at], n)
-        word, _, (before,) = summed(c[at], np.ones(len(at), np.int64))
+        word, _, before = counted(c[at])
         none = [np.zeros(len(word), np.int64)] * 4
         word, _, sums = summed(np.concatenate([context, word]), *(np.concatenate(x) for x in zip([*follow, np.zeros(len(context), np.int64)], [*none, before])))
+        del b, c, keys, at, n
         yield from _blocks(_top(word << U(64 - WORD_BITS), bits), [word, *sums], lambda w, *x: _packed([np.diff(w, prepend=U(0)), *x]))
 
 
