@@ -76,23 +76,16 @@ def box_filter(points: DataFrame, center: tuple[float, float, float], lengths: t
     return points.where(cond)
 
 
-def _cell(offset: Column, axis: str, part: int, grid: GridSpec) -> Column:
-    """Grid index of a packed offset along one axis."""
-    o = F.shiftright(offset, 16 - 8 * part).bitwiseAND(F.lit(255)) - F.lit(128)
-    return F.floor(F.col(axis) / F.lit(grid.spacing)).cast("int") + o
-
-
-def _packed(grid: GridSpec, cutoff: float, inclusive: bool, on_lattice: bool) -> Column:
-    """The stencil as one constant array of int."""
+def _stencil(grid: GridSpec, cutoff: float, inclusive: bool, on_lattice: bool) -> str:
+    """The stencil as one constant array of packed offsets."""
     offsets = grid.offsets(cutoff, inclusive, on_lattice)
     if offsets and max(max(map(abs, o)) for o in offsets) > 127:
         raise ValueError("a cutoff of more than 126 cells")
-    return F.expr("array(" + ",".join(str(((i + 128) << 16) | ((j + 128) << 8) | (k + 128)) for i, j, k in offsets) + ")")
+    return "array(" + ",".join(str(((i + 128) << 16) | ((j + 128) << 8) | (k + 128)) for i, j, k in offsets) + ")"
 
 
-def _distance2(cells: list[Column], grid: GridSpec) -> Column:
-    deltas = [F.col(a) - c * F.lit(float(grid.spacing)) for a, c in zip(AXES, cells)]
-    return sum((d * d for d in deltas[1:]), deltas[0] * deltas[0])
+def _number(v: float) -> str:
+    return f"{float(v)!r}D"
 
 
 def spread_out(points: DataFrame, keys: list[str]) -> DataFrame:
@@ -106,13 +99,13 @@ def near_cells(points: DataFrame, grid: GridSpec, cutoff: float, inclusive: bool
     """Each point once for each cell of the grid within the cutoff, with gx, gy, gz and the squared distance d2.
 
     on_lattice: the points stand on cells exactly, which makes the stencil smaller."""
-    out = points.withColumn("__o", F.explode(_packed(grid, cutoff, inclusive, on_lattice)))
-    out = out.withColumns({g: _cell(F.col("__o"), a, i, grid) for i, (g, a) in enumerate(zip(CELL, AXES))}).drop("__o")
-    for g, d in zip(CELL, grid.dims):
-        out = out.where((F.col(g) >= 0) & (F.col(g) < d))
-    out = out.withColumn("d2", _distance2([F.col(g) for g in CELL], grid))
-    limit = F.lit(float(cutoff) ** 2)
-    return out.where(F.col("d2") <= limit if inclusive else F.col("d2") < limit)
+    s = _number(grid.spacing)
+    cells = [f"cast(floor({a} / {s}) as int) + ((shiftright(__o, {16 - 8 * i}) & 255) - 128) as {g}" for i, (g, a) in enumerate(zip(CELL, AXES))]
+    far = [f"({a} - {g} * {s})" for g, a in zip(CELL, AXES)]
+    # few and long expressions: each call to the JVM costs as much as a thousand rows
+    out = points.selectExpr("*", f"explode({_stencil(grid, cutoff, inclusive, on_lattice)}) as __o").selectExpr("*", *cells).drop("__o")
+    out = out.where(" and ".join(f"{g} >= 0 and {g} < {d}" for g, d in zip(CELL, grid.dims)))
+    return out.selectExpr("*", " + ".join(f"{d} * {d}" for d in far) + " as d2").where(f"d2 {'<=' if inclusive else '<'} {_number(float(cutoff) ** 2)}")
 
 
 def smear(points: DataFrame, grid: GridSpec, cutoff: float, sigma: float, weight: str = "w", on_lattice: bool = False) -> DataFrame:

@@ -7,7 +7,7 @@ from math import pi
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -65,39 +65,38 @@ def _dispersion(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out)], names=[*b.schema.names[:-1], "v"])
 
 
-def _measure(kind: str, cutoff: float, spacing: float, weight: str, tag: str) -> tuple[list[Column], Column]:
-    """The aggregates that a kind needs, named by tag, and its value from them."""
-    w, d, c = F.col(weight).cast("double"), F.sqrt("d2"), lambda name: F.col(tag + name)
-    total, number = F.sum(w).alias(tag + "s"), F.count("*").alias(tag + "n")
+def _measure(kind: str, cutoff: float, spacing: float, weight: str, tag: str) -> tuple[list[str], str]:
+    """The aggregates that a kind needs, named by tag, and its value from them, in SQL."""
+    w, c = f"cast(`{weight}` as double)", lambda name: f"`{tag}{name}`"
+    total, number = f"sum({w}) as {c('s')}", f"count(*) as {c('n')}"
     # relative to the cell, coordinates are at most the cutoff: sums of squares keep their digits
-    rel = {a: F.col(a) - F.col(g) * F.lit(float(spacing)) for a, g in zip(AXES, CELL)}
-    moments = [total, number, *(F.sum(w * r).alias(tag + "s" + a) for a, r in rel.items())]
-    length2 = (c("sx") * c("sx") + c("sy") * c("sy") + c("sz") * c("sz")) / (c("s") * c("s"))
+    moments = [total, number, *(f"sum({w} * ({a} - {g} * {float(spacing)!r}D)) as {c('s' + a)}" for a, g in zip(AXES, CELL))]
+    length2 = f"(({c('sx')} * {c('sx')} + {c('sy')} * {c('sy')} + {c('sz')} * {c('sz')}) / ({c('s')} * {c('s')}))"
     if kind == "existence":
-        return [number], F.lit(1.0)
+        return [number], "1.0D"
     if kind == "direct_count":
-        return [number], c("n").cast("double")
+        return [number], f"cast({c('n')} as double)"
     if kind == "distinct_count":
-        return [F.count_distinct(w).alias(tag + "u")], c("u").cast("double")
+        return [f"count(distinct {w}) as {c('u')}"], f"cast({c('u')} as double)"
     if kind == "mean_distance":
-        return [total, F.sum(d * w).alias(tag + "d")], c("d") / F.nullif(c("s"), F.lit(0.0))
+        return [total, f"sum(sqrt(d2) * {w}) as {c('d')}"], f"{c('d')} / nullif({c('s')}, 0.0D)"
     if kind == "cumulative_weight":
         return [total], c("s")
     if kind == "density":
-        return [total], c("s") / F.lit(4 / 3 * pi * cutoff**3)
+        return [total], f"{c('s')} / {4 / 3 * pi * cutoff**3!r}D"
     if kind == "eccentricity":
-        return moments, F.when(c("s") == 0, float(cutoff)).otherwise(F.sqrt(length2))
+        return moments, f"case when {c('s')} = 0 then {float(cutoff)!r}D else sqrt({length2}) end"
     if kind == "radius_of_gyration":
-        square = F.sum(w * F.col("d2")).alias(tag + "s2")
-        return [*moments, square], F.when((c("n") <= 1) | (c("s") == 0), 0.0).otherwise(F.sqrt(F.greatest(F.lit(0.0), c("s2") / c("s") - length2)))
+        square = f"sum({w} * d2) as {c('s2')}"
+        return [*moments, square], f"case when {c('n')} <= 1 or {c('s')} = 0 then 0.0D else sqrt(greatest(0.0D, {c('s2')} / {c('s')} - {length2})) end"
     raise ValueError(f"no observable {kind!r}; there are {', '.join(OBSERVABLES)}")
 
 
 def observed_together(near: DataFrame, wanted: list[tuple[str, str, str]], cutoff: float, spacing: float, keys: list[str]) -> DataFrame:
     """keys, gx, gy, gz and a column for each of wanted (name, kind, weight column), from one grouping of near_cells(). No dispersion."""
     parts = [(name, *_measure(kind, cutoff, spacing, weight, f"__{i}_")) for i, (name, kind, weight) in enumerate(wanted)]
-    by = near.groupBy(*keys, *CELL).agg(*(a for _, aggregates, _ in parts for a in aggregates))
-    return by.select(*keys, *CELL, *(value.alias(name) for name, _, value in parts))
+    by = near.groupBy(*keys, *CELL).agg(*(F.expr(a) for _, aggregates, _ in parts for a in aggregates))
+    return by.selectExpr(*(f"`{k}`" for k in (*keys, *CELL)), *(f"{value} as `{name}`" for name, _, value in parts))
 
 
 def observed(near: DataFrame, kind: str, cutoff: float, spacing: float, keys: list[str], weight: str = "w") -> DataFrame:

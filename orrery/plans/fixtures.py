@@ -43,30 +43,27 @@ class Views:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
-    def _ids(self) -> list:
-        return [F.floor(F.col("vec_id") / ATOMS).cast("long").alias("traj_id"), (F.col("vec_id") % ATOMS).cast("int").alias("atom_id")]
+    _IDS = (f"cast(floor(vec_id / {ATOMS}) as bigint) as traj_id", f"cast(vec_id % {ATOMS} as int) as atom_id")
+    _ATOM = (
+        f"cast(floor(vec_id % {ATOMS} / 8) as int) as resid", f"element_at(array{NUMBERS}, label + 1) as z_number", f"element_at(array{NAMES}, cast(vec_id % {ATOMS} % 8 as int) + 1) as atom_name",
+        f"element_at(array{tuple(RESIDUES)}, cast(floor(vec_id % {ATOMS} / 8) % 20 as int) + 1) as resname", "(2 * label - 9) / 20 as charge",
+    )
+    _XYZ = tuple(f"round(cast(get(embedding, 3 * frame + {k}) as double) * 8 + 4) as {a}" for k, a in enumerate("xyz"))
 
     @cached_property
     def atoms(self) -> DataFrame:
-        pick = lambda values, i: F.element_at(F.array(*map(F.lit, values)), i + 1)
-        a = self.table("embeddings").select(*self._ids(), "label")
-        resid = F.floor(F.col("atom_id") / 8).cast("int")
-        return a.select("traj_id", "atom_id", resid.alias("resid"), pick(NUMBERS, F.col("label")).alias("z_number"), pick(NAMES, F.col("atom_id") % 8).alias("atom_name"), pick(RESIDUES, resid % 20).alias("resname"), ((2 * F.col("label") - 9) / 20).alias("charge"))
+        return self.table("embeddings").selectExpr(*self._IDS, *self._ATOM)
 
     @cached_property
     def coords(self) -> DataFrame:
-        at = lambda k: F.round(F.get("embedding", 3 * F.col("frame") + k).cast("double") * 8 + 4)
-        rows = self.table("embeddings").select(*self._ids(), "embedding", F.explode(F.sequence(F.lit(0), F.lit(FRAMES - 1))).alias("frame"))
-        return rows.select("traj_id", "atom_id", "frame", *(at(k).alias(a) for k, a in enumerate("xyz")))
+        rows = self.table("embeddings").selectExpr(*self._IDS, "embedding", f"explode(sequence(0, {FRAMES - 1})) as frame")
+        return rows.selectExpr("traj_id", "atom_id", "frame", *self._XYZ)
 
     @cached_property
     def points(self) -> DataFrame:
         """coords with the atoms' columns: one scan, as both come from one table."""
-        pick = lambda values, i: F.element_at(F.array(*map(F.lit, values)), i + 1)
-        at = lambda k: F.round(F.get("embedding", 3 * F.col("frame") + k).cast("double") * 8 + 4)
-        rows = self.table("embeddings").select(*self._ids(), "label", "embedding", F.explode(F.sequence(F.lit(0), F.lit(FRAMES - 1))).alias("frame"))
-        resid = F.floor(F.col("atom_id") / 8).cast("int")
-        return rows.select("traj_id", "atom_id", "frame", *(at(k).alias(a) for k, a in enumerate("xyz")), resid.alias("resid"), pick(NUMBERS, F.col("label")).alias("z_number"), pick(NAMES, F.col("atom_id") % 8).alias("atom_name"), pick(RESIDUES, resid % 20).alias("resname"), ((2 * F.col("label") - 9) / 20).alias("charge"))
+        rows = self.table("embeddings").selectExpr(*self._IDS, "embedding", *self._ATOM, f"explode(sequence(0, {FRAMES - 1})) as frame")
+        return rows.selectExpr("traj_id", "atom_id", "frame", *self._XYZ, "resid", "z_number", "atom_name", "resname", "charge")
 
     @cached_property
     def series(self) -> DataFrame:
