@@ -10,15 +10,17 @@ above 0x20, as they stand. A word is its 48-bit hash, an n-gram a 64-bit hash of
 Lower orders count distinct left neighbours; the discounts come from the counts of counts of each order. The tables are made in one
 job of two exchanges of compressed blocks, each block the rows of one range:
  1. trigrams (a, b, c) by range of the middle word b: a range then holds all of a trigram, all that follows the context (a, b), and all that
-    stands before the bigram (b, c). Words that would outgrow a range are found first and parted by c as well; what follows their contexts is the
-    sum over the parts. A block has a dictionary of its words, sorted, and the trigrams as numbers of it, sorted;
- 2. words, as contexts and with how many words stand before them, by range of the word.
+    stands before the bigram (b, c). Words that would outgrow a range are found first and parted by c as well. A block has a dictionary of its
+    words, sorted, and the trigrams as numbers of it, sorted;
+ 2. words, as contexts and with how many words stand before them, by range of the word; and contexts (a, b) whose b is parted, by range of the
+    context, where what follows them is summed over the parts. So each n-gram is looked for in one table, however many parts there are.
 There are as many ranges as RANGE_BYTES go into the text, so that what a task holds doesn't grow. Each range is one file for each table in the
 shared folder; only the list of files goes through the driver. A file of a lost or repeated task isn't in the list.
 
 A table is the sorted hashes, in buckets of about 16 by their first bits and with the next 24 bits of each, and a byte for each that
 stands for its values: the 255 commonest are listed, others lie apart in full. An n-gram that the corpus lacks is taken for one that it has
-once in a million times (16 / 2**24).
+once in a million times (16 / 2**24). Texts are scored in slices that grow with the number of ranges, and each table that a slice needs is searched
+once, for all different n-grams that the slice has there.
 
 Defined results: null, empty and blank texts count nothing and have a null perplexity; rows without an id are counted and scored like others;
 rows that repeat count as often as they occur; a corpus without words gives every word p = 1; an empty table gives an empty
@@ -44,6 +46,8 @@ WORD_BITS = 48
 BEGIN = U(0x6A09E667F3BC)
 #: Bytes of text hashed at a time, counted at a time, and of a range of hashes.
 SLICE, PIECE, RANGE_BYTES = 2 << 20, 16 << 20, 16 << 20
+#: Bytes of text scored at a time: so many for each range, since a search costs some 70 calls to numpy in each table, and at most so many in all.
+SCORED, MOST_SCORED = 4 << 10, 6 << 20
 #: Bytes of text for each occurrence from which on a word is too frequent for one range.
 HEAVY = 24
 #: Bytes of tables that a worker keeps where the shared folder can't be mapped.
@@ -103,12 +107,9 @@ class Ranges:
     """Which range a trigram belongs to, by its middle word, and by its last one where the middle word is heavy."""
 
     def __init__(self, bits: int, heavy: dict[int, int]) -> None:
-        self.bits = bits
+        self.bits, self.word_bits = bits, max(0, bits - 2)  # words are fewer than trigrams
         self.words = np.array(sorted(heavy), U)
         self.parts = np.array([heavy[w] for w in sorted(heavy)], np.int64)  # bits of parts
-        # the ranges of each heavy word, side by side; several parts may be in one range
-        places = [np.unique(self.of_part(np.full(1 << n, w, U), np.arange(1 << n))) for w, n in zip(self.words, self.parts.tolist())]
-        self.place, self.first = np.concatenate([*places, np.zeros(0, np.int64)]), np.cumsum([0, *map(len, places)])
 
     def heavy(self, b: np.ndarray) -> np.ndarray:
         """Which of the heavy words each is; -1 for none."""
@@ -126,6 +127,10 @@ class Ranges:
         part[some] = (mix(c[some]) >> (U(64) - self.parts[which[some]].astype(U))).astype(np.int64)
         return self.of_part(b, part)
 
+    def of_context(self, key: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The range of the trigrams that the context begins; where b is heavy one of as many more, by the context's key."""
+        return np.where(self.heavy(b) < 0, self.of_part(b, np.zeros(len(b), np.int64)), (1 << self.bits) + _top(mix(key), self.bits))
+
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * len(_TYPES), _TYPES)], names=[f.split()[0] for f in _SCHEMA.split(", ")])
@@ -296,10 +301,18 @@ def _file(path: str, kind: int, r: int, keys: np.ndarray, columns: list[np.ndarr
     return (-1, kind, len(keys), len(parts[3]), f"{r}:{name}", *counts, *((int(own.sum()), int(np.count_nonzero(own)) * (kind == WORDS)) if own is not None else (0, 0)), None)
 
 
-def _following(context: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Of each context: what follows it in all, and how many words follow it once, twice and more often."""
-    keys, _, sums = summed(context, c, *((f(c)).astype(np.int64) for f in (lambda x: x == 1, lambda x: x == 2, lambda x: x > 2)))
-    return keys, sums
+def _following(context: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Of each context: a place of it, what follows it in all, and how many words follow it once, twice and more often."""
+    return summed(context, c, *((f(c)).astype(np.int64) for f in (lambda x: x == 1, lambda x: x == 2, lambda x: x > 2)))
+
+
+def _sums_block(w: np.ndarray, *x: np.ndarray) -> bytes:
+    return _packed([np.diff(w, prepend=U(0)), *x])
+
+
+def _sums_of(block: bytes) -> list[np.ndarray]:
+    w, *x = _unpacked(block)
+    return [np.cumsum(w, dtype=U), *(y.astype(np.int64) for y in x)]
 
 
 def _heavy(batches: Iterator[pa.RecordBatch], total: int, range_bytes: int) -> Iterator[pa.RecordBatch]:
@@ -332,34 +345,41 @@ def _counted(batches: Iterator[pa.RecordBatch], ranges: Ranges) -> Iterator[pa.R
         yield from blocks()
 
 
-def _trigrams(batches: Iterator[pa.RecordBatch], bits: int, path: str) -> Iterator[pa.RecordBatch]:
+def _trigrams(batches: Iterator[pa.RecordBatch], ranges: Ranges, path: str) -> Iterator[pa.RecordBatch]:
     for r, (a, b, c, n) in _of_ranges(batches, trigrams_of):
         keys, at, (n,) = summed(joined(joined(a, b), c), n.astype(np.int64))
         a, b, c = a[at], b[at], c[at]
-        contexts, follow = _following(joined(a, b), n)
-        yield _rows([_file(path, TRIGRAMS, r, keys, [n], n), _file(path, CONTEXTS, r, contexts, follow, None)])
-        del a, contexts, follow, keys
+        yield _rows([_file(path, TRIGRAMS, r, keys, [n], n)])
+        keys, at, follow = _following(joined(a, b), n)
+        which = ranges.heavy(b[at])
+        if (whole := which < 0).any():
+            yield _rows([_file(path, CONTEXTS, r, keys[whole], [x[whole] for x in follow], None)])
+        by = np.flatnonzero(~whole)
+        by = by[np.lexsort((a[at[by]], which[by]))]
+        yield from _blocks(ranges.of_context(keys[by], b[at[by]]), [a[at[by]], which[by], *(x[by] for x in follow)], _sums_block)
+        del a, keys, at, follow, which, whole, by
         keys, at, n = counted(joined(b, c))
         yield _rows([_file(path, BIGRAMS, r, keys, [n], n)])
-        context, follow = _following(b[at], n)
+        context, _, follow = _following(b[at], n)
         word, _, before = counted(c[at])
         none = [np.zeros(len(word), np.int64)] * 4
         word, _, sums = summed(np.concatenate([context, word]), *(np.concatenate(x) for x in zip([*follow, np.zeros(len(context), np.int64)], [*none, before])))
         del b, c, keys, at, n
-        yield from _blocks(_top(word << U(64 - WORD_BITS), bits), [word, *sums], lambda w, *x: _packed([np.diff(w, prepend=U(0)), *x]))
-
+        yield from _blocks(_top(word << U(64 - WORD_BITS), ranges.word_bits), [word, *sums], _sums_block)
 
-def _words(batches: Iterator[pa.RecordBatch], path: str, bits: int) -> Iterator[pa.RecordBatch]:
-    def unpack(block: bytes) -> list[np.ndarray]:
-        word, *sums = _unpacked(block)
-        return [np.cumsum(word, dtype=U), *(x.astype(np.int64) for x in sums)]
 
-    for r, rows in _of_ranges(batches, unpack):
+def _words(batches: Iterator[pa.RecordBatch], ranges: Ranges, path: str) -> Iterator[pa.RecordBatch]:
+    """Tables of words, and of the contexts of heavy words."""
+    for r, rows in _of_ranges(batches, _sums_of):
         if r < 0:
             yield rows
-            continue
-        keys, _, sums = summed(*rows)
-        yield _rows([_file(path, WORDS, r, keys << U(64 - WORD_BITS + bits), sums, sums[4])])
+        elif r < 1 << ranges.bits:
+            keys, _, sums = summed(*rows)
+            yield _rows([_file(path, WORDS, r, keys << U(64 - WORD_BITS + ranges.word_bits), sums, sums[4])])
+        else:
+            a, which, *follow = rows
+            keys, _, sums = summed(joined(a, ranges.words[which]), *follow)
+            yield _rows([_file(path, CONTEXTS, r, keys, sums, None)])
 
 
 class WordModel:
@@ -395,35 +415,29 @@ class WordModel:
         return _cache[name][0]
 
     def find(self, kind: int, keys: np.ndarray, r: np.ndarray) -> np.ndarray:
-        """The values of each key, in its range; zero where there are none."""
-        out = np.zeros((_COLUMNS[kind], len(keys)), np.int64)
-        order = np.lexsort((keys, r))
+        """The values of each key, in its range; zero where there are none. What is there again and again is looked for once."""
+        bits = U(self.ranges.bits + 1)
+        order = np.argsort((r.astype(U) << (U(64) - bits)) | (keys >> bits))
         r, keys = r[order], keys[order]
+        new = np.ones(len(keys), bool)
+        new[1:] = (keys[1:] != keys[:-1]) | (r[1:] != r[:-1])
+        r, keys = r[new], keys[new]
+        values = np.zeros((_COLUMNS[kind], len(keys)), np.int64)
         begin = np.flatnonzero(np.append(True, r[1:] != r[:-1])) if len(r) else np.zeros(0, int)
         for i, j in zip(begin.tolist(), [*begin[1:].tolist(), len(r)]):
             if (table := self.table(kind, int(r[i]))) is not None:
-                hit, values = table.find(keys[i:j])
-                out[:, order[i:j][hit]] = values.T
-        return out
+                hit, some = table.find(keys[i:j])
+                values[:, i + hit] = some.T
+        back = np.empty(len(order), np.int64)
+        back[order] = np.cumsum(new) - 1
+        return values[:, back]
 
     def probabilities(self, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
         """Of each word c after a and b."""
-        bits = self.ranges.bits
 
         def words(w: np.ndarray) -> np.ndarray:
-            some, back = np.unique(w, return_inverse=True)
-            top = some << U(64 - WORD_BITS)
-            return self.find(WORDS, top << U(bits), _top(top, bits))[:, back]
-
-        def contexts() -> np.ndarray:
-            keys, at, back = np.unique(joined(a, b), return_index=True, return_inverse=True)
-            middle, which = b[at], self.ranges.heavy(b[at])
-            out = self.find(CONTEXTS, keys, np.where(which < 0, self.ranges.of_part(middle, np.zeros(len(middle), np.int64)), -1))
-            first = self.ranges.first
-            for k in range(int(np.diff(first).max(initial=0))):
-                some = np.flatnonzero((which >= 0) & (first[which] + k < first[which + 1]))
-                out[:, some] += self.find(CONTEXTS, keys[some], self.ranges.place[first[which[some]] + k])
-            return out[:, back]
+            top, bits = w << U(64 - WORD_BITS), self.ranges.word_bits
+            return self.find(WORDS, top << U(bits), _top(top, bits))
 
         def level(k: int, n: np.ndarray, total: np.ndarray, n1: np.ndarray, n2: np.ndarray, n3: np.ndarray, lower: np.ndarray) -> np.ndarray:
             d, whole = self.discounts[k], np.maximum(total, 1)
@@ -433,7 +447,8 @@ class WordModel:
         r = self.ranges.of(b, c)
         p = level(1, words(c)[4], *(np.int64(x) for x in (total, n1, n2, self.n_words - n1 - n2)), 1 / (self.n_words + 1))
         p = level(2, self.find(BIGRAMS, joined(b, c), r)[0], *words(b)[:4], p)
-        return level(3, self.find(TRIGRAMS, joined(joined(a, b), c), r)[0], *contexts(), p)
+        ab = joined(a, b)
+        return level(3, self.find(TRIGRAMS, joined(ab, c), r)[0], *self.find(CONTEXTS, ab, self.ranges.of_context(ab, b)), p)
 
     def score(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The words of each text, and the sum of their log2 probabilities."""
@@ -460,17 +475,18 @@ def build_words(docs: DataFrame, text_col: str = "text", range_bytes: int = RANG
         return df.repartition(1 << bits, "range").sortWithinPartitions("range")
 
     table = met(rows.mapInArrow(lambda it: _counted(it, ranges), _SCHEMA))
-    table = met(table.mapInArrow(lambda it: _trigrams(it, bits, path), _SCHEMA))
-    reports = table.mapInArrow(lambda it: _words(it, path, bits), _SCHEMA).drop("block").collect()
+    table = met(table.mapInArrow(lambda it: _trigrams(it, ranges, path), _SCHEMA))
+    reports = table.mapInArrow(lambda it: _words(it, ranges, path), _SCHEMA).drop("block").collect()
     return WordModel(ranges, path, reports)
 
 
 def word_perplexity(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: WordModel | None = None) -> DataFrame:
     """doc_id, n_words, log2_probability, perplexity (a word) for each row of docs, by the model of docs themselves unless another is given."""
     model = model or build_words(docs, text_col)
+    size = max(SLICE, min(SCORED << model.ranges.bits, MOST_SCORED))
 
     def scored(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, buf, off in texts(it, size=SLICE):
+        for rows, buf, off in texts(it, size=size):
             n, s = model.score(buf, off)
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(n), pa.array(s, mask=n == 0), pa.array(2 ** (-s / np.maximum(n, 1)), mask=n == 0)], names=["doc_id", "n_words", "log2_probability", "perplexity"])
 

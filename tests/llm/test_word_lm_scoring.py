@@ -57,6 +57,22 @@ def test_formula(spark, range_bytes):
         assert r.perplexity is None if not t.split() else r.log2_probability == pytest.approx(score(t)) and r.perplexity == pytest.approx(2 ** (-score(t) / r.n_words))
 
 
+@pytest.mark.parametrize("range_bytes", [1 << 23, 200])
+def test_an_ngram_is_looked_for_in_one_table(spark, monkeypatch, range_bytes):
+    """However many ranges the text has: a frequent word's contexts aren't sought in each of its parts, nor what repeats again."""
+    rnd = random.Random(6)
+    corpus = [" ".join(rnd.choice("a a a b c d e f".split()) for _ in range(60)) for _ in range(60)]
+    model = build_words(frame(spark, corpus), range_bytes=range_bytes)
+    assert range_bytes > 200 or max(model.ranges.parts) > 3
+    keys, find = [], Table.find
+    monkeypatch.setattr(Table, "find", lambda self, some: keys.append(len(some)) or find(self, some))
+    text = " ".join(corpus).encode()
+    model.score(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    w = ("<", "<", *text.decode().split())
+    distinct = [len({w[i + j : i + k] for i in range(len(w) - 2)}) for j, k in ((0, 3), (0, 2), (1, 3), (2, 3), (1, 2))]
+    assert sum(keys) <= sum(distinct)
+
+
 def test_tables_grow_with_the_text(spark):
     rnd = random.Random(4)
     text = [" ".join(f"w{int(rnd.paretovariate(0.7))}" for _ in range(100)) for _ in range(400)]
