@@ -16,6 +16,7 @@ by single words.
 Where more than HOT suffixes would share an anchor, the prefix is lengthened to a whole window for each begin that can hold it. Suffixes of
 equal prefixes of that length are all repeats of the first, and what a deeper node would add are windows that begin later and have prefixes of
 their own; so the first is found by an aggregation, which combines before it shuffles, and no group is held. These windows are compared by two 64-bit hashes.
+They come from the pass that makes the suffixes and travel with these, so that no text is exchanged again for them.
 
 Defined results: null, empty and short texts have no repeats; rows without an id are left out (and kept by the cut); rows with
 the same id and text are one document; documents with the same id and different texts are told apart by a hash of the text; the first
@@ -35,6 +36,8 @@ from .common import Scratch, U, keyed, mix, prefix_hashes, small, span_hashes, t
 
 LEAST, PREFIX, HOT, BREAK = 50, 16, 4096, 32
 _NONE = U(0xFFFFFFFFFFFFFFFF)
+_SUFFIX = ["key", "doc_id", "th", "pos", "right", "left", "more", "upto", "k1", "k2"]
+_FOUND = ["doc_id", "th", "begin", "end", "first_doc", "first_begin", "k1", "k2"]
 
 
 def anchors(w: np.ndarray, at: np.ndarray, least: int, prefix: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -99,7 +102,7 @@ def _anchored(batches: Iterator[pa.RecordBatch], least: int, prefix: int) -> Ite
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch], least: int, prefix: int) -> Iterator[pa.RecordBatch]:
-    """Suffixes by anchor, and what a text repeats of itself. Windows at hot anchors aren't among them."""
+    """Suffixes by anchor, and what a text repeats of itself; at hot anchors windows, with k1 and k2."""
     reach = least - prefix + 1
     for rows, buf, off in texts(batches):
         starts, ends, at = words(buf, off)
@@ -135,32 +138,33 @@ def _suffixes(batches: Iterator[pa.RecordBatch], least: int, prefix: int) -> Ite
             anchor, doc, th, pos, right, left, more, upto = zip(*out)
             anchor = np.array(anchor)
             key = span_hashes(prefix_hashes(word_hashes(buf, starts, ends)), anchor, np.minimum(anchor + prefix, len(starts))).view(np.int64)
+            none = pa.nulls(len(out), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key), pa.array(doc, pa.int64()), pa.array(th, pa.int64()), pa.array(pos, pa.int32()), pa.array(right, pa.binary()), pa.array(left, pa.binary()), pa.array(more, pa.list_(pa.int32())), pa.array(upto, pa.int32())],
-                names=["key", "doc_id", "th", "pos", "right", "left", "more", "upto"],
+                [pa.array(key), pa.array(doc, pa.int64()), pa.array(th, pa.int64()), pa.array(pos, pa.int32()), pa.array(right, pa.binary()), pa.array(left, pa.binary()), pa.array(more, pa.list_(pa.int32())), pa.array(upto, pa.int32()), none, none],
+                names=_SUFFIX,
             )
+        if (windows := _hot_windows(rows, word_hashes(buf, starts, ends), at, least, reach)) is not None:
+            yield windows
 
 
-def _hot_windows(batches: Iterator[pa.RecordBatch], least: int, prefix: int) -> Iterator[pa.RecordBatch]:
-    """Every window that holds a hot anchor, by two hashes of its words."""
-    reach = least - prefix + 1
-    for rows, buf, off in texts(batches):
-        starts, ends, at = words(buf, off)
-        w = word_hashes(buf, starts, ends)
-        p, q = prefix_hashes(w), prefix_hashes(w ^ U(0x5DEECE66D))
-        begin, text = [], []
-        for r, marks in enumerate(rows.column("marks").to_pylist()):
-            hot = np.array([m["pos"] for m in marks if m["hot"] and not m["upto"]], np.int64)
-            b = np.unique(at[r] + hot[:, None] - np.arange(reach))
+def _hot_windows(rows: pa.RecordBatch, w: np.ndarray, at: np.ndarray, least: int, reach: int) -> pa.RecordBatch | None:
+    """Every window that holds a hot anchor, by two hashes of its words, under keys that spread them evenly."""
+    begin, text = [], []
+    for r, marks in enumerate(rows.column("marks").to_pylist()):
+        if hot := [m["pos"] for m in marks if m["hot"] and not m["upto"]]:
+            b = np.unique(at[r] + np.array(hot)[:, None] - np.arange(reach))
             b = b[(b >= at[r]) & (b + least <= at[r + 1])]
             begin.append(b)
             text.append(np.full(len(b), r))
-        begin, text = np.concatenate(begin), np.concatenate(text)
-        take = pa.array(text)
-        yield pa.RecordBatch.from_arrays(
-            [*(pa.array(span_hashes(x, begin, begin + least).view(np.int64)) for x in (p, q)), rows.column("doc_id").take(take), rows.column("th").take(take), pa.array((begin - at[text]).astype(np.int32))],
-            names=["k1", "k2", "doc_id", "th", "begin"],
-        )
+    if not begin:
+        return None
+    begin, text = np.concatenate(begin), np.concatenate(text)
+    k1, k2 = (span_hashes(prefix_hashes(x), begin, begin + least) for x in (w, w ^ U(0x5DEECE66D)))
+    th, n, take = np.asarray(rows.column("th")).view(U)[text], len(begin), pa.array(text)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(mix(k1 ^ mix(th)).view(np.int64)), rows.column("doc_id").take(take), rows.column("th").take(take), pa.array((begin - at[text]).astype(np.int32)), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.list_(pa.int32())), pa.nulls(n, pa.int32()), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64))],
+        names=_SUFFIX,
+    )
 
 
 def _common(x: np.ndarray, y: np.ndarray) -> int:
@@ -208,13 +212,14 @@ def subtree(ids: list[tuple], rights: list[np.ndarray], lefts: list[np.ndarray],
 
 
 def _repeats(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by key and text; equal texts are held once."""
+    """Rows come sorted by key and text; equal texts are held once. Windows pass through."""
     key, ids, rights, lefts, found = None, [], [], [], []
 
     def flush() -> pa.RecordBatch:
         rows = [(i[0], i[1], b, b + d, f[0], fb) for i, b, d, f, fb in found if i != f or b != fb]
         found.clear()
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 6, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()))], names=["doc_id", "th", "begin", "end", "first_doc", "first_begin"])
+        columns = [pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 6, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()))]
+        return pa.RecordBatch.from_arrays([*columns, *[pa.nulls(len(rows), pa.int64())] * 2], names=_FOUND)
 
     def hashes(column: pa.Array) -> list[np.ndarray]:
         out = []
@@ -225,6 +230,12 @@ def _repeats(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Recor
         return out
 
     for b in batches:
+        window = b.column("k1").is_valid()
+        if n := window.true_count:
+            w = b.filter(window)
+            none = [pa.nulls(n, t) for t in (pa.int32(), pa.int64(), pa.int32())]
+            yield pa.RecordBatch.from_arrays([w.column("doc_id"), w.column("th"), w.column("pos"), *none, w.column("k1"), w.column("k2")], names=_FOUND)
+            b = b.filter(b.column("k1").is_null())
         right, left = hashes(b.column("right")), hashes(b.column("left"))
         for i, (k, doc, th, pos, more, upto) in enumerate(zip(*(b.column(c).to_pylist() for c in ("key", "doc_id", "th", "pos", "more", "upto")))):
             if upto is not None:
@@ -265,16 +276,15 @@ def repeats(docs: DataFrame, id_col: str, text_col: str, least: int, prefix: int
     marked = marked.select("doc_id", "th", F.struct("pos", F.expr(f"linked < n or lo <> hi or pmod(fp, {BREAK}) = 0").alias("begins"), (F.col("n") > hot).alias("hot"), "upto").alias("mark"))
     marks = scratch.save(marked.groupBy("doc_id", "th").agg(F.collect_list("mark").alias("marks")))
     with_marks = docs.join(marks.hint("shuffle_merge"), ["doc_id", "th"])  # marks grow with the corpus: never broadcast
-    suffixes = with_marks.mapInArrow(lambda it: _suffixes(it, least, prefix), "key long, doc_id long, th long, pos int, right binary, left binary, more array<int>, upto int")
-    found = suffixes.repartition("key").sortWithinPartitions("key", "right").mapInArrow(lambda it: _repeats(it, least), "doc_id long, th long, begin int, end int, first_doc long, first_begin int")
-    out, hot_docs = scratch.save(found), marks.where(F.exists("marks", lambda m: m.hot))
-    if not hot_docs.isEmpty():
-        windows = docs.join(hot_docs.hint("shuffle_merge"), ["doc_id", "th"]).mapInArrow(lambda it: _hot_windows(it, least, prefix), "k1 long, k2 long, doc_id long, th long, begin int")
-        windows = scratch.save(windows.distinct())
+    suffixes = with_marks.mapInArrow(lambda it: _suffixes(it, least, prefix), "key long, doc_id long, th long, pos int, right binary, left binary, more array<int>, upto int, k1 long, k2 long")
+    found = suffixes.repartition("key").sortWithinPartitions("key", "right").mapInArrow(lambda it: _repeats(it, least), "doc_id long, th long, begin int, end int, first_doc long, first_begin int, k1 long, k2 long")
+    out = scratch.save(found)
+    windows = out.where("k1 is not null").select("k1", "k2", "doc_id", "th", "begin")
+    if not windows.isEmpty():
         first = scratch.save(windows.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "th", "begin")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
         again = windows.join(small(first, first.count(), 40), ["k1", "k2"]).where(~F.struct("doc_id", "th", "begin").eqNullSafe(F.col("first")))
         all_ = again.select("doc_id", "th", "begin", (F.col("begin") + least).cast("int").alias("end"), F.col("first.doc_id").alias("first_doc"), F.col("first.begin").alias("first_begin"))
-        out = scratch.save(out.unionByName(all_))
+        out = scratch.save(out.where("k1 is null").drop("k1", "k2").unionByName(all_))
     scratch.drop_all_but(out)
     return out, scratch
 

@@ -112,3 +112,20 @@ def test_hot_passage(spark):
     rows = [(i, f"a{i} {passage} " + (f"{tail} z{i}" if i % 500 == 3 else f"b{i} c{i}")) for i in range(6000)]
     got = found(repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), hot=1000))
     assert got == {i: set(range(1, 141 if i % 500 == 3 and i > 3 else 61)) for i in range(1, 6000)}
+
+
+@pytest.mark.parametrize("hot", [10**9, 3])
+def test_texts_are_read_twice(spark, hot):
+    """For anchors and for suffixes; hot passages need no pass, and so no exchange of texts, of their own."""
+    rows = corpus(20)
+    rows += rows[:5]
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found(repeated_passages(df.mapInArrow(counted, df.schema), least=20, prefix=6, hot=hot)) == brute(rows, 20)
+    assert read.value == 2 * len(rows)
