@@ -50,6 +50,8 @@ SLICE, PIECE, RANGE_BYTES = 2 << 20, 16 << 20, 16 << 20
 SCORED, MOST_SCORED = 4 << 10, 6 << 20
 #: Bytes of text for each occurrence from which on a word is too frequent for one range.
 HEAVY = 24
+#: Tasks that sum words and contexts, one range after another: each more would fetch from every range's task once more.
+SUMMED = 256
 #: Bytes of tables that a worker keeps where the shared folder can't be mapped.
 KEPT = 256 << 20
 TRIGRAMS, CONTEXTS, BIGRAMS, WORDS = range(4)
@@ -57,6 +59,7 @@ _COLUMNS = {TRIGRAMS: 1, CONTEXTS: 4, BIGRAMS: 1, WORDS: 5}
 _SCHEMA = "range int, kind int, n long, over long, file string, n1 long, n2 long, n3 long, n4 long, total long, before long, block binary"
 _TYPES = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string(), *[pa.int64()] * 6, pa.binary())
 _cache: dict = {}
+_compress, _decompress = zstandard.ZstdCompressor(level=3).compress, zstandard.ZstdDecompressor().decompress
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
@@ -149,19 +152,19 @@ def _unplanes(data: bytes, n: int, width: int) -> np.ndarray:
 
 def _packed(columns: list[np.ndarray]) -> bytes:
     """Lengths, widths and compressed planes of several columns."""
-    compress, out = zstandard.ZstdCompressor(level=3).compress, []
+    out = []
     for x in columns:
         width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
-        data = compress(_planes(x, width))
+        data = _compress(_planes(x, width))
         out += [np.array([len(x), width, len(data)], np.int64).tobytes(), data]
     return b"".join(out)
 
 
 def _unpacked(block: bytes) -> list[np.ndarray]:
-    decompress, at, out = zstandard.ZstdDecompressor().decompress, 0, []
+    at, out = 0, []
     while at < len(block):
         n, width, size = np.frombuffer(block, np.int64, 3, at).tolist()
-        out.append(_unplanes(decompress(block[at + 24 : at + 24 + size]), n, width))
+        out.append(_unplanes(_decompress(block[at + 24 : at + 24 + size]), n, width))
         at += 24 + size
     return out
 
@@ -269,23 +272,45 @@ class Table:
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which keys are there, and their values, a row each."""
-        bucket = _top(keys, self.bits)
-        want = ((keys << U(self.bits)) >> U(40)).astype(np.int64)
-        lo, end = self.bounds[bucket].astype(np.int64), self.bounds[bucket + 1].astype(np.int64)
-        hi = end.copy()
-        for _ in range(int((end - lo).max()).bit_length() if len(keys) else 0):
-            mid = np.minimum((lo + hi) >> 1, self.n - 1)
-            less = (lo < hi) & ((self.high[mid].astype(np.int64) << 8 | self.low[mid]) < want)
-            lo, hi = np.where(less, mid + 1, lo), np.where(less, hi, np.minimum(hi, mid))
-        at = np.minimum(lo, self.n - 1)
-        hit = np.flatnonzero((lo < end) & ((self.high[at].astype(np.int64) << 8 | self.low[at]) == want))
-        at = at[hit]
-        code = self.code[at]
-        out = np.zeros((len(at), self.columns), np.int64)
-        few = code < 255
-        out[few] = self.listed[code[few]]
-        out[~few] = self.values[np.searchsorted(self.other, at[~few])]
-        return hit, out
+        return found([(0, len(keys), self)], keys, self.columns)
+
+
+def found(tables: list[tuple[int, int, Table]], keys: np.ndarray, columns: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which keys are there, and their values, a row each, of keys i to j in the table given with i and j.
+
+    All tables are searched in step: what is done for each is to take from its arrays, so that many tables cost little more than one."""
+
+    def taken(name: str, at: np.ndarray, kind) -> np.ndarray:
+        out = np.zeros(len(keys), kind)
+        for i, j, t in tables:
+            getattr(t, name).take(at[i:j], out=out[i:j], mode="clip")
+        return out
+
+    def tags(at: np.ndarray) -> np.ndarray:
+        return taken("high", at, np.uint16).astype(np.uint32) << np.uint32(8) | taken("low", at, np.uint8)
+
+    bits, last = np.zeros(len(keys), U), np.full(len(keys), -1)
+    for i, j, t in tables:
+        bits[i:j], last[i:j] = t.bits, t.n - 1
+    bucket = ((keys >> U(1)) >> (U(63) - bits)).astype(np.int64)
+    want = ((keys << bits) >> U(40)).astype(np.uint32)
+    lo, end = taken("bounds", bucket, np.uint32).astype(np.int64), taken("bounds", bucket + 1, np.uint32).astype(np.int64)
+    hi = end.copy()
+    for _ in range(int((end - lo).max()).bit_length() if len(keys) else 0):
+        mid = np.minimum((lo + hi) >> 1, last)
+        less = (lo < hi) & (tags(mid) < want)
+        lo, hi = np.where(less, mid + 1, lo), np.where(less, hi, np.minimum(hi, mid))
+    at = np.minimum(lo, last)
+    hit = np.flatnonzero((lo < end) & (tags(at) == want))
+    at, out = at[hit], np.zeros((len(hit), columns), np.int64)
+    for (_, _, t), i, j in zip(tables, np.searchsorted(hit, [i for i, _, _ in tables]).tolist(), np.searchsorted(hit, [j for _, j, _ in tables]).tolist()):
+        if i < j:
+            code = t.code.take(at[i:j])
+            if len(t.listed):
+                t.listed.take(code, axis=0, out=out[i:j], mode="clip")
+            if len(t.other) and len(far := np.flatnonzero(code == 255)):
+                out[i + far] = t.values[np.searchsorted(t.other, at[i + far])]
+    return hit, out
 
 
 def _file(path: str, kind: int, r: int, keys: np.ndarray, columns: list[np.ndarray], own: np.ndarray | None) -> tuple:
@@ -424,10 +449,9 @@ class WordModel:
         r, keys = r[new], keys[new]
         values = np.zeros((_COLUMNS[kind], len(keys)), np.int64)
         begin = np.flatnonzero(np.append(True, r[1:] != r[:-1])) if len(r) else np.zeros(0, int)
-        for i, j in zip(begin.tolist(), [*begin[1:].tolist(), len(r)]):
-            if (table := self.table(kind, int(r[i]))) is not None:
-                hit, some = table.find(keys[i:j])
-                values[:, i + hit] = some.T
+        tables = [(i, j, table) for i, j, at in zip(begin.tolist(), [*begin[1:].tolist(), len(r)], r[begin].tolist()) if (table := self.table(kind, at)) is not None]
+        hit, some = found(tables, keys, _COLUMNS[kind])
+        values[:, hit] = some.T
         back = np.empty(len(order), np.int64)
         back[order] = np.cumsum(new) - 1
         return values[:, back]
@@ -471,11 +495,11 @@ def build_words(docs: DataFrame, text_col: str = "text", range_bytes: int = RANG
         heavy = {r.word: min(bits, (-(-r.n // most) - 1).bit_length()) for r in counts.collect()}
     ranges = Ranges(bits, heavy)
 
-    def met(df: DataFrame) -> DataFrame:
-        return df.repartition(1 << bits, "range").sortWithinPartitions("range")
+    def met(df: DataFrame, tasks: int) -> DataFrame:
+        return df.repartition(tasks, "range").sortWithinPartitions("range")
 
-    table = met(rows.mapInArrow(lambda it: _counted(it, ranges), _SCHEMA))
-    table = met(table.mapInArrow(lambda it: _trigrams(it, ranges, path), _SCHEMA))
+    table = met(rows.mapInArrow(lambda it: _counted(it, ranges), _SCHEMA), 1 << bits)
+    table = met(table.mapInArrow(lambda it: _trigrams(it, ranges, path), _SCHEMA), min(1 << bits, SUMMED))
     reports = table.mapInArrow(lambda it: _words(it, ranges, path), _SCHEMA).drop("block").collect()
     return WordModel(ranges, path, reports)
 

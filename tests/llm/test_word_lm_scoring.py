@@ -73,6 +73,24 @@ def test_an_ngram_is_looked_for_in_one_table(spark, monkeypatch, range_bytes):
     assert sum(keys) <= sum(distinct)
 
 
+@pytest.mark.parametrize("range_bytes", [1 << 23, 200])
+def test_all_ranges_are_searched_at_once(spark, monkeypatch, range_bytes):
+    """As many searches with many tables as with one, of no n-gram twice."""
+    from orrery.llm import word_lm_scoring
+
+    rnd = random.Random(7)
+    corpus = [" ".join(rnd.choice("a a a b c d e f".split()) for _ in range(60)) for _ in range(60)]
+    model = build_words(frame(spark, corpus), range_bytes=range_bytes)
+    assert range_bytes > 200 or len(model.files) > 50
+    keys, found = [], word_lm_scoring.found
+    monkeypatch.setattr(word_lm_scoring, "found", lambda tables, some, n: keys.append(len(some)) or found(tables, some, n))
+    text = " ".join(corpus).encode()
+    _, got = model.score(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    w = ("<", "<", *text.decode().split())
+    assert sorted(keys) == sorted(len({w[i + j : i + k] for i in range(len(w) - 2)}) for j, k in ((0, 3), (0, 2), (1, 3), (2, 3), (1, 2)))
+    assert got[0] == pytest.approx(brute(corpus)(" ".join(corpus)))
+
+
 def test_tables_grow_with_the_text(spark):
     rnd = random.Random(4)
     text = [" ".join(f"w{int(rnd.paretovariate(0.7))}" for _ in range(100)) for _ in range(400)]
