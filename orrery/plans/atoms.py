@@ -216,8 +216,8 @@ def focus_absolute(v):
 
 @query(_FOCUS, _focus_sql("(traj_id = 0 AND atom_id IN (3, 4) OR traj_id = 2 AND atom_id = 7)"))
 def focus_json(v):
-    """Foci from a JSON object of atom ids by trajectory."""
-    text = v.spark.createDataFrame([('{"0": [3, 4], "2": [7], "77": [1]}',)], "j string")
+    """Foci from a JSON object of atom ids by trajectory; it also names one that no table has."""
+    text = v.spark.createDataFrame([('{"0": [3, 4], "2": [7], "-1": [1]}',)], "j string")
     named = text.select(F.explode(F.from_json("j", "map<string, array<int>>")).alias("k", "atom_ids")).select(F.col("k").cast("long").alias("traj_id"), "atom_ids")
     return windows.focus_of_map(windows.slices(v.coords, 5), named)
 

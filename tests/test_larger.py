@@ -36,3 +36,7 @@ def same_rows(spark, folder, name, trajectories):
 def test_trajectories_without_a_label(spark, tmp_path, name):
     rows = same_rows(spark, tmp_path, name, [1, 7, 1046])
     assert {r[0] for r in rows} == {1, 7, 1046} and (name == "label_stepping" or all((r[-1] is None) == (r[0] == 1046) for r in rows))
+
+
+def test_foci_of_named_trajectories_only(spark, tmp_path):
+    assert {r[0] for r in same_rows(spark, tmp_path, "focus_json", [0, 2, 77])} == {0, 2}
