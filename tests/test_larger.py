@@ -40,3 +40,9 @@ def test_trajectories_without_a_label(spark, tmp_path, name):
 
 def test_foci_of_named_trajectories_only(spark, tmp_path):
     assert {r[0] for r in same_rows(spark, tmp_path, "focus_json", [0, 2, 77])} == {0, 2}
+
+
+def test_added_samples_replace_none(spark, tmp_path):
+    """Samples of trajectory 47 and of 48 have the numbers that added ones of 0 get."""
+    rows = same_rows(spark, tmp_path, "store_update", [0, 47, 48])
+    assert len({r[:-1] for r in rows}) < len(rows)
