@@ -1,13 +1,17 @@
-"""Metrics of predictions: one pass of aggregates each, but for ranks, which sort."""
+"""Metrics of predictions: one pass of aggregates each, but for ranks, which sort distinct values."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..shared import stored
+
 
 def _by(df: DataFrame, keys: list[str]):
     return df.groupBy(*keys) if keys else df.groupBy()
@@ -25,15 +29,39 @@ def pearson(df: DataFrame, p: str, t: str, keys: list[str] = []) -> DataFrame:
     return _by(df, keys).agg(F.corr(p, t).alias("pearson"))
 
 
-def ranked(df: DataFrame, column: str, keys: list[str], name: str) -> DataFrame:
-    """Average ranks, from 1."""
-    low = F.rank().over(Window.partitionBy(*keys).orderBy(column))
-    ties = F.count("*").over(Window.partitionBy(*keys, column))
-    return df.withColumn(name, low + (ties - 1) / 2)
+def ranked(df: DataFrame, column: str, keys: list[str], name: str, weight: str) -> DataFrame:
+    """(keys, column, name): of each distinct value its average rank in its group less the group's mean rank, where a row counts weight
+    times; nulls come last.
+
+    Distinct values are range-partitioned, sorted and stored once; a value's rank is what stands before it in its part, and in the parts
+    before of its group. So a group may be larger than a task, which holds no more than a part of the values."""
+    values = df.groupBy(*keys, column).agg(F.sum(weight).alias("__n"))
+    order = [F.col(k).asc_nulls_last() for k in [*keys, column]]
+    values = stored(values.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()))  # partition << 33 | place in it
+    values = values.withColumn("__part", F.shiftright("__at", 33))
+    sizes, group = values.groupBy(*keys, "__part").agg(F.sum("__n").alias("__size")), Window.partitionBy(*keys)
+    before = F.coalesce(F.sum("__size").over(group.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - F.sum("__size").over(group) / 2
+    upto = F.sum("__n").over(Window.partitionBy(*keys, "__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    a, b = values.withColumn("__upto", upto).alias("a"), sizes.withColumn("__before", before).alias("b")
+    met = a.join(b, _same([*keys, "__part"], [*keys, "__part"]))
+    return met.select(*(F.col(f"a.{k}").alias(k) for k in [*keys, column]), (F.col("__before") + F.col("__upto") - F.col("__n") / 2).alias(name))
+
+
+def _same(a: list[str], b: list[str]) -> Column:
+    """Of rows a and b: equal columns, or null on both sides."""
+    return reduce(Column.__and__, (F.col(f"a.{x}").eqNullSafe(F.col(f"b.{y}")) for x, y in zip(a, b)))
 
 
 def spearman(df: DataFrame, p: str, t: str, keys: list[str]) -> DataFrame:
-    return pearson(ranked(ranked(df, p, keys, "__rp"), t, keys, "__rt"), "__rp", "__rt", keys).withColumnRenamed("pearson", "spearman")
+    """Pearson's correlation of average ranks; null where either side is constant. Rows are counted by their pair of values first, and
+    ranks are those of distinct values, so no group goes through one task."""
+    out = stored(df.groupBy(*keys, F.col(p).alias("__p"), F.col(t).alias("__t")).agg(F.count("*").alias("__m")))
+    for column, rank in (("__p", "__rp"), ("__t", "__rt")):
+        both = [*keys, column]
+        out = out.alias("a").join(ranked(out, column, keys, rank, "__m").alias("b"), _same(both, both)).select("a.*", f"b.{rank}")
+    total = lambda x, y: F.sum(F.col("__m") * F.col(x) * F.col(y))
+    square = total("__rp", "__rp") * total("__rt", "__rt")
+    return _by(out, keys).agg(F.when(square > 0, total("__rp", "__rt") / F.sqrt(square)).alias("spearman"))
 
 
 def regression(df: DataFrame, p: str, t: str, keys: list[str] = []) -> DataFrame:  # noqa: B006

@@ -230,6 +230,28 @@ def test_metrics(spark):
     assert metrics.spearman(df, "p", "t", ["k"]).first().spearman == pytest.approx(np.corrcoef(rank(p), rank(t))[0, 1])
 
 
+def test_spearman_of_a_group_in_parts(spark):
+    """Ties, nulls (which are the greatest), null keys and a constant side; a group's rows are sorted in no one task."""
+    rng = np.random.default_rng(8)
+    rows = [(g, float(a), float(b)) for g, n, m in (("a", 3000, 40), (None, 2000, 1000), ("c", 5, 1)) for a, b in zip(rng.integers(0, m, n), rng.integers(0, m, n) + rng.integers(0, m, n))]
+    rows += [("a", None, 1.0), ("a", 3.0, None), ("a", None, None), ("d", 1.0, 2.0)]
+    df = spark.createDataFrame(rows, "k string, p double, t double").repartition(5)
+    parts = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        ranks = metrics.ranked(df.withColumn("one", F.lit(1)), "p", ["k"], "r", "one")
+        assert ranks.where("k is null").select(F.spark_partition_id()).distinct().count() > 1
+        got = {r.k: r.spearman for r in metrics.spearman(df, "p", "t", ["k"]).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", parts)
+    rank = lambda x: np.array([(x < v).sum() + ((x == v).sum() + 1) / 2 for v in x])
+    for k in ("a", None):
+        p, t = (rank(np.array([np.inf if r[i] is None else r[i] for r in rows if r[0] == k])) for i in (1, 2))
+        assert got[k] == pytest.approx(np.corrcoef(p, t)[0, 1])
+    assert got["c"] is None and got["d"] is None and len(got) == 4
+    assert metrics.spearman(df.where("k = 'a'"), "p", "t", []).count() == 1
+
+
 def test_kendall_ties_and_nulls(spark):
     rng = np.random.default_rng(7)
     rows = [(g, float(a), float(b)) for g, n, m in (("a", 200, 5), ("b", 150, 1000), ("c", 1, 3), ("d", 9, 1)) for a, b in zip(rng.integers(0, m, n), rng.integers(0, m, n))] + [("a", None, 1.0)]
