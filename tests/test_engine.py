@@ -230,6 +230,23 @@ def test_metrics(spark):
     assert metrics.spearman(df, "p", "t", ["k"]).first().spearman == pytest.approx(np.corrcoef(rank(p), rank(t))[0, 1])
 
 
+def test_nearest_prototype_without_pairs(spark):
+    """Each query once, the least label of equals, no value furthest; and no plan that makes pairs."""
+    rng = np.random.default_rng(9)
+    q = [(i, float(a), float(b)) for i, (a, b) in enumerate(rng.integers(0, 6, (300, 2)))] + [(7000, None, 1.0), (7001, 2.0, 2.0), (7001, 2.0, 2.0)]
+    p = [(int(k), float(a), float(b)) for k, (a, b) in zip(rng.permutation(30), rng.integers(0, 6, (30, 2)))] + [(-1, None, 2.0)]
+    queries, prototypes = spark.createDataFrame(q, "id int, x double, y double"), spark.createDataFrame(p, "label int, x double, y double")
+    out = d.nearest_prototype(queries, prototypes, ["x", "y"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoopJoin" not in plan and "Cartesian" not in plan and "SortAggregate" not in plan
+    s = [np.std([r[1] for r in p if r[1] is not None]), np.std([r[2] for r in p])]
+    far = lambda a, b: np.inf if None in (*a, *b) else sum(((u - v) / w) ** 2 for u, v, w in zip(a, b, s))
+    want = sorted((*r, min(p, key=lambda k: (far(r[1:], k[1:]), k[0]))[0]) for r in set(q) if r[1] is not None)
+    got = sorted(tuple(r) for r in out.where("x is not null").collect())
+    assert got == want and out.where("x is null").count() == 1
+    assert d.nearest_prototype(queries, prototypes.limit(0), ["x", "y"]).count() == 0
+
+
 def test_spearman_of_a_group_in_parts(spark):
     """Ties, nulls (which are the greatest), null keys and a constant side; a group's rows are sorted in no one task."""
     rng = np.random.default_rng(8)
